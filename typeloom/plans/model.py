@@ -54,7 +54,7 @@ filled as (select g.sample_id, g.locus, c.allele_id, coalesce(c.call_type, 'miss
 
 KEYS = FILLED + """,
 keyed as (select sample_id, string_agg(coalesce(allele_id, '-'), '|' order by locus) as profile, bool_or(multiple_hits) as conflicting, bool_or(call_type <> 'exact') as inexact from filled group by 1),
-profiles as (select profile, min(sample_id) as st from keyed where sample_id % 3 = 0 group by 1)"""
+profiles as (select profile, min(sample_id) as st from keyed group by 1 having count(*) > 1)"""
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

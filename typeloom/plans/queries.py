@@ -40,7 +40,7 @@ def _filled(spark: SparkSession, d: str) -> DataFrame:
 def _keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     filled = _filled(spark, d)
     keyed = calling.profile_keys(filled)
-    return filled, keyed.filter("sample_id % 3 = 0").groupBy("profile").agg(F.min("sample_id").alias("st"))
+    return filled, keyed.groupBy("profile").agg(F.min("sample_id").alias("st"), F.count("*").alias("n")).filter("n > 1").drop("n")  # the scheme knows profiles of two samples or more
 
 
 CALL_COLUMNS = "sample_id, locus, allele_id, call_type, round(confidence, 9) as confidence, multiple_hits, allele_ids"
@@ -73,7 +73,7 @@ def j3_sequence_types(spark, d):
     return calling.sequence_types(filled, profiles).withColumn("profile", F.array_join("profile", "|"))
 
 
-@query(f"""with {M.KEYS}, cells as (select *, case when allele_id is null or call_type = 'missing' then '-' when multiple_hits then (select string_agg(x, ',' order by x::int) from unnest(string_split(allele_ids, ',')) t(x))
+@query(f"""with {M.KEYS}, cells as (select *, case when allele_id is null or call_type = 'missing' then '-' when multiple_hits then (select string_agg(x, ',' order by try_cast(x as int)) from unnest(string_split(allele_ids, ',')) t(x))
  when call_type = 'exact' then allele_id when call_type in ('closest', 'novel') then '~' || allele_id else allele_id || '?' end as cell from filled)
 select 'sample' || c.sample_id || chr(9) || 'demo' || chr(9) || max(case when conflicting or inexact or p.st is null then '-' else p.st::varchar end) || chr(9) || string_agg(cell, chr(9) order by locus) as line
 from cells c join keyed k on c.sample_id = k.sample_id left join profiles p on p.profile = k.profile group by c.sample_id""")
@@ -144,16 +144,16 @@ def p5_prefilter_confidence(spark, d):
 
 
 # --- pre-resolution: F3-F6, J1, J2, A6, W2, W3, P6, A21 ---
-@query("""with idx as (select distinct sha256(upper(text)) as digest, lang as locus, n_chars::varchar as allele_id from documents where doc_id % 2 = 0), cds as (select distinct source as sample_id, sha256(upper(text)) as digest from documents)
+@query("""with idx as (select distinct sha256(upper(text)) as digest, 'l' || n_chars % 97 as locus, n_chars::varchar as allele_id from documents), cds as (select distinct source as sample_id, sha256(upper(text)) as digest from documents)
 select sample_id, locus, min(allele_id) as allele_id, 100.0::double as identity, 1.0::double as coverage, 100.0::double as score from cds join idx using (digest) group by sample_id, locus having count(distinct allele_id) = 1""")
 def j1_exact_hash(spark, d):
     docs = M.read(spark, d, "documents")
-    alleles = docs.filter("doc_id % 2 = 0").select(F.col("lang").alias("locus"), F.col("n_chars").cast("string").alias("allele_id"), F.col("text").alias("seq"))
+    alleles = docs.select(F.concat(F.lit("l"), (F.col("n_chars") % 97).cast("string")).alias("locus"), F.col("n_chars").cast("string").alias("allele_id"), F.col("text").alias("seq"))
     return prefilter.exact_matches(docs.select(F.col("source").alias("sample_id"), F.col("text").alias("seq")), alleles)
 
 
 _DNA = "translate(upper({0}), 'EIOUSLNR', 'ACGTACGT')"
-_KMER_SQL = f"""with {M.ALLELES}, a0 as (select locus, allele_id, {_DNA.format('seq')} as s from al), c0 as (select doc_id, source, {_DNA.format('text')} as s from documents where length(text) <= 1200),
+_KMER_SQL = f"""with {M.ALLELES}, a0 as (select locus, allele_id, {_DNA.format('seq')} as s from al), c0 as (select doc_id, source, {_DNA.format('text')} as s from documents),
 ak as (select distinct locus, allele_id, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) as k from (select locus, allele_id, unnest(list_transform(range(1, len(s) - 9), lambda i: substr(s, i, 11))) as k from a0 where len(s) >= 11) where regexp_matches(k, '^[ACGT]+$')),
 ck as (select distinct source, doc_id, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) as k from (select source, doc_id, unnest(list_transform(range(1, len(s) - 9), lambda i: substr(s, i, 11))) as k from c0 where len(s) >= 11) where regexp_matches(k, '^[ACGT]+$')),
 n as (select k, count(*) as n from ak group by k), sc as (select source as sample_id, locus, allele_id, round(sum(1.0::double / n), 6) as score from ck join n using (k) join ak using (k) group by all)"""
@@ -162,7 +162,7 @@ n as (select k, count(*) as n from ak group by k), sc as (select source as sampl
 def _scores(spark, d):
     dna = lambda c: F.translate(F.upper(c), "EIOUSLNR", "ACGTACGT")
     a = M.alleles(spark, d).withColumn("seq", dna("seq"))
-    docs = M.read(spark, d, "documents").filter(F.length("text") <= 1200)  # the binding's contigs are the short documents
+    docs = M.read(spark, d, "documents")
     c = docs.select(F.col("source").alias("sample_id"), F.col("doc_id").alias("contig_id"), dna("text").alias("seq"))
     return prefilter.kmer_scores(c, a, 11).withColumn("score", F.round("score", 6))
 
@@ -193,10 +193,10 @@ def p6_residual_loci(spark, d):
     return prefilter.residual_loci(h, h, calling.call_loci(h).filter("call_type = 'exact'"))
 
 
-@query("select doc_id, sha256(upper(text)) as sha, md5(upper(replace(replace(replace(text, '-', ''), ' ', ''), chr(10), ''))) as safe, reverse(translate(substr(text, 1, 40), 'ACGTacgt', 'TGCAtgca')) as rc from documents")
+@query("select doc_id, sha256(upper(replace(text, 'ß', 's'))) as sha, md5(upper(replace(replace(replace(replace(text, 'ß', 's'), '-', ''), ' ', ''), chr(10), ''))) as safe, reverse(translate(substr(text, 1, 40), 'ACGTacgt', 'TGCAtgca')) as rc from documents")
 def f4_fingerprints(spark, d):
-    t = F.col("text")
-    return M.read(spark, d, "documents").select("doc_id", S.digest(t).alias("sha"), S.fingerprint(t, "safe").alias("safe"), S.reverse_complement(F.substring(t, 1, 40)).alias("rc"))
+    t = F.replace(F.col("text"), F.lit("ß"), F.lit("s"))  # the engines disagree on its upper case
+    return M.read(spark, d, "documents").select("doc_id", S.digest(t).alias("sha"), S.fingerprint(t, "safe").alias("safe"), S.reverse_complement(F.substring("text", 1, 40)).alias("rc"))
 
 
 @query("""with n as (select 'loc' || n_nationkey || case when n_nationkey % 3 = 0 then '_a_' || n_nationkey when n_nationkey % 3 = 1 then '-b-' || n_nationkey else '' end as full_id from nation)
@@ -257,9 +257,9 @@ def a15_class_counts(spark, d):
     return _classes(spark, d).groupBy(L.label_bucket(F.col("label")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"""with {M.ALLELES} select distinct d.source as sample_id, a.locus, a.allele_id from documents d join al a on contains(upper(d.text), upper(a.seq)) or contains(upper(a.seq), upper(d.text)) where d.doc_id % 50 < 3""")
+@query(f"""with {M.ALLELES} select distinct d.source as sample_id, a.locus, a.allele_id from documents d join al a on contains(upper(d.text), upper(a.seq)) or contains(upper(a.seq), upper(d.text))""")
 def j14_contained_alleles(spark, d):
-    docs = M.read(spark, d, "documents").filter("doc_id % 50 < 3")  # the binding's coding sequences: sources 0 to 2 and their kin
+    docs = M.read(spark, d, "documents")
     cds = docs.select(F.col("source").alias("sample_id"), F.col("text").alias("seq"))
     calls = cds.select("sample_id").distinct().join(M.alleles(spark, d).select("locus", "allele_id"))
     return policy.contained(calls, M.alleles(spark, d), cds)
@@ -410,14 +410,14 @@ def f22_normalisation_decisions(spark, d):
 _IV = "iv as (select l_suppkey % 20 as contig, l_linestatus as strand, l_orderkey as id, l_partkey % 3000 + 1 as start, l_partkey % 3000 + 1 + (l_partkey * 7 + l_linenumber) % 90 as \"end\" from lineitem)"
 
 
-@query(f"""with {_IV}, q as (select distinct id, contig::varchar as contig, strand, start, "end" from iv where id % 25 = 0), r as (select distinct contig::varchar as contig, strand, start as rs, "end" as re from iv where id % 11 = 3)
+@query(f"""with {_IV}, q as (select distinct id, contig::varchar as contig, strand, start, "end" from iv where strand = 'O' or contig < 10), r as (select distinct contig::varchar as contig, strand, start as rs, "end" as re from iv where strand = 'F' or contig >= 5)
 select q.id, q.contig, q.strand, q.start, q."end", ['no_overlap', 'overlap_only', 'same_start_diff_stop', 'same_stop_diff_start', 'exact'][coalesce(max(case when start = rs and "end" = re then 4 when "end" = re then 3 when start = rs then 2 when "end" >= rs and re >= start then 1 else 0 end), 0) + 1] as relation
 from q left join r on q.contig = r.contig and q.strand = r.strand and "end" >= rs and re >= start group by 1, 2, 3, 4, 5""")
 def j10_interval_relations(spark, d):
     start = F.col("l_partkey") % 3000 + 1
     iv = M.read(spark, d, "lineitem").select((F.col("l_suppkey") % 20).cast("string").alias("contig"), F.col("l_linestatus").alias("strand"), F.col("l_orderkey").alias("id"), start.alias("start"), (start + (F.col("l_partkey") * 7 + F.col("l_linenumber")) % 90).alias("end")).distinct()
     # the binding's two gene sets
-    return compare.interval_relations(iv.filter("id % 25 = 0"), iv.filter("id % 11 = 3"), 256)
+    return compare.interval_relations(iv.filter("strand = 'O' or cast(contig as int) < 10"), iv.filter("strand = 'F' or cast(contig as int) >= 5"), 256)
 
 
 @query("select p_partkey % 50 as locus, max_by(p_name, p_partkey) as reason from part group by 1")
@@ -455,7 +455,7 @@ def g9_threshold_clusters(spark, d):
 def g2_spanning_tree(spark, d):
     """Minimum arborescence over collapsed profiles (edge list)."""
     nodes = matrix.collapse(matrix.to_profiles(M.matrix(spark, d))).select(F.col("sample_ordinal").alias("id"), "label", "profile")
-    return graph.spanning_tree(nodes.filter("id <= 40"))  # the binding's scheme: the first forty suppliers
+    return graph.spanning_tree(nodes)
 
 
 @query(f"with {M.MATRIX} select count(distinct p) - 1 as n_edges from (select sample_ordinal, string_agg(v, '|' order by locus_ordinal) as p from cells group by 1)")
