@@ -68,10 +68,14 @@ def template_rows(spark: SparkSession, templates: tuple[tuple[str, str], ...] =
     return rows.withColumn("n", F.size("hashes")).withColumn("scale", F.ceil(F.log2(F.col("n"))).cast("int"))
 
 
-def _steps(scale: int) -> Column:
-    """Starts of a scale's windows in the shingles h."""
+def _windows(scale: int, fixed: Column) -> Column:
+    """A scale's windows of the shingles h that hold one of the band minima: scale, place and distinct shingles.
+
+    They are cut and set aside inside the row, so a long text is never copied along with each of its windows.
+    """
     size = 1 << scale
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size("h") - 1) / size).cast("int")), lambda j: F.struct(F.lit(scale).alias("scale"), (j * size).alias("at")))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("h") - 1) / size).cast("int")), lambda j: F.struct(F.lit(scale).alias("scale"), (j * size).alias("at"), F.array_distinct(F.slice("h", j * size + 1, F.lit(2 * size))).alias("part")))
+    return F.filter(cut, lambda x: F.arrays_overlap(x["part"], fixed))
 
 
 def scan(docs: DataFrame, least: int = 80, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -86,9 +90,7 @@ def scan(docs: DataFrame, least: int = 80, templates: tuple[tuple[str, str], ...
     scales = sorted({r[0] for r in known.select("scale").distinct().collect()})
     rows = docs.select("doc_id", text_of("text").alias("text")).select("doc_id", F.md5("text").alias("digest"), shingles(F.col("text")).alias("h"))
     rows = rows.filter(F.arrays_overlap("h", fixed))
-    steps = F.flatten(F.array(*[_steps(k) for k in scales]))
-    cells = rows.select("doc_id", "digest", "h", F.explode(steps).alias("w")).select("doc_id", "digest", "w.scale", "w.at", F.array_distinct(F.slice("h", F.col("w.at") + 1, F.expr("shiftleft(2, w.scale)"))).alias("part"))
-    cells = cells.filter(F.arrays_overlap("part", fixed))
+    cells = rows.select("doc_id", "digest", F.explode(F.flatten(F.array(*[_windows(k, fixed) for k in scales]))).alias("w")).select("doc_id", "digest", "w.*")
     banded = cells.select("*", bands).withColumn("low", band_minimum(F.col("part"), F.col("band")))
     # the template side is a fixed list of templates * BANDS rows
     hits = banded.join(F.broadcast(keys), ["scale", "band", "low"]).select("doc_id", "digest", "at", "license", "n", F.size(F.array_intersect("part", "hashes")).alias("common"))
