@@ -10,7 +10,8 @@ Documents are sets of five-word shingles (64-bit hashes); two link when 100 * in
    is in (one check for each class and leader, never all pairs of a list). Verified links form the groups.
 4. For the token-group matrix, each group stores the union of its members' shingles. A class is a query against every
    other group that shares a posted shingle with it, if sizes and places in the order allow a link to some member. Its
-   overlap with the union bounds its overlap with any member, so only groups holding 80 % of the query are opened.
+   overlap with the union bounds its overlap with any member, so only groups holding 80 % of the query are opened (a
+   group with one member in question is opened at once, as its check is the same work).
 5. Members of opened groups that pass the same filters are checked exactly. All verified links give the components.
 
 A large group of near copies is one group after step 3, so it costs a number of checks that is linear in its size. No
@@ -122,7 +123,8 @@ def profiles(docs: DataFrame, sketch: np.ndarray, percent: int, bits: int = SKET
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, text of the wanted classes (id, first_doc, text_hash): the text of their first document."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("first_doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return rows.join(wanted, ["first_doc", "text_hash"]).select("id", "text").dropDuplicates(["id"])
+    # rows that repeat both give one; the join has brought them together already
+    return rows.join(wanted, ["first_doc", "text_hash"]).groupBy("first_doc", "text_hash").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text")
 
 
 def _check(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -185,13 +187,16 @@ def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     other = mixed.select("post", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "at", "comp")])
     meet = mixed.join(other, "post").filter((F.col("comp") < F.col("o_comp")) & _may_link("n", "at", "o_n", "o_at", percent))
     cand = table(meet.select("id", F.col("n").cast("long").alias("n"), F.col("o_comp").alias("comp"), F.col("o_id").alias("member")).distinct(), "queries")
-    tokens = _tokens(texts.join(cand.select("id").union(cand.select("member")).distinct(), "id", "left_semi"))
-    tokens = table(tokens, "tokens")
-    matrix = cand.select("comp", F.col("member").alias("id")).distinct().join(tokens, "id").select("comp", "shingle").distinct()
-    asked = cand.select("id", "comp", "n").distinct()
+    # a group with one member in question is opened by the exact check itself; larger ones are bounded by their union
+    cand = cand.withColumn("k", F.count("*").over(W.partitionBy("id", "comp")))
+    large = cand.filter("k > 1")
+    tokens = table(_tokens(texts.join(large.select("id").union(large.select("member")).distinct(), "id", "left_semi")), "tokens")
+    matrix = large.select("comp", F.col("member").alias("id")).distinct().join(tokens, "id").select("comp", "shingle").distinct()
+    asked = large.select("id", "comp", "n").distinct()
     bound = asked.join(tokens, "id").join(matrix, ["comp", "shingle"]).groupBy("id", "comp", "n").count().filter(F.col("count") * 100 >= F.col("n") * percent)
     # 5. opened groups: exact checks of the members that may link
-    opened = cand.join(bound.select("id", "comp"), ["id", "comp"], "left_semi").select(F.col("id").alias("a"), F.col("member").alias("b")).distinct()
+    opened = large.join(bound.select("id", "comp"), ["id", "comp"], "left_semi").unionByName(cand.filter("k = 1")).select(F.col("id").alias("a"), F.col("member").alias("b")).distinct()
+    opened = table(opened, "opened")
     links = links.unionByName(table(_check(opened, texts, percent), "member-links"))
     comps = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
