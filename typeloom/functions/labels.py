@@ -52,7 +52,7 @@ def format_cell(call: Column, allele: Column, allele_ids: Column, multiple: Colu
     """A cell of the typing table. A class label wins, then missing, several alleles, copies, and the call's mark."""
     ordered = F.array_join(F.transform(F.array_sort(F.transform(allele_ids, lambda a: F.struct(F.when(a.rlike("^[0-9]+$"), 0).otherwise(1).alias("t"), F.coalesce(a.try_cast("bigint"), F.lit(0)).alias("n"), a.alias("a")))), lambda s: s["a"]), ",")
     copied = (call == "exact") & (copies > 1)
-    repeat = F.array_join(F.array_repeat(allele, F.greatest(copies, F.lit(1))), ",") if count_same_copy else F.concat(allele, F.lit("*"))
+    repeat = F.array_join(F.array_repeat(allele, F.greatest(copies.cast("int"), F.lit(1))), ",") if count_same_copy else F.concat(allele, F.lit("*"))
     return (
         F.when(label.isNotNull(), label)
         .when((call == "missing") | allele.isNull(), "-")
