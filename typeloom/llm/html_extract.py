@@ -319,7 +319,9 @@ class Pages:
         if kind == 11:
             return f"<form{r.choice(['', cls('search', 'newsletter', 'login', 'subscribe')])}><label>{few}</label><input name='q'><p>{some}</p><select><option>{few}</option></select></form>"
         if kind == 12:
-            return f"<{(t := r.choice(['section', 'div']))}{cls('comments', 'comment-list', 'disqus')}><h2>{few}</h2>" + "".join(f"<{r.choice(['div', 'article', 'li'])}{r.choice(['', cls('comment', 'reply')])}><p>{self.words(5, 60)}</p></div>" for _ in range(r.randint(1, 5))) + f"</{t}>"
+            t, c = r.choice(["section", "div"]), r.choice(["div", "article", "li"])
+            said = "".join(f"<{c}{r.choice(['', cls('comment', 'reply')])}><p>{self.words(5, 60)}</p></{c}>" for _ in range(r.randint(1, 5)))
+            return f"<{t}{cls('comments', 'comment-list', 'disqus')}><h2>{few}</h2>{said}</{t}>"
         if kind == 13:
             return f"<div{cls('share', 'social')}><a href='#'>{few}</a> <a href='#'>{few}</a></div>"
         if kind == 14:
@@ -347,7 +349,7 @@ class Pages:
             else:
                 parts.append(f"<div>{body}</div>")
             if r.random() < 0.06:
-                parts.append("</p></b>" + self.boiler())
+                parts.append("</p>" + self.boiler())
         body = "".join(parts)
         name = r.choice(["content", "main-content", "post", "entry", "article", "story", "entry-content", "post-body", "text"])
         return r.choice([f"<article>{body}</article>"] * 3 + [f"<article class='{name}'>{body}</article>", f"<main>{body}</main>", f"<main><article>{body}</article></main>", f"<div class='{name}'>{body}</div>", f"<div id='{name}'>{body}</div>", f"<div>{body}</div>", f"<section>{body}</section>"])
@@ -363,7 +365,7 @@ class Pages:
 
 
 @lru_cache(maxsize=1)
-def model(pages: int = 1000, seed: int = 11) -> Boosted:
+def model(pages: int = 1400, seed: int = 11) -> Boosted:
     """The trees, trained on generated pages; the same at every call."""
     maker, xs, ys = Pages(seed), [], []
     for _ in range(pages):
