@@ -99,6 +99,28 @@ def test_collapse(spark):
     assert sorted((r.s, r.t, r.weight) for r in graph.restore_duplicates(tree, matrix.collapse(p)).collect()) == [("A", "B", 0), ("A", "C", 1)]
 
 
+def test_rooted_tree(spark):
+    rng = random.Random(3)
+    n = 9
+    edges = [(rng.randrange(i), i, rng.randint(1, 4)) for i in range(1, n)]
+    tree = spark.createDataFrame(edges, "source long, target long, weight long")
+    info = spark.createDataFrame([(i, f"s {i}", 1) for i in range(n)], "id long, label string, member_count long")
+    dist = np.full((n, n), 10**6)
+    np.fill_diagonal(dist, 0)
+    for a, b, w in edges:
+        dist[a, b] = dist[b, a] = w
+    for k in range(n):
+        dist = np.minimum(dist, dist[:, k : k + 1] + dist[k : k + 1])
+    want = min((int(dist[i].max()), int(dist[i].sum()), i) for i in range(n))
+    r = graph.choose_root(info, tree).first()
+    assert (r.eccentricity, r.total, r.id) == want
+    hung = graph.rooted(tree, r.id)
+    assert {x.id: x.distance for x in hung.collect()} == {i: int(dist[r.id, i]) for i in range(n)}
+    assert {x.id: x.n_descendants for x in graph.descendants(hung).collect()}[r.id] == n - 1
+    text = graph.newick(info, hung).first()[0]
+    assert text.endswith(f"s_{r.id};") and text.count("s_") == n and text.count("(") == text.count(")")
+
+
 def test_arborescence_against_all_trees():
     rng = random.Random(5)
     for _ in range(60):

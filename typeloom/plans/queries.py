@@ -464,6 +464,45 @@ def g8_tree_size(spark, d):
     return graph.kruskal_tree(nodes).agg(F.count("*").alias("n_edges"))
 
 
+@query(f"with {_PAIRS}, e as (select *, asymmetric_weight * (greatest(1, n) + 1) + weight as combined_weight, row_number() over (partition by target order by asymmetric_weight * (greatest(1, n) + 1) + weight, asymmetric_weight, 's' || source, 's' || target, source) as r from prs) select target, source, weight, combined_weight from e where r = 1")
+def w8_least_incoming(spark, d):
+    nodes = _nodes(spark, d)
+    return graph.least_incoming(matrix.pairs(nodes, directed=True), nodes.select("id", F.concat(F.lit("s"), F.col("id").cast("string")).alias("label")))
+
+
+@query(f"""with {_PAIRS}, h as (select source as id, (select count(distinct sample_ordinal) from cells)::double / sum(1 / (weight + 0.1::double)) as h from prs group by 1)
+select id, (row_number() over (order by round(h, 9), id) - 1) / (select count(*) from h)::double as weight from h""")
+def w6_harmonic_weights(spark, d):
+    nodes = _nodes(spark, d).select("id", "profile", F.lit(1).alias("member_count"))
+    return graph.harmonic_weights(nodes, matrix.pairs(nodes, directed=True).select("source", F.col("weight").alias("d")))
+
+
+def _tree(spark, d):
+    nodes = matrix.collapse(matrix.to_profiles(M.matrix(spark, d))).select(F.col("sample_ordinal").alias("id"), "label", "profile", F.col("duplicates").alias("member_count"))
+    return nodes, graph.spanning_tree(nodes)
+
+
+@query(None)
+def g10_root(spark, d):
+    """Root of the spanning tree."""
+    return graph.choose_root(*_tree(spark, d))
+
+
+@query(None)
+def g11_rooted_tree(spark, d):
+    """The spanning tree hung from its root, with the number of descendants."""
+    nodes, tree = _tree(spark, d)
+    hung = graph.rooted(tree, graph.choose_root(nodes, tree).first()["id"])
+    return hung.join(graph.descendants(hung), "id")
+
+
+@query(None)
+def k17_newick(spark, d):
+    """The spanning tree in Newick form."""
+    nodes, tree = _tree(spark, d)
+    return graph.newick(nodes, graph.rooted(tree, graph.choose_root(nodes, tree).first()["id"]))
+
+
 # --- scheme-free and novel data: W5, A18, A19, A22, A29, K12, P21, P22, J16, J18-J20 ---
 _GENES = """gn as (select source as sample_id, doc_id as gene_ordinal, text as seq, lang from documents), cl as (select md5(seq) as cluster, min(gene_ordinal) as f from gn group by 1), nm as (select cluster, 'locus_' || row_number() over (order by f, cluster) as locus from cl),
 lo as (select g.*, n.locus from gn g join nm n on md5(g.seq) = n.cluster)"""
