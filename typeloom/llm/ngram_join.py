@@ -212,10 +212,12 @@ def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with all columns: that with the smallest doc_id.
 
-    Documents without words stay. Of rows that repeat the kept doc_id all stay if their texts differ, one if they are
-    alike in every column. Rows with a null doc_id stay only if no row of their component has one.
+    Documents without words stay. Of rows that repeat the kept doc_id all stay if their texts differ, one of each text. Rows with a null doc_id stay only if no row of their component has one.
     """
     found = join_components(docs, percent)
     alone = (F.col("n_shingles") == 0) | F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     kept = found.filter(alone).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    # only a table that repeats ids can hold the same document twice, and only then are its texts shuffled once more
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out

@@ -22,6 +22,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -56,36 +57,43 @@ def encoder(vocabulary: str) -> Callable[[str], list[int]]:
 
 
 class Cache(dict):
-    """Ids of words seen, emptied when it grows large."""
+    """Ids of words seen after a space, as bytes; emptied when it grows large."""
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    def __init__(self, vocabulary: str, most: int = 1_000_000):
         self.encode, self.most = encoder(vocabulary), most
 
-    def __missing__(self, word: str) -> np.ndarray:
+    def of(self, piece: str) -> bytes:
+        return np.array(self.encode(piece), np.uint16).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = np.array(self.encode(word), np.uint16)
-        self[word] = ids
+        ids = self[word] = self.of(" " + word)
         return ids
 
 
+#: White space other than a single space between two other characters.
+_ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
 def pieces(text: str) -> list[str]:
-    """The text cut before every single space between two characters that aren't white space; their ids, one after the
-    other, are the ids of the text."""
-    parts = text.split(" ")
-    out, held = [], parts[0]
-    for p in parts[1:]:
-        if p and held and not p[0].isspace() and not held[-1].isspace():
-            out.append(held)
-            held = " " + p
-        else:
-            held += " " + p
-    out.append(held)
-    return out
+    """The text cut at every single space between two characters that aren't white space. Each piece but the first is
+    encoded with its space before it; the ids, one after the other, are the ids of the text."""
+    return _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
 
-def token_ids(text: str, cache: Cache) -> np.ndarray:
-    return np.concatenate([cache[p] for p in pieces(text)]) if text else np.zeros(0, np.uint16)
+def token_bytes(text: str, cache: Cache) -> bytes:
+    if not text:
+        return b""
+    parts = pieces(text)
+    return cache.of(parts[0]) + b"".join(map(cache.__getitem__, parts[1:]))
+
+
+@lru_cache(maxsize=1)
+def shared_cache(vocabulary: str) -> Cache:
+    """One cache for each process: a worker keeps what it has learnt from task to task."""
+    return Cache(vocabulary)
 
 
 def feistel(slots: np.ndarray, n: int, key: int, backward: bool = False) -> np.ndarray:
@@ -117,21 +125,10 @@ def _count(source: DataFrame, vocabulary: str) -> DataFrame:
     """pid, doc_id, start (of the document in its partition's stream), n_tokens with the end mark, and running checksums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, pid, at, check = Cache(vocabulary), TaskContext.get().partitionId(), 0, 0
-        sizes: dict[str, int] = {}
+        cache, pid, at, check = shared_cache(vocabulary), TaskContext.get().partitionId(), 0, 0
         for batch in chunks(batches, "text"):
             check = zlib.crc32(_checksum(batch).to_bytes(4, "little"), check)
-            n = []
-            for text in batch.column(1).to_pylist():
-                total = 1
-                for p in pieces(text) if text else ():
-                    k = sizes.get(p)
-                    if k is None:
-                        if len(sizes) > cache.most:
-                            sizes.clear()
-                        k = sizes[p] = len(cache.encode(p))
-                    total += k
-                n.append(total)
+            n = [len(token_bytes(text, cache)) // 2 + 1 if text else 1 for text in batch.column(1).to_pylist()]
             ends = at + np.cumsum(n)
             yield pa.RecordBatch.from_arrays([pa.array([pid] * len(n), pa.int32()), batch.column(0), pa.array(ends - n), pa.array(n, pa.int64()), pa.array([check] * len(n), pa.int64())], ["pid", "doc_id", "start", "n_tokens", "checked"])
             at = int(ends[-1])
@@ -177,7 +174,7 @@ def _with_offsets(listing: DataFrame, offset: dict[int, int]) -> DataFrame:
 
 def _write(source: DataFrame, path: str, key: int, vocabulary: str, offset: dict[int, int], checks: dict[int, int], total: int) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, pid, index, check = Cache(vocabulary), TaskContext.get().partitionId(), None, 0
+        cache, pid, index, check = shared_cache(vocabulary), TaskContext.get().partitionId(), None, 0
         rest = np.zeros(0, np.uint16)
 
         def records(tokens: np.ndarray, first: int) -> pa.RecordBatch:
@@ -192,12 +189,11 @@ def _write(source: DataFrame, path: str, key: int, vocabulary: str, offset: dict
         for batch in chunks(batches, "text"):
             index = offset[pid] if index is None else index
             check = zlib.crc32(_checksum(batch).to_bytes(4, "little"), check)
-            parts = [rest]
+            end = np.full(1, END, np.uint16).tobytes()
+            parts = [rest.tobytes()]
             for text in batch.column(1).to_pylist():
-                if text:
-                    parts += [cache[p] for p in pieces(text)]
-                parts.append(np.full(1, END, np.uint16))
-            rest = np.concatenate(parts)
+                parts += (token_bytes(text, cache), end) if text else (end,)
+            rest = np.frombuffer(b"".join(parts), np.uint16)
             if n := len(rest) // LENGTH:
                 yield records(rest, index)
                 index, rest = index + n, rest[n * LENGTH :]
