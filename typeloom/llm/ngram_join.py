@@ -12,6 +12,8 @@ Documents are sets of five-word shingles (64-bit hashes); two link when 100 * in
    other group that shares a posted shingle with it, if sizes and places in the order allow a link to some member. Its
    overlap with the union bounds its overlap with any member, so only groups holding 80 % of the query are opened (a
    group with one member in question is opened at once, as its check is the same work).
+   Before that, a query is checked against the few members of a group it shares most postings with: one link joins it
+   to the group, which then needs no more checks.
 5. Members of opened groups that pass the same filters are checked exactly. All verified links give the components.
 
 A large group of near copies is one group after step 3, so it costs a number of checks that is linear in its size. No
@@ -41,7 +43,9 @@ from typeloom.llm.kernels import Words, chunks, grams, mix
 
 SHINGLE = 5
 PERCENT = 80
-SKETCH_BITS = 20
+SKETCH_BITS = 22
+#: Members of a group that a query is checked against before the bound; all others follow unless one of these links.
+FIRST_TRIES = 3
 _PIECES = 16
 
 
@@ -186,7 +190,15 @@ def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     mixed = table(mixed, "mixed-lists")
     other = mixed.select("post", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "at", "comp")])
     meet = mixed.join(other, "post").filter((F.col("comp") < F.col("o_comp")) & _may_link("n", "at", "o_n", "o_at", percent))
-    cand = table(meet.select("id", F.col("n").cast("long").alias("n"), F.col("o_comp").alias("comp"), F.col("o_id").alias("member")).distinct(), "queries")
+    cand = table(meet.groupBy("id", F.col("n").cast("long").alias("n"), F.col("o_comp").alias("comp"), F.col("o_id").alias("member")).agg(F.count("*").alias("shared")), "queries")
+    # one link joins a query to a group, so the members that share most postings are tried first
+    order = W.partitionBy("id", "comp").orderBy(F.desc("shared"), "member")
+    first_tries = cand.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= FIRST_TRIES).select(F.col("id").alias("a"), F.col("member").alias("b")).distinct()
+    links = links.unionByName(table(_check(first_tries, texts, percent), "first-links"))
+    groups = components(links)
+    named = lambda c: groups.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
+    cand = cand.drop("comp").join(named("id"), "id", "left").join(named("member"), "member", "left").withColumn("comp", F.coalesce("member_comp", "member"))
+    cand = table(cand.filter(F.coalesce("id_comp", "id") != F.col("comp")).select("id", "n", "comp", "member"), "queries")
     # a group with one member in question is opened by the exact check itself; larger ones are bounded by their union
     cand = cand.withColumn("k", F.count("*").over(W.partitionBy("id", "comp")))
     large = cand.filter("k > 1")
