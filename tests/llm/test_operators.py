@@ -223,6 +223,22 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, block=3).collect()} == got
 
 
+def test_decontamination_recall_of_longer_items():
+    rng = np.random.default_rng(5)
+    short = [(i, " ".join(f"s{i}x{k}" for k in range(4))) for i in range(200)]
+    long = [(200 + i, " ".join(f"l{i}x{k}" for k in range(120 + i % 80))) for i in range(150)]
+    texts = []
+    for i, t in long:
+        w = t.split()
+        for n in range(len(w) // 5):
+            k = int(rng.integers(len(w)))
+            w[k : k + 1] = [[f"n{i}y{n}"], [], [f"n{i}y{n}", w[k]]][int(rng.integers(3))]
+        texts.append(" ".join(f"p{i}z{k}" for k in range(30)) + " " + " ".join(w) + f" end{i}")
+    index = decontam.build([*short, *long])
+    got = {(r, index.ids[x]) for r, x, *_ in decontam.find(pa.array(texts), index)}
+    assert got == {(r, i) for r, (i, _) in enumerate(long)}
+
+
 # --- 8 quality ---
 def test_quality(spark):
     texts = [*EDGE, "\n".join(["SHOUT!! NOW!! BUY!! IT!!"] * 20), "\n".join(f"A{i} | b{i} | c{i} | d{i}" for i in range(40)), PROSE[4] + "\n" + PROSE[4] + "\nééé # x\n# x\n"]

@@ -7,8 +7,10 @@ distance to some stretch of a document is at most `share` percent of m.
    the stretch, on diagonals within e of each other. This counting bound loses nothing.
 2. Windows of the item sizes at these places are embedded by CGK random walks (a shared random bit for each step and
    word decides whether the walk stays or moves on), which turn edit distance into Hamming distance. Bit sampling of
-   the embeddings, repeated with independent walks, retrieves items; the number of repetitions is set so that windows
-   with the most edits allowed meet their item with probability `recall` (agreement measured on edited items).
+   the embeddings, repeated with independent walks, retrieves items; the number of repetitions is set for each size class
+   so that windows with the most edits allowed meet their item with probability `recall` (agreement measured on edited
+   copies of all its items). A class that would need more than MOST_TABLES repetitions has none: all places of step 1
+   are verified exactly, which costs less and misses nothing.
 3. Retrieved pairs are verified by the exact edit distance of the item to the best stretch around the window.
 
 The benchmark is a stated query set: it is read in blocks of `block` items, each held by every task, against all rows.
@@ -21,6 +23,8 @@ or benchmark table gives an empty result (and keeps all documents); extra column
 from __future__ import annotations
 
 import math
+import random
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +40,10 @@ RECALL = 0.999
 BLOCK = 20_000
 GRAM = 3
 SAMPLES = 2
+#: Beyond so many repetitions the exact check of every place is the cheaper one; it finds all, so this steers cost only.
+MOST_TABLES = 256
+#: Edited copies measured in each size class, at least; each item has one or more.
+COPIES = 1000
 _TABLE_BITS = 22
 _PAD = np.uint64(0)
 
@@ -56,14 +64,17 @@ def walks(h: np.ndarray, start: np.ndarray, stop: np.ndarray, seeds: np.ndarray,
     return out
 
 
-def repetitions(p: float, recall: float) -> int:
-    """How many tables of SAMPLES sampled places reach the recall, if each place agrees with probability p."""
-    return int(min(96, max(16, math.ceil(math.log(1 - recall) / math.log(max(1e-9, 1 - min(p, 0.95) ** SAMPLES))))))
+def repetitions(q: np.ndarray, recall: float) -> int | None:
+    """How many tables reach the recall over windows whose sampled places all agree with probabilities q; none if it takes more than MOST_TABLES."""
+    for n in range(16, MOST_TABLES + 1):
+        if np.mean((1 - q) ** n) <= 1 - recall:
+            return n
+    return None
 
 
 @dataclass
 class Index:
-    """Of a block of items: words, gram table, and LSH tables by size class."""
+    """Of a block of items: words, gram table, LSH tables by size class, and the size classes that have none."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -75,10 +86,11 @@ class Index:
     gram_at: np.ndarray
     bitmap: np.ndarray
     sizes: list[int]
-    seeds: np.ndarray
+    seeds: dict[int, np.ndarray]
     picks: dict[int, np.ndarray]
     tables: dict[tuple[int, int], dict[int, list[int]]]
     known: dict[tuple[int, int], np.ndarray]
+    exact: set[int]
 
 
 def _class(m: int) -> int:
@@ -86,19 +98,30 @@ def _class(m: int) -> int:
     return int(math.log(max(m, 1), 1.25))
 
 
-def _agreement(words: list[np.ndarray], share: int, rng: np.random.Generator) -> float:
-    """Agreement of embeddings of items and of copies with as many random edits as allowed: a low quantile over 200 copies."""
-    seen = []
-    for w in (words * -(-200 // max(len(words), 1)))[:200]:
-        copy = w.tolist()
-        for _ in range(int(most_edits(len(w), share))):
-            k = int(rng.integers(len(copy)))
-            kind = int(rng.integers(3))
-            copy[k : k + (kind != 1)] = [] if kind == 0 and len(copy) > 1 else [int(rng.integers(1 << 62))]
-        both = np.concatenate([w, np.array(copy, np.uint64)])
-        e = walks(both, np.array([0, len(w)]), np.array([len(w), len(both)]), np.arange(8, dtype=np.uint64), int(1.5 * len(w)) + 1)
-        seen.append((e[:, 0] == e[:, 1]).mean())
-    return float(np.quantile(seen, 0.05)) if seen else 0.5
+def _agreement(words: list[np.ndarray], edits: list[int], size: int, rng: random.Random) -> np.ndarray:
+    """Of copies of all items with as many random edits as allowed: the chance that all sampled places of item and window agree."""
+    steps, out = max(SAMPLES, int(1.5 * size)), []
+    todo = [i for i in range(len(words)) for _ in range(-(-COPIES // len(words)))]
+    for part in range(0, len(todo), 256):
+        flat, start, n = [], [], 0
+        for i in todo[part : part + 256]:
+            w, e = words[i].tolist(), edits[i]
+            copy = list(enumerate(w))
+            for _ in range(e):
+                k, kind = rng.randrange(len(copy)), rng.randrange(3)
+                copy[k : k + (kind != 1)] = [] if kind == 0 and len(copy) > 1 else [(-9, rng.getrandbits(62))]
+            # the window begins where find() has it begin, on the diagonal of most grams kept
+            lines = Counter(k - copy[k][0] for k in range(len(copy) - GRAM + 1) if copy[k][0] >= 0 and all(copy[k + j][0] == copy[k][0] + j for j in range(GRAM)))
+            line = max(lines, key=lines.get) if lines else 0
+            around = [rng.getrandbits(62) for _ in range(2 * e + size)]
+            start += [n, n + len(w) + e + line]
+            row = [*w, *around[:e], *(x for _, x in copy), *around[e:]]
+            flat += row
+            n += len(row)
+        begin = np.array(start)
+        e = walks(np.array(flat, np.uint64), begin, begin + size, np.arange(8, dtype=np.uint64), steps)
+        out.append(((e[:, ::2] == e[:, 1::2]).mean(2) ** SAMPLES).mean(0))
+    return np.concatenate(out)
 
 
 def build(items: list[tuple[int, str]], share: int = SHARE, recall: float = RECALL) -> Index:
@@ -118,23 +141,32 @@ def build(items: list[tuple[int, str]], share: int = SHARE, recall: float = RECA
     bitmap = np.zeros(1 << _TABLE_BITS, bool)
     bitmap[(distinct >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
     rng = np.random.default_rng(7)
-    reps = repetitions(_agreement(words, share, rng), recall)
-    seeds = mix(np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     sizes = sorted({_class(len(x)) for x in words})
-    picks, tables = {}, {}
+    seeds, picks, tables, exact = {}, {}, {}, set()
     for c in sizes:
         members = [i for i, x in enumerate(words) if _class(len(x)) == c]
         size = min(len(words[i]) for i in members)
+        reps = repetitions(_agreement([words[i] for i in members], [int(edits[i]) for i in members], size, random.Random(c)), recall)
+        if reps is None:
+            exact.add(c)
+            continue
+        seeds[c] = mix(np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         picks[c] = np.stack([rng.choice(max(SAMPLES, int(1.5 * size)), SAMPLES, replace=False) for _ in range(reps)])
         flat = np.concatenate([words[i][:size] for i in members])
         start = np.arange(len(members)) * size
-        sampled = _samples(flat, start, start + size, seeds, picks[c])
+        part = _most_windows(reps, size)
+        sampled = np.concatenate([_samples(flat, start[k : k + part], start[k : k + part] + size, seeds[c], picks[c]) for k in range(0, len(start), part)], 1)
         for r in range(reps):
             t = tables.setdefault((c, r), {})
             for i, k in zip(members, sampled[r].tolist(), strict=True):
                 t.setdefault(k, []).append(i)
         picks[c] = np.concatenate([picks[c], np.full((reps, 1), size)], 1)
-    return Index([items[i][0] for i in some], words, edits, np.maximum(1, m - np.minimum(GRAM, m) + 1 - GRAM * edits), distinct, np.append(first, len(keys)), item, place, bitmap, sizes, seeds, picks, tables, {k: np.sort(np.fromiter(t, np.uint64, len(t))) for k, t in tables.items()})
+    return Index([items[i][0] for i in some], words, edits, np.maximum(1, m - np.minimum(GRAM, m) + 1 - GRAM * edits), distinct, np.append(first, len(keys)), item, place, bitmap, sizes, seeds, picks, tables, {k: np.sort(np.fromiter(t, np.uint64, len(t))) for k, t in tables.items()}, exact)
+
+
+def _most_windows(reps: int, size: int) -> int:
+    """How many windows are embedded at once, in about 64 MB."""
+    return max(1, (1 << 23) // (reps * max(SAMPLES, int(1.5 * size))))
 
 
 def _samples(h: np.ndarray, start: np.ndarray, stop: np.ndarray, seeds: np.ndarray, picks: np.ndarray) -> np.ndarray:
@@ -158,6 +190,52 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row.min()), int(row.argmin())
 
 
+def best_stretches(items: list[np.ndarray], h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """best_stretch of each item in h[lo:hi], many at once."""
+    m, span = np.array([len(x) for x in items]), hi - lo
+    edits, ends = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+    order, k = np.lexsort((span, m)), 0
+    while k < len(order):
+        n = max(1, (1 << 18) // (int(span[order[k : k + 512]].max()) + 1))
+        at = order[k : k + min(n, 512)]
+        k += len(at)
+        wide, tall = int(span[at].max()), int(m[at].max())
+        place = lo[at, None] + np.arange(wide)
+        text = np.where(place < hi[at, None], h[np.minimum(place, len(h) - 1)], _PAD)
+        item = np.zeros((len(at), tall), np.uint64)
+        for j, i in enumerate(at.tolist()):
+            item[j, : len(items[i])] = items[i]
+        row, ramp = np.zeros((len(at), wide + 1), np.int32), np.arange(wide + 1, dtype=np.int32)
+        for i in range(1, tall + 1):
+            new = np.empty_like(row)
+            new[:, 0] = i
+            new[:, 1:] = np.minimum(row[:, :-1] + (text != item[:, i - 1 : i]), row[:, 1:] + 1)
+            row = np.minimum.accumulate(new - ramp, 1) + ramp
+            done = np.flatnonzero(m[at] == i)
+            edits[at[done]], ends[at[done]] = row[done].min(1), row[done].argmin(1)
+    return edits, ends
+
+
+def _check_places(lines: np.ndarray, hits_of: np.ndarray, w: Words, h: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item number, edits, first word) of the finds around sorted diagonals (row, item, diagonal) and their counts of grams."""
+    e = index.edits[lines[:, 1]]
+    # the grams of a find lie on diagonals within 2 e of each other
+    apart = np.concatenate([[True], (lines[1:, :2] != lines[:-1, :2]).any(1) | (lines[1:, 2] - lines[:-1, 2] > 2 * e[1:])])
+    first = np.flatnonzero(apart)
+    last = np.append(first[1:], len(lines)) - 1
+    enough = np.add.reduceat(hits_of, first) >= index.least[lines[first, 1]]
+    first, last = first[enough], last[enough]
+    r, x = lines[first, 0], lines[first, 1]
+    e, m = index.edits[x], np.array([len(i) for i in index.words])[x]
+    lo = np.maximum(w.first[r], lines[first, 2] - 4096 + w.first[r] - e)
+    hi = np.minimum(w.first[r + 1], lines[last, 2] - 4096 + w.first[r] + m + 2 * e)
+    edits, ends = best_stretches([index.words[i] for i in x.tolist()], h, lo, hi)
+    for k in np.flatnonzero(edits <= e).tolist():
+        end = int(lo[k] + ends[k])
+        back = best_stretch(index.words[x[k]][::-1], h[lo[k] : end][::-1])[1]
+        yield int(r[k]), int(x[k]), int(edits[k]), end - back - int(w.first[r[k]])
+
+
 def find(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item number, edits, first word, words) of each item found in the texts of a piece, best place only."""
     w = Words(column, lower=True, sep=LOOSE)
@@ -196,25 +274,32 @@ def find(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, i
     lines, _, hits_of = _unique_rows(np.stack([w.row[at[use]], item[use], diagonal[use]], 1)) if use.any() else (np.zeros((0, 3), np.int64), None, np.zeros(0, np.int64))
     if not len(lines):
         return
+    of_class = np.array([_class(len(x)) for x in index.words])
+    whole = np.isin(of_class[lines[:, 1]], list(index.exact))
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for r, x, edits, b in _check_places(lines[whole], hits_of[whole], w, h, index) if whole.any() else ():
+        if edits < best.get((r, x), (edits + 1, 0, 0))[0]:
+            best[r, x] = (edits, b, len(index.words[x]))
+    lines, hits_of = lines[~whole], hits_of[~whole]
     span = np.array([len(x) for x in index.words])[lines[:, 1]] + 2 * index.edits[lines[:, 1]] + 1
     order = np.lexsort((-hits_of, lines[:, 2] // span, lines[:, 1], lines[:, 0]))
     lines, cell = lines[order], (lines[:, 2] // span)[order]
-    lead = np.concatenate([[True], (lines[1:, :2] != lines[:-1, :2]).any(1) | (cell[1:] != cell[:-1])])
+    lead = np.concatenate([np.ones(min(1, len(lines)), bool), (lines[1:, :2] != lines[:-1, :2]).any(1) | (cell[1:] != cell[:-1])])
     lines = lines[lead]
-    of_class = np.array([_class(len(x)) for x in index.words])[lines[:, 1]]
+    of_class = of_class[lines[:, 1]]
     pairs: set[tuple[int, int, int]] = set()
     for c in np.unique(of_class).tolist():
         size = int(index.picks[c][0, -1])
         starts = np.unique(lines[of_class == c][:, [0, 2]], axis=0)
-        for part in range(0, len(starts), 4096):
-            r = starts[part : part + 4096, 0]
-            b = np.maximum(starts[part : part + 4096, 1] - 4096 + w.first[r], w.first[r])
-            keys = _samples(h, b, np.minimum(b + size, w.first[r + 1]), index.seeds, index.picks[c][:, :-1])
-            for rep in range(len(index.seeds)):
+        most = _most_windows(len(index.seeds[c]), size)
+        for part in range(0, len(starts), most):
+            r = starts[part : part + most, 0]
+            b = np.maximum(starts[part : part + most, 1] - 4096 + w.first[r], w.first[r])
+            keys = _samples(h, b, np.minimum(b + size, w.first[r + 1]), index.seeds[c], index.picks[c][:, :-1])
+            for rep in range(len(index.seeds[c])):
                 t = index.tables[c, rep]
                 for i in np.flatnonzero(np.isin(keys[rep], index.known[c, rep])).tolist():
                     pairs.update((int(r[i]), int(b[i]), x) for x in t[int(keys[rep, i])])
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for r, b, x in sorted(pairs):
         item_words, e = index.words[x], int(index.edits[x])
         if best.get((r, x), (e + 1, 0, 0))[0] == 0:
