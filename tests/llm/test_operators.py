@@ -239,6 +239,14 @@ def test_decontamination_recall_of_longer_items():
     assert got == {(r, i) for r, (i, _) in enumerate(long)}
 
 
+@pytest.mark.parametrize("words", [5, 6, 9, 10])
+def test_decontamination_of_short_items_loses_no_place(words):
+    index = decontam.build([(1, " ".join(f"w{k}" for k in range(words)))])
+    for k in range(words):
+        changed = " ".join("other" if k == j or (words == 10 and j == (k + 3) % 10) else f"w{j}" for j in range(words))
+        assert [r[0] for r in decontam.find(pa.array([f"before it {changed} behind it", "w0 a w1 b w2 c"]), index)] == [0], k
+
+
 # --- 8 quality ---
 def test_quality(spark):
     texts = [*EDGE, "\n".join(["SHOUT!! NOW!! BUY!! IT!!"] * 20), "\n".join(f"A{i} | b{i} | c{i} | d{i}" for i in range(40)), PROSE[4] + "\n" + PROSE[4] + "\nééé # x\n# x\n"]

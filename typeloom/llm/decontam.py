@@ -4,7 +4,8 @@ Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. An
 distance to some stretch of a document is at most `share` percent of m.
 
 1. Places that could hold an item: with e edits an item still shares at least m - 2 - 3 e of its three-word grams with
-   the stretch, on diagonals within e of each other. This counting bound loses nothing.
+   the stretch, on diagonals within e of each other. Items for which that is below 1 (five words) have shorter grams,
+   k = m / (1 + e) words, so that one is always left. This counting bound loses nothing.
 2. Windows of the item sizes at these places are embedded by CGK random walks (a shared random bit for each step and
    word decides whether the walk stays or moves on), which turn edit distance into Hamming distance. Bit sampling of
    the embeddings, repeated with independent walks, retrieves items; the number of repetitions is set for each size class
@@ -52,6 +53,11 @@ def most_edits(m: np.ndarray | int, share: int = SHARE) -> np.ndarray | int:
     return m * share // 100
 
 
+def gram_size(m: int, e: int) -> int:
+    """The longest grams, of GRAM words at most, of which e edits leave an item of m words at least one."""
+    return max(1, min(GRAM, m // (1 + e)))
+
+
 def walks(h: np.ndarray, start: np.ndarray, stop: np.ndarray, seeds: np.ndarray, steps: int) -> np.ndarray:
     """CGK embeddings, seeds x windows x steps: the word under the walk at each step (0 past the window's end)."""
     at = np.broadcast_to(start, (len(seeds), len(start))).copy()
@@ -79,6 +85,7 @@ class Index:
     ids: list[int]
     words: list[np.ndarray]
     edits: np.ndarray
+    gram_size: np.ndarray
     least: np.ndarray
     gram_keys: np.ndarray
     gram_first: np.ndarray
@@ -131,7 +138,8 @@ def build(items: list[tuple[int, str]], share: int = SHARE, recall: float = RECA
     words = [h[w.first[i] : w.first[i + 1]] for i in some]
     m = np.array([len(x) for x in words], np.int64)
     edits = np.where(m < 5, 0, most_edits(m, share))
-    g = [grams(x, min(GRAM, len(x))) for x in words]
+    size_of = np.array([gram_size(len(x), int(e)) for x, e in zip(words, edits, strict=True)], np.int64)
+    g = [grams(x, int(k)) for x, k in zip(words, size_of, strict=True)]
     keys = np.concatenate(g) if g else np.zeros(0, np.uint64)
     item = np.repeat(np.arange(len(g)), [len(x) for x in g])
     place = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
@@ -161,7 +169,7 @@ def build(items: list[tuple[int, str]], share: int = SHARE, recall: float = RECA
             for i, k in zip(members, sampled[r].tolist(), strict=True):
                 t.setdefault(k, []).append(i)
         picks[c] = np.concatenate([picks[c], np.full((reps, 1), size)], 1)
-    return Index([items[i][0] for i in some], words, edits, np.maximum(1, m - np.minimum(GRAM, m) + 1 - GRAM * edits), distinct, np.append(first, len(keys)), item, place, bitmap, sizes, seeds, picks, tables, {k: np.sort(np.fromiter(t, np.uint64, len(t))) for k, t in tables.items()}, exact)
+    return Index([items[i][0] for i in some], words, edits, size_of, np.maximum(1, m - size_of + 1 - size_of * edits), distinct, np.append(first, len(keys)), item, place, bitmap, sizes, seeds, picks, tables, {k: np.sort(np.fromiter(t, np.uint64, len(t))) for k, t in tables.items()}, exact)
 
 
 def _most_windows(reps: int, size: int) -> int:
@@ -243,7 +251,7 @@ def find(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, i
     if not len(index.words) or not len(h):
         return
     hits = []
-    for k in sorted({min(GRAM, len(x)) for x in index.words}):
+    for k in np.unique(index.gram_size).tolist():
         g = grams(h, k)
         at = np.flatnonzero(index.bitmap[(g >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]) if len(g) else np.zeros(0, np.int64)
         at = at[w.row[at] == w.row[at + k - 1]]
