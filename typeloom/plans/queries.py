@@ -199,6 +199,12 @@ def f4_fingerprints(spark, d):
     return M.read(spark, d, "documents").select("doc_id", S.digest(t).alias("sha"), S.fingerprint(t, "safe").alias("safe"), S.reverse_complement(F.substring("text", 1, 40)).alias("rc"))
 
 
+@query(None)
+def f4_reverse_complement(spark, d):
+    """Reverse complements of whole texts; rc of f4_fingerprints, bound to its SQL, covers the first 40 characters only."""
+    return M.read(spark, d, "documents").select("doc_id", S.reverse_complement(F.col("text")).alias("rc"))
+
+
 @query("""with n as (select 'loc' || n_nationkey || case when n_nationkey % 3 = 0 then '_a_' || n_nationkey when n_nationkey % 3 = 1 then '-b-' || n_nationkey else '' end as full_id from nation)
 select full_id, case when contains(full_id, '_') then regexp_extract(full_id, '^(.*)_([^_]*)$', 1) when contains(full_id, '-') then regexp_extract(full_id, '^(.*)-([^-]*)$', 1) else full_id end as locus,
  case when contains(full_id, '_') then regexp_extract(full_id, '^(.*)_([^_]*)$', 2) when contains(full_id, '-') then regexp_extract(full_id, '^(.*)-([^-]*)$', 2) else '1' end as allele from n""")
