@@ -134,6 +134,20 @@ def test_components_edges(spark):
     assert ngram_join.keep_first(documents(spark, EDGE)).columns == documents(spark, EDGE).columns
 
 
+def test_link_counts(spark):
+    base = [f"word{k}" for k in range(60)]
+    near = [" ".join(base[:k] + ["x" + str(k % 30)] + base[k + 1 :]) for k in range(60)] + [" ".join(base), " ".join(base)]
+    texts = [*near_copies(), *near, None, "", "one two", "one two"]
+    sets = [ngram_join.shingle_sets(pa.array([t], pa.string())) for t in texts]
+    sets = [set(next(s).tolist()) for s in sets]
+    link = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+    want = {i: (sum(j != i and link(x, y) for j, y in enumerate(sets)), sum(j != i and bool(x) and x == y for j, y in enumerate(sets))) for i, x in enumerate(sets)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert max(n for n, _ in want.values()) > 40
+    for block in (1024, 7):
+        assert {r.doc_id: (r.n_links, r.n_equal) for r in ngram_join.join_links(df, block=block).collect()} == want
+
+
 # --- 4 secrets ---
 def test_secrets(spark):
     texts = [

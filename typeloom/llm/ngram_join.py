@@ -15,6 +15,9 @@ Documents are sets of five-word shingles (64-bit hashes); two link when 100 * in
    Before that, a query is checked against the few members of a group it shares most postings with: one link joins it
    to the group, which then needs no more checks.
 5. Members of opened groups that pass the same filters are checked exactly. All verified links give the components.
+6. For each document's number of links (`join_links`), every pair of classes of a component is decided: a component is
+   cut into blocks of about LINK_BLOCK classes, and a pair of blocks is one product of their shingle matrices. Only
+   counts leave it, so no row is made for a link.
 
 A large group of near copies is one group after step 3, so it costs a number of checks that is linear in its size. No
 list of postings, no group and no component is collected into one task or the driver.
@@ -46,6 +49,8 @@ PERCENT = 80
 SKETCH_BITS = 22
 #: Members of a group that a query is checked against before the bound; all others follow unless one of these links.
 FIRST_TRIES = 3
+#: Classes of a component in a block, on average.
+LINK_BLOCK = 1024
 _PIECES = 16
 
 
@@ -166,13 +171,13 @@ def _may_link(n: str, at: str, m: str, other: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent) & (most * (100 + percent) >= (F.col(n) + F.col(m)) * percent)
 
 
-def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (checked links of the document's class): a row for each row of `docs`."""
+def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows' sets, their classes, the texts of classes that may link, and the components of linked classes."""
     rows = table(profiles(docs, frequency_sketch(docs), percent), "sets")
     key = ["key_a", "key_b"]
     # 1. classes of equal sets, each standing for its first document
     first = F.min(F.struct(F.col("doc_id").isNull().alias("is_null"), F.coalesce("doc_id", F.lit(-(2**63))).alias("first_doc"), "text_hash")).alias("f")
-    classes = table(rows.filter("n > 0").groupBy(*key).agg(F.first("n").alias("n"), first, F.first("posted").alias("posted")).select(F.xxhash64(*key).alias("id"), *key, "n", "f.*", "posted"), "classes")
+    classes = table(rows.filter("n > 0").groupBy(*key).agg(F.first("n").alias("n"), F.count("*").alias("weight"), first, F.first("posted").alias("posted")).select(F.xxhash64(*key).alias("id"), *key, "n", "weight", "f.*", "posted"), "classes")
     # 2. posting lists of two classes or more, with the list's leader
     posts = classes.select("id", F.col("n").cast("int").alias("n"), F.posexplode("posted").alias("at", "post"))
     of_list = W.partitionBy("post")
@@ -210,15 +215,111 @@ def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     opened = large.join(bound.select("id", "comp"), ["id", "comp"], "left_semi").unionByName(cand.filter("k = 1")).select(F.col("id").alias("a"), F.col("member").alias("b")).distinct()
     opened = table(opened, "opened")
     links = links.unionByName(table(_check(opened, texts, percent), "member-links"))
-    comps = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
-    named = classes.select("id", *key, "first_doc", "is_null").join(comps, "id", "left").join(degree, "id", "left")
-    named = named.select(*key, F.coalesce("comp", "id").alias("comp"), F.when(~F.col("is_null"), F.col("first_doc")).alias("first_doc"), F.coalesce("count", F.lit(0)).alias("n_links"))
+    return rows, classes, texts, components(links)
+
+
+def _named(rows: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows with n_shingles, component_id, and the id and weight of their class."""
+    key = ["key_a", "key_b"]
+    named = classes.select("id", *key, "weight", "first_doc", "is_null").join(comps, "id", "left")
+    named = named.select("id", *key, "weight", F.coalesce("comp", "id").alias("comp"), F.when(~F.col("is_null"), F.col("first_doc")).alias("first_doc"))
     least = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
-    named = named.join(least, "comp").select(*key, "component_id", "n_links")
+    named = named.join(least, "comp").select(*key, "id", "weight", "component_id")
     # a document without words is alone
     found = rows.select("doc_id", F.col("n").alias("n_shingles"), *key).join(named, key, "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "id", "weight")
+
+
+def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of `docs`."""
+    rows, classes, _, comps = _linked(docs, percent)
+    return _named(rows, classes, comps).select("doc_id", "n_shingles", "component_id")
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray], most: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of shingle matrices of at most `most` columns."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    met = n > 1
+    column, owner = (np.cumsum(met) - 1)[column][met[column]], owner[met[column]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(met.sum()), most):
+        a, b = np.searchsorted(column, [first, first + most])
+        x = np.zeros((len(sets), min(most, int(met.sum()) - first)), np.float32)
+        x[owner[a:b], column[a:b] - first] = 1
+        out += x[: len(left)] @ x[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _weights_of_links(left: list[np.ndarray], right: list[np.ndarray], w_left: np.ndarray, w_right: np.ndarray, same: bool, percent: int, part: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of two blocks the summed weights of the sets of the other that it links with; of one block, if `same`."""
+    a, b = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    n_left, n_right = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
+    for i in range(0, len(left), part):
+        for j in range(0, len(right), part):
+            both = _shared(left[i : i + part], right[j : j + part])
+            link = 100 * both >= percent * (n_left[i : i + part, None] + n_right[None, j : j + part] - both)
+            if same and i == j:
+                np.fill_diagonal(link, False)
+            a[i : i + part] += link @ w_right[j : j + part]
+            b[j : j + part] += w_left[i : i + part] @ link
+    return a, b
+
+
+def _count_links(classes: DataFrame, texts: DataFrame, comps: DataFrame, percent: int, block: int) -> DataFrame:
+    """id, linked: how many rows of other classes each class links with, for all classes of components of two or more."""
+
+    def count(key: tuple, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        side, ids, weight = (t.column(c).to_numpy() for c in ("side", "id", "weight"))
+        sets = [x for part in chunks(iter(t.select(["text"]).to_batches()), "text") for x in shingle_sets(part.column(0))]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = key[1] == key[2]
+        if same:
+            right = left
+        a, b = _weights_of_links([sets[i] for i in left], [sets[i] for i in right], weight[left], weight[right], same, percent)
+        out = (ids[left], a) if same else (np.concatenate([ids[left], ids[right]]), np.concatenate([a, b]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["id", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if tuple(keys[lo].tolist()) != now:
+                    if parts:
+                        yield count(now, parts)
+                    now, parts = tuple(keys[lo].tolist()), []
+                parts.append(batch.slice(lo, hi - lo))
+        if parts:
+            yield count(now, parts)
+
+    sizes = comps.groupBy("comp").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    placed = comps.join(sizes, "comp").join(classes.select("id", "weight"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "weight")
+    key = ["comp", "lo", "hi"]
+    dealt = table(pairs, "block-pairs").join(texts, "id").select(*key, "side", "id", "weight", "text").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+
+
+def join_links(docs: DataFrame, percent: int = PERCENT, block: int = LINK_BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links, n_equal: a row for each row of `docs`.
+
+    n_links is the number of all other rows it links with, n_equal that of those with an equal set.
+    """
+    rows, classes, texts, comps = _linked(docs, percent)
+    comps = table(comps, "components")
+    linked = _count_links(classes, texts, comps, percent, block)
+    equal = F.coalesce(F.col("weight") - 1, F.lit(0))
+    found = _named(rows, classes, comps).join(linked, "id", "left")
+    return found.select("doc_id", "n_shingles", "component_id", (equal + F.coalesce("linked", F.lit(0))).alias("n_links"), equal.alias("n_equal"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -33,6 +33,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3_ngram_jaccard with each document's number of links, which the SQL of that query leaves out."""
+    return ngram_join.join_links(read(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(read(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("strong", lambda s: s["kind"] == k)).cast("long")
@@ -65,7 +70,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_ngram_jaccard, op4_secret_scan, op5_html_extract, op6_warc_archive, op7_decontaminate, op8_quality_rules, op9_token_order, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_ngram_jaccard, op3_ngram_links, op4_secret_scan, op5_html_extract, op6_warc_archive, op7_decontaminate, op8_quality_rules, op9_token_order, op10_mix_sources)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
