@@ -176,6 +176,17 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_text_right_in_the_body():
+    long = "One two three four, five six. " * 20
+    pages = {
+        "<body>First part.<br>Second part.<footer>c</footer></body>": "First part. Second part.",
+        f"<body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{long}<br>It <b>goes</b> on.<footer>&copy; me</footer></body>": f"{long}It goes on.",
+        f"<body><div><p>{long}</p></div></div>{long}<footer>&copy; me</footer></body>": f"{long}{long}".strip(),
+        f"<body><nav><a href='/'>Home</a></nav><article><h1>Head</h1><p>{long}</p></article><footer>f</footer>&copy; me</body>": f"Head {long}".strip(),
+    }
+    assert html_extract.extract_all(list(pages), html_extract.model()) == list(pages.values())
+
+
 def test_html_held_out():
     maker, model, right, n = html_extract.Pages(4242), html_extract.model(), 0.0, 150
     for _ in range(n):

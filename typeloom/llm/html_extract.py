@@ -1,6 +1,7 @@
 """Main text of web pages: gradient-boosted trees over DOM-node features, decoded hierarchically.
 
-The page is parsed into a tree of block elements (and of inline ones that carry attributes). Each node has features of
+The page is parsed into a tree of block elements (and of inline ones that carry attributes); a run of text right in the
+body, up to the next block, is a node too. Each node has features of
 its subtree (text, links, tags, paragraphs, marks per character), its attribute tokens, depth and siblings. Boosted
 trees, trained here on generated pages whose parts are known, give the log-odds that a node holds main text. Decoding
 maximises the sum of scores over the tree where a dropped node drops all below it, so no node contradicts its
@@ -36,7 +37,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-TAGS = "nav header footer aside article main section form p h1 h2 h3 ul ol li table td blockquote figure pre div body a span".split()
+TAGS = "nav header footer aside article main section form p h1 h2 h3 ul ol li table td blockquote figure pre div body a span #text".split()
 TOKENS = "ad ads advert advertisement promo sponsor sponsored banner cookie consent notice alert nav menu navbar header footer sidebar side related widget comment comments reply disqus share social form search subscribe newsletter login breadcrumb breadcrumbs popup modal hidden article content main post entry body story text page meta byline tag tags copyright legal".split()
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|style|aria-label|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -81,14 +82,21 @@ def parse(page: str) -> Tree:
     node = tree.add(-1, "body", ())
     stack: list[tuple[str, int, bool]] = []  # element, node before it, whether it is a link
     skip, links, at = 0, 0, 0
+    run = -1  # the node of the present run of text right in the body
+
+    def here() -> int:
+        return run if node == 0 and run >= 0 else node
 
     def text(raw: str) -> None:
+        nonlocal run
         if skip or not raw:
             return
         value = entities.unescape(raw) if "&" in raw else raw
-        tree.runs.append((node, value))
+        if node == 0 and run < 0 and value.strip():
+            run = tree.add(0, "#text", ())
+        tree.runs.append((here(), value))
         if n := len(value.strip()):
-            own = tree.own[node]
+            own = tree.own[here()]
             own[0] += n
             own[1] += n if links else 0
             own[2] += len(_MARKS.findall(value))
@@ -96,7 +104,7 @@ def parse(page: str) -> Tree:
 
     def close(k: int) -> None:
         """Pops the open elements from place k on."""
-        nonlocal node, skip, links
+        nonlocal node, skip, links, run
         while len(stack) > k:
             name, before, link = stack.pop()
             links -= link
@@ -104,6 +112,7 @@ def parse(page: str) -> Tree:
                 skip -= 1
             if name not in INLINE:
                 tree.runs.append((-1, ""))
+                run = run if name in SKIPPED else -1
             node = before
 
     while True:
@@ -142,17 +151,18 @@ def parse(page: str) -> Tree:
         if name in VOID or m[3].endswith("/"):
             if name in ("br", "hr"):
                 tree.runs.append((-1, ""))
-            tree.own[node][3] += 1
+            tree.own[here()][3] += 1
             continue
         tokens = attribute_tokens(m[3]) if m[3] else ()
         before = node
-        tree.own[node][3] += 1
+        tree.own[here()][3] += 1
         if name not in INLINE:
             tree.runs.append((-1, ""))
+            run = run if name in SKIPPED else -1
         if name in SKIPPED:
             skip += 1
         elif not skip and (name not in INLINE or tokens):
-            node = tree.add(before, name, tokens)
+            node = tree.add(here(), name, tokens)
         links += name == "a"
         stack.append((name, before, name == "a"))
         if name in RAW:
@@ -350,14 +360,42 @@ class Pages:
                 parts.append(f"<div>{body}</div>")
             if r.random() < 0.06:
                 parts.append("</p>" + self.boiler())
+        if r.random() < 0.1:
+            return "".join(parts)
+        rest = ""
+        if len(parts) > 1 and r.random() < 0.06:
+            # a stray closing tag leaves the rest in the body
+            cut = r.randrange(1, len(parts))
+            parts, rest = parts[:cut], r.choice(["", self.bare()]) + "".join(parts[cut:])
         body = "".join(parts)
         name = r.choice(["content", "main-content", "post", "entry", "article", "story", "entry-content", "post-body", "text"])
-        return r.choice([f"<article>{body}</article>"] * 3 + [f"<article class='{name}'>{body}</article>", f"<main>{body}</main>", f"<main><article>{body}</article></main>", f"<div class='{name}'>{body}</div>", f"<div id='{name}'>{body}</div>", f"<div>{body}</div>", f"<section>{body}</section>"])
+        return rest and f"<{(t := r.choice(['article', 'main', 'div']))}>{body}</{t}>{rest}</{t}>" or r.choice([f"<article>{body}</article>"] * 3 + [f"<article class='{name}'>{body}</article>", f"<main>{body}</main>", f"<main><article>{body}</article></main>", f"<div class='{name}'>{body}</div>", f"<div id='{name}'>{body}</div>", f"<div>{body}</div>", f"<section>{body}</section>"])
+
+    def bare(self) -> str:
+        """A main part whose text is right in the body."""
+        r, k = self.r, self.MARK
+        lines = []
+        for _ in range(r.choice([1, 1, 2, 2, 3, 5, 8])):
+            line = k + self.words(1, r.choice([3, 20, 90]))
+            if r.random() < 0.3:
+                line += r.choice([f" <a href='/x'>{self.words(1, 3)}</a> ", f" <b>{self.words(1, 4)}</b> ", f" <em>{self.words(1, 4)}</em> "]) + self.words(1, 20)
+            lines.append(f"<p>{line}</p>" if r.random() < 0.15 else line)
+        head = r.choice(["", "", f"<h1>{k}{self.words(2, 10)}</h1>"])
+        return head + r.choice(["<br>", "<br><br>", "<br>\n", "\n"]).join(lines)
+
+    def stray(self) -> str:
+        """Text right in the body that belongs to no main part."""
+        r = self.r
+        return r.choice([self.words(1, 4), f"&copy; {self.words(1, 6)}", " | ".join(f"<a href='/{i}'>{self.words(1, 3)}</a>" for i in range(r.randint(1, 6)))])
 
     def page(self) -> str:
         r = self.r
         before = "".join(self.boiler() for _ in range(r.randint(0, 4)))
         after = "".join(self.boiler() for _ in range(r.randint(0, 4)))
+        before = before and r.choice(["", "", "", self.stray()]) + before
+        after = after and after + r.choice(["", "", "", self.stray()])
+        if r.random() < 0.2:
+            return f"<html><head><title>{self.words(2, 6)}</title></head><body>{before}{self.bare()}{after}{r.choice(['</body></html>', ''])}"
         main = self.article()
         if r.random() < 0.3:
             main = f"<div class='{r.choice(['wrap', 'page', 'container', 'row'])}'>{main}{r.choice(['', self.boiler()])}</div>"
@@ -411,8 +449,9 @@ def extract_all(pages: list[str | None], trees: Boosted) -> list[str]:
     for t in parsed:
         n = len(t.parent)
         kept = decode(t.parent, scores[at : at + n])
-        # text right in the body beside its blocks is no article, unless the page has no blocks
-        kept[0] = n == 1
+        # a page without elements is all main text
+        if all(tag == "#text" for tag in t.tag[1:]):
+            kept = [True] * n
         out.append(page_text(t, kept))
         at += n
     return out
