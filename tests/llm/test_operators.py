@@ -369,6 +369,25 @@ def test_mixing(spark):
     assert all(0 <= p <= 1 for r in out for p in r.positions)
 
 
+def test_training_positions_from_exact_prefix_sums(spark):
+    rows = [(i, "abc"[i % 3], "word " * (1 + (i * 37) % 50)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    place = {i: int(hashlib.md5(f"mix:{i}:{t}".encode()).hexdigest()[:15], 16) for i, _, t in rows}
+    mixed = {r.doc_id: r for r in mixing.mix(df).select("doc.doc_id", "size", "source_size", "target", "takes").collect()}
+    got = [(r.doc_id, r["pass"], r.position) for r in mixing.training_positions(df).collect()]
+    want = {}
+    for source, ramp in zip("abc", mixing.RAMPS, strict=True):
+        begin = 0
+        for i in sorted((i for i, s, _ in rows if s == source), key=place.get):
+            m = mixed[i]
+            for k in range(m.takes):
+                x = min(1.0, (k * m.source_size + begin) / m.target)
+                want[i, k] = x if ramp == 0 else (-(1 - ramp) + ((1 - ramp) ** 2 + 4 * ramp * x) ** 0.5) / (2 * ramp)
+            begin += m.size
+    assert [t for *_, t in got] == sorted(t for *_, t in got) and len(got) == len(want)
+    assert {(i, k): t for i, k, t in got} == pytest.approx(want, abs=1e-9)
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.curriculum(empty(spark)).count() == 0
     out = mixing.mix(documents(spark, EDGE)).select("doc.*", F.col("taken").alias("words_taken")).collect()

@@ -9,8 +9,8 @@ Targets: sources by code point, null last, have weights 5, 2, 1, repeating; they
 target stops at `most` times its source's size, and the excess is shared again by weight (water filling in closed form).
 
 Scale: the order inside a source is that of a keyed hash of the row, cut into buckets, so one source that holds a third
-of all rows is spread like any other. Prefix sums run over (source, bucket) sums; only the one bucket in which a
-source's partial pass ends is looked at row by row. The (source, bucket) plan is broadcast only after its row count was
+of all rows is spread like any other. Prefix sums run over (source, bucket) sums, and inside each bucket row by row for
+the words at which documents begin. What is taken needs only the one bucket in which a source's partial pass ends. The (source, bucket) plan is broadcast only after its row count was
 checked, and joined by shuffle otherwise.
 
 Edge cases: a null text has size 0; a document of size 0 is never taken; a null source is a source of its own, sorted
@@ -88,8 +88,9 @@ def mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2) -
     plan = mixing_plan(docs, seed, share, most)
     rows = with_keys(docs, seed).join(checked_broadcast(plan, MOST_PLAN_ROWS), ["is_null", "src", "bucket"])
     takes = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("passes") + (F.col("place") <= F.col("end")).cast("long"))
-    width = float(1 << (60 - BUCKETS.bit_length() + 1))
-    begin = F.col("prefix") + F.col("words") * ((F.col("place") - F.shiftleft(F.col("bucket").cast("long"), 60 - BUCKETS.bit_length() + 1)) / width)
+    # rows that repeat begin at the same word
+    inside = W.partitionBy("is_null", "src", "bucket").orderBy("place").rangeBetween(W.unboundedPreceding, -1)
+    begin = F.col("prefix") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     rows = rows.withColumn("takes", takes).withColumn("begin", begin)
 
     def position(k: Column) -> Column:
@@ -102,6 +103,12 @@ def mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2) -
     return rows.select("doc", "size", "source_size", "target", "takes", (F.col("takes") * F.col("size")).alias("taken"), where.alias("positions"))
 
 
+def training_positions(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2) -> DataFrame:
+    """doc_id, pass, position: a row for each take, range-sorted by training position."""
+    taken = mix(docs.select("doc_id", "source", "text"), seed, share, most).filter("takes > 0")
+    return taken.select("doc.doc_id", F.posexplode("positions").alias("pass", "position")).orderBy("position", "doc_id", "pass")
+
+
 def curriculum(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2) -> DataFrame:
     """The mixed corpus: the columns of `docs`, a row for each take, range-sorted by training position."""
     mixed = mix(docs, seed, share, most).filter("takes > 0").select("doc", F.explode("positions").alias("position"))

@@ -70,7 +70,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_ngram_jaccard, op3_ngram_links, op4_secret_scan, op5_html_extract, op6_warc_archive, op7_decontaminate, op8_quality_rules, op9_token_order, op10_mix_sources)}
+def op10_training_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dealt curriculum of op10_mix_sources, whose SQL covers what is taken only."""
+    return mixing.training_positions(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_ngram_jaccard, op3_ngram_links, op4_secret_scan, op5_html_extract, op6_warc_archive, op7_decontaminate, op8_quality_rules, op9_token_order, op10_mix_sources, op10_training_positions)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
