@@ -571,7 +571,7 @@ def p21_novel_profiles(spark, d):
     return novel.novel_profiles(keyed).select("sample", F.array_join("profile", "|").alias("profile"), "st")
 
 
-# --- catalogue and names: P9-P12, P16, P17, A20, C3, C4, P20, W10, F24-F28, J17, J18, J21, O5, O9 ---
+# --- catalogue and names: P9-P12, P16, P17, A20, C3, C4, P20, W10, F24-F28, J18, J21, O5, O9 ---
 _TYPE = "case when " + " or ".join(f"contains(lower(description), '{w}')" for w in catalog.OTHER_WORDS) + " then 'other' " + " ".join("when " + " or ".join(f"contains(lower(description), '{w}')" for w in ws) + f" then '{n}'" for n, ws in catalog.TYPE_WORDS) + " else 'other' end"
 _BASE = "case when o = '' then 'unknown' when contains(o, ' spp.') or contains(o, ' sp.') or o like '% spp' or o like '% sp' or not contains(o, ' ') then split_part(o, ' ', 1) when contains(split_part(o, ' ', 2), '/') then split_part(o, ' ', 1) else substr(o, 1, 1) || split_part(o, ' ', 2) end"
 
