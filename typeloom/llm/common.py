@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of every contract: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: While a table is written: the shuffle files of an execution go when it ends, as all that they made is in the table by
+#: then, and batches sent to Python are small. Neither changes a result.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,40 +22,54 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all tasks run in the driver (tests)
+    may it be unset; it is a temporary folder then."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if folder is None and current is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='typeloom-')}"
-    if current is None:
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
-    return folder or current
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: the rows are kept in the shared folder, so a lost executor does not lose them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps now; it waits for a collection of the driver's garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    held = {k: spark.conf.get(k) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder in the shared one for the tables of one call, deleted at its end: what the call returns must not read them."""
+    path = fresh_path(spark, name)
+    try:
+        yield path
+    finally:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Written as Parquet in the shared folder and read back, so that its size on disk is known to the planner, and the
-    shuffle files that made it can go."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Written as Parquet in the shared folder (or a folder of its own there) and read back: it cuts the lineage, its size
+    on disk is known to the planner, and the shuffle files that made it can go."""
+    spark = df.sparkSession
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else fresh_path(spark, name)
+    with writing(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(col: str | Column) -> Column:
@@ -71,3 +88,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def checked_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """Hint a broadcast only if a written table has at most `most_rows` rows; larger ones are joined by shuffle."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, hot: int = 10_000, most_hot: int = 100_000) -> DataFrame:
+    """Inner join of `rows` with a written table that has one row for each key, and in `n` how many rows have that key.
+
+    Keys of more than `hot` rows meet their rows by broadcast, where the rows are; there are at most one in `hot` of them,
+    and only up to `most_hot` (counted) are broadcast. All others are shuffled, so that no task gets one key's many rows.
+    """
+    large = facts.filter(F.col(n) > hot)
+    found = large.limit(most_hot + 1).count()
+    if not 0 < found <= most_hot:
+        return rows.join(facts, keys)
+    here = rows.join(F.broadcast(large), keys)
+    there = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(facts.filter(F.col(n) <= hot), keys)
+    return here.unionByName(there)

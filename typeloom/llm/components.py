@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import cut
+from typeloom.llm.common import table
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, folder: str | None = None, most_rounds: int = 60) -> DataFrame:
     """(id, comp) for every id of the edges (a, b); comp is the least id of its component.
 
     Each round takes the least label of all neighbours, then the label of one's label, so the rounds needed grow with
     the logarithm of a component's diameter. Rounds are cut as tables in the shared folder. No edges give no rows.
     """
     both = edges.filter("a <> b").select("a", "b")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"))
+    both = table(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", folder)
+    labels = table(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"), "labels", folder)
     for _ in range(most_rounds):
         seen = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("least"))
         lower = labels.join(seen, labels["id"] == seen["a"]).select("id", F.least("comp", "least").alias("next"), "comp")
         up = lower.select(F.col("id").alias("up_id"), F.col("next").alias("up"))
-        step = cut(lower.join(up, lower["next"] == up["up_id"], "left").select("id", F.least("next", F.coalesce("up", "next")).alias("next"), "comp"))
+        step = table(lower.join(up, lower["next"] == up["up_id"], "left").select("id", F.least("next", F.coalesce("up", "next")).alias("next"), "comp"), "labels", folder)
         moved = step.filter("next <> comp").limit(1).count()
         labels = step.select("id", F.col("next").alias("comp"))
         if not moved:

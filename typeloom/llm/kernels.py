@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +40,18 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 24:
+        if size <= 1 << 21:
             _POWERS[int(base)] = have
     return have[:n]
 
 
+def tidy() -> None:
+    """Gives memory that the end of a partition has freed back to the system: a worker stays for the next task."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and its n + 1 offsets; null is empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -52,7 +61,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut between rows into pieces of about `most_bytes` of text; a longer text is a piece of its own."""
     for batch in batches:
         if not batch.num_rows:
