@@ -63,7 +63,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_order.training_order(read(spark, sf_dir, "documents"), stable=True)
+    return token_order.training_order(read(spark, sf_dir, "documents"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,53 +1,58 @@
 """Training-order materialisation of token ids.
 
-Documents are tokenised with a public byte-level BPE vocabulary, each followed by an end mark, and the tokens of each
-input partition are cut into sequences of LENGTH tokens (the last one of a partition is padded with end marks). A keyed
-Feistel permutation with cycle-walking gives every sequence a global slot; partitions that are ranges of slots write
-shards of fixed-stride records (LENGTH ids of 16 bits, little endian, and one record mark), so a reader seeks to
-record k of the order at shard k // per_shard, byte (k % per_shard) * STRIDE, and resumes at any slot.
+Documents are tokenised once with a public byte-level BPE vocabulary, each followed by an end mark. A keyed hash of the
+document deals them to buckets of about BUCKET_BYTES of text, where they are put one after the other in the hash's order
+and cut into sequences of LENGTH tokens (the last one of a bucket is padded with end marks); neither depends on how the
+input was partitioned. A keyed Feistel permutation with cycle-walking gives every sequence a global slot; partitions
+that are ranges of slots write shards of fixed-stride records (LENGTH ids of 16 bits, little endian, and one record
+mark), so a reader seeks to record k of the order at shard k // per_shard, byte (k % per_shard) * STRIDE, and resumes at
+any slot. The listing beside the shards has the true number of tokens, a checksum and the documents of every sequence.
 
-Two passes: the first only counts tokens (per document; the few numbers per partition are summed on the driver), the
-second tokenises again and sends each sequence once. Splitting at single spaces lets each distinct word of a piece of
-text be encoded once; the ids are those of the whole text.
+Shards are written in WAVES ranges of slots, one after the other, so that only one range at a time is in the
+shuffle's files. The number of sequences before each bucket is a sum over a row for each bucket.
 
-Recovery: both passes read the same input partitions; every partition's checksum is taken in the first pass and
-compared in the second, so an input that changes in between fails instead of giving wrong shards. Inputs that are not
-plain file scans are written as a table first (`stable=False`).
+Recovery: the sequences are a table in the shared folder before the first shard is written, so a lost executor costs
+its own tasks only; the table goes when the shards are there. `training_order` reads the shards back and fails where a
+record differs from its checksum.
 
 Edge cases: null and empty texts are an end mark only; texts are read whole, whatever their length; repeated rows are
-sequences of their own; a null doc_id stays null in the listing; an empty table writes no shard and gives no rows;
-other columns are ignored.
+put one after the other, as often as they come; a null doc_id stays null in the listing; an empty table writes no shard
+and gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from typeloom.llm.common import fresh_path, table
-from typeloom.llm.kernels import chunks, mix, text_bytes
+from typeloom.llm.common import checked_broadcast, fresh_path, scratch, table, writing
+from typeloom.llm.kernels import chunks, mix, tidy
 
 LENGTH = 2047
 STRIDE = 2 * (LENGTH + 1)
 MARK = b"\n\n"
 END = 50256
 PER_SHARD = 2048
+WAVES = 4
+BUCKET_BYTES = 1 << 24
 ROUNDS = 4
+MOST_BUCKETS = 100_000
+MOST_TASKS = 20_000
 #: The vocabulary's file and the pattern that goes with it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(vocabulary: str) -> Callable[[str], list[int]]:
     import tiktoken
 
@@ -56,44 +61,11 @@ def encoder(vocabulary: str) -> Callable[[str], list[int]]:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-class Cache(dict):
-    """Ids of words seen after a space, as bytes; emptied when it grows large."""
-
-    def __init__(self, vocabulary: str, most: int = 400_000):
-        self.encode, self.most = encoder(vocabulary), most
-
-    def of(self, piece: str) -> bytes:
-        return np.array(self.encode(piece), np.uint16).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self[word] = self.of(" " + word)
-        return ids
-
-
-#: White space other than a single space between two other characters.
-_ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def pieces(text: str) -> list[str]:
-    """The text cut at every single space between two characters that aren't white space. Each piece but the first is
-    encoded with its space before it; the ids, one after the other, are the ids of the text."""
-    return _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-
-
-def token_bytes(text: str, cache: Cache) -> bytes:
-    if not text:
-        return b""
-    parts = pieces(text)
-    return cache.of(parts[0]) + b"".join(map(cache.__getitem__, parts[1:]))
-
-
-@lru_cache(maxsize=1)
-def shared_cache(vocabulary: str) -> Cache:
-    """One cache for each process: a worker keeps what it has learnt from task to task."""
-    return Cache(vocabulary)
+def token_bytes(text: str | None, encode: Callable[[str], list[int]]) -> bytes:
+    """The ids of a text with the end mark, 16 bits each."""
+    ids = array("H", encode(text) if text else ())
+    ids.append(END)
+    return ids.tobytes()
 
 
 def feistel(slots: np.ndarray, n: int, key: int, backward: bool = False) -> np.ndarray:
@@ -116,136 +88,147 @@ def feistel(slots: np.ndarray, n: int, key: int, backward: bool = False) -> np.n
     return x.astype(np.int64)
 
 
-def _checksum(batch: pa.RecordBatch) -> int:
-    data, offsets = text_bytes(batch.column(1))
-    return zlib.crc32(offsets.tobytes(), zlib.crc32(np.ascontiguousarray(data).tobytes()))
-
-
-def _count(source: DataFrame, vocabulary: str) -> DataFrame:
-    """pid, doc_id, start (of the document in its partition's stream), n_tokens with the end mark, and running checksums."""
+def _tokens(docs: DataFrame, vocabulary: str, key: int, n_buckets: int) -> DataFrame:
+    """bucket, place, doc_id, tokens: a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, pid, at, check = shared_cache(vocabulary), TaskContext.get().partitionId(), 0, 0
+        encode = encoder(vocabulary)
         for batch in chunks(batches, "text"):
-            check = zlib.crc32(_checksum(batch).to_bytes(4, "little"), check)
-            n = [len(token_bytes(text, cache)) // 2 + 1 if text else 1 for text in batch.column(1).to_pylist()]
-            ends = at + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array([pid] * len(n), pa.int32()), batch.column(0), pa.array(ends - n), pa.array(n, pa.int64()), pa.array([check] * len(n), pa.int64())], ["pid", "doc_id", "start", "n_tokens", "checked"])
-            at = int(ends[-1])
+            tokens = [token_bytes(t, encode) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.binary())], ["place", "doc_id", "tokens"])
+        tidy()
+
+    rows = docs.select(F.xxhash64(F.lit(key), F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "place long, doc_id long, tokens binary").withColumn("bucket", F.pmod("place", F.lit(n_buckets)).cast("int"))
+
+
+class Packer:
+    """Cuts one bucket's stream of tokens into sequences."""
+
+    def __init__(self, bucket: int):
+        self.bucket, self.index = bucket, 0
+        self.rest, self.ids = np.zeros(0, np.uint16), pa.array([], pa.int64())
+        self.starts = np.zeros(0, np.int64)
+
+    def take(self, doc_ids: pa.Array, tokens: pa.Array, last: bool) -> Iterator[pa.RecordBatch]:
+        """The sequences that are full now, and if `last` the one that is left."""
+        n = np.diff(np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]) // 2 if len(tokens) else np.zeros(0, np.int64)
+        at = int(np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset]) if len(tokens) else 0
+        own = np.frombuffer(tokens.buffers()[2], np.uint8)[at : at + 2 * int(n.sum())].view(np.uint16) if len(tokens) else self.rest[:0]
+        starts = np.concatenate([self.starts, len(self.rest) + np.cumsum(n) - n])
+        stream, ids = np.concatenate([self.rest, own]), pa.concat_arrays([self.ids, doc_ids])
+        full = len(stream) // LENGTH
+        used = [LENGTH] * full
+        if last and len(stream) > full * LENGTH:
+            used.append(len(stream) - full * LENGTH)
+            stream = np.concatenate([stream, np.full(LENGTH - used[-1], END, np.uint16)])
+            full += 1
+        if full:
+            body = stream[: full * LENGTH].astype("<u2", copy=False).reshape(full, LENGTH)
+            # the documents of a sequence: from the one it begins in to the one it ends in
+            heads = np.arange(full) * LENGTH
+            first = np.searchsorted(starts, heads, "right") - 1
+            stop = np.searchsorted(starts, heads + LENGTH, "left")
+            for a in range(0, full, 256):
+                z = min(full, a + 256)
+                held = np.concatenate([np.arange(first[i], stop[i]) for i in range(a, z)])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(stop[a:z] - first[a:z])]).astype(np.int32)), ids.take(pa.array(held)))
+                raw = [r.tobytes() for r in body[a:z]]
+                yield pa.RecordBatch.from_arrays([pa.array([self.bucket] * (z - a), pa.int32()), pa.array(np.arange(self.index + a, self.index + z)), pa.array(used[a:z], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), lists, pa.array(raw, pa.binary())], ["bucket", "index", "n_tokens", "crc", "doc_ids", "record"])
+            self.index += full
+        at = full * LENGTH
+        self.rest = stream[at:].copy()
+        keep = max(0, int(np.searchsorted(starts, at, "right")) - 1) if len(self.rest) else len(starts)
+        self.starts, self.ids = starts[keep:] - at, ids[keep:]
+
+
+def _sequences(tokens: DataFrame, n_buckets: int) -> DataFrame:
+    """bucket, index (in the bucket), n_tokens, crc, doc_ids, record: a row for each sequence."""
 
-    return source.mapInArrow(run, "pid int, doc_id long, start long, n_tokens long, checked long")
-
-
-def materialise(docs: DataFrame, path: str | None = None, key: int = 1, vocabulary: str = VOCABULARY, stable: bool = False) -> tuple[str, DataFrame, int]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Packer | None = None
+        none = (pa.array([], pa.int64()), pa.array([], pa.binary()))
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else [0]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if now is None or now.bucket != bucket[a]:
+                    if now is not None:
+                        yield from now.take(*none, last=True)
+                    now = Packer(int(bucket[a]))
+                yield from now.take(batch.column(1).slice(a, z - a), batch.column(2).slice(a, z - a), last=False)
+        if now is not None:
+            yield from now.take(*none, last=True)
+        tidy()
+
+    dealt = tokens.repartitionById(min(n_buckets, MOST_TASKS), F.pmod("bucket", F.lit(MOST_TASKS))).sortWithinPartitions("bucket", "place", "doc_id", "tokens").select("bucket", "doc_id", "tokens")
+    return dealt.mapInArrow(run, "bucket int, index long, n_tokens long, crc long, doc_ids array<long>, record binary")
+
+
+def materialise(docs: DataFrame, path: str | None = None, key: int = 1, vocabulary: str = VOCABULARY, per_shard: int = PER_SHARD, waves: int = WAVES, bucket_bytes: int = BUCKET_BYTES) -> tuple[str, DataFrame, int]:
     """Writes the shards under `path` (else a new one in the shared folder); gives the path, the listing and the number of sequences.
 
-    The listing has doc_id, n_tokens, pid, start and first_index (the first sequence's place before the permutation).
+    The listing has slot, n_tokens, crc and doc_ids: a row for each sequence.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "shards")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source = source if stable else table(source, "docs")
-    # both passes must be cut alike, whatever the number of executors is by then
-    held = spark.conf.get("spark.sql.files.minPartitionNum", None)
-    spark.conf.set("spark.sql.files.minPartitionNum", held or str(max(1, spark.sparkContext.defaultParallelism)))
-    try:
-        listing = table(_count(source, vocabulary), "token-counts")
-        # a few numbers for each input partition
-        sums = listing.groupBy("pid").agg(F.sum("n_tokens").alias("n"), F.max(F.struct("start", "checked"))["checked"].alias("check")).collect()
-        size = {r["pid"]: -(-r["n"] // LENGTH) for r in sums}
-        offset, total = {}, 0
-        for pid in sorted(size):
-            offset[pid], total = total, total + size[pid]
-        checks = {r["pid"]: r["check"] for r in sums}
-        if total:
-            _write(source, path, key, vocabulary, offset, checks, total)
-    finally:
-        spark.conf.unset("spark.sql.files.minPartitionNum") if held is None else spark.conf.set("spark.sql.files.minPartitionNum", held)
-    return path, _with_offsets(listing, offset), total
-
-
-def _with_offsets(listing: DataFrame, offset: dict[int, int]) -> DataFrame:
-    """first_index and last_index of each document's sequences; the offsets are one number for each input partition."""
-    spark = listing.sparkSession
-    of = spark.createDataFrame([(int(k), int(v)) for k, v in offset.items()], "pid int, ahead long")
-    rows = listing.join(of, "pid")
-    return rows.select("doc_id", "n_tokens", "pid", "start", (F.col("ahead") + F.floor(F.col("start") / LENGTH)).cast("long").alias("first_index"), (F.col("ahead") + F.floor((F.col("start") + F.col("n_tokens") - 1) / LENGTH)).cast("long").alias("last_index"))
-
-
-def _write(source: DataFrame, path: str, key: int, vocabulary: str, offset: dict[int, int], checks: dict[int, int], total: int) -> None:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, pid, index, check = shared_cache(vocabulary), TaskContext.get().partitionId(), None, 0
-        rest = np.zeros(0, np.uint16)
-
-        def records(tokens: np.ndarray, first: int) -> pa.RecordBatch:
-            n = len(tokens) // LENGTH
-            body = np.empty((n, LENGTH + 1), np.uint16)
-            body[:, :LENGTH] = tokens[: n * LENGTH].reshape(n, LENGTH)
-            body[:, LENGTH] = np.frombuffer(MARK, np.uint16)[0]
-            raw = body.astype("<u2").view(np.uint8).reshape(n, STRIDE)[:, : 2 * LENGTH]
-            slots = feistel(np.arange(first, first + n), total, key)
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array([r.tobytes() for r in raw], pa.binary())], ["slot", "record"])
-
-        for batch in chunks(batches, "text"):
-            index = offset[pid] if index is None else index
-            check = zlib.crc32(_checksum(batch).to_bytes(4, "little"), check)
-            end = np.full(1, END, np.uint16).tobytes()
-            parts = [rest.tobytes()]
-            for text in batch.column(1).to_pylist():
-                parts += (token_bytes(text, cache), end) if text else (end,)
-            rest = np.frombuffer(b"".join(parts), np.uint16)
-            if n := len(rest) // LENGTH:
-                yield records(rest, index)
-                index, rest = index + n, rest[n * LENGTH :]
-        if index is not None:
-            if check != checks[pid]:
-                raise RuntimeError("the input changed between the two passes")
-            if len(rest):
-                yield records(np.concatenate([rest, np.full(LENGTH - len(rest), END, np.uint16)]), index)
-
-    rows = source.mapInArrow(run, "slot long, record binary").withColumn("shard", F.floor(F.col("slot") / PER_SHARD).cast("int"))
-    n_shards = -(-total // PER_SHARD)
-    # ranges of slots: shard k is partition k, and its file holds its slots in order
-    ranged = rows.repartitionById(n_shards, "shard").sortWithinPartitions("slot")
-    ranged.select(F.col("record").cast("string").alias("value")).write.option("lineSep", MARK.decode()).text(path)
-
-
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """slot, n_tokens (up to the padding), crc and record, read back from the shards by their stride."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    with scratch(spark, "sequences") as folder:
+        n_buckets = -(-size // bucket_bytes) or 1
+        rows = table(_sequences(_tokens(docs, vocabulary, key, n_buckets), n_buckets), "sequences", folder)
+        # a row for each bucket
+        counts = table(rows.groupBy("bucket").agg(F.count("*").alias("n")), "counts", folder)
+        ahead = counts.select("bucket", F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+        ahead = checked_broadcast(table(ahead, "offsets", folder), MOST_BUCKETS)
+        total = counts.agg(F.sum("n")).first()[0] or 0
+
+        @F.arrow_udf("long")
+        def slot(index: pa.Array) -> pa.Array:
+            return pa.array(feistel(index.to_numpy(), total, key))
+
+        placed = rows.join(ahead, "bucket").withColumn("slot", slot(F.col("ahead") + F.col("index")))
+        listing = table(placed.select("slot", "n_tokens", "crc", "doc_ids"), "listing", path)
+        n_shards = -(-total // per_shard)
+        step = -(-n_shards // waves) or 1
+        for first in range(0, n_shards, step):
+            n = min(step, n_shards - first)
+            own = placed.filter((F.col("slot") >= first * per_shard) & (F.col("slot") < (first + n) * per_shard))
+            own = own.select("slot", F.col("record").cast("string").alias("value"), (F.floor(F.col("slot") / per_shard) - first).cast("int").alias("shard"))
+            # ranges of slots: shard k is partition k of its wave, and its file holds its slots in order
+            with writing(spark):
+                own.repartitionById(n, "shard").sortWithinPartitions("slot").select("value").write.option("lineSep", MARK.decode()).text(f"{path}/shards/first={first}")
+    return path, listing, total
+
+
+def read_shards(spark: SparkSession, path: str, per_shard: int = PER_SHARD) -> DataFrame:
+    """slot, shard, byte_offset, crc and record, read back from the shards by their stride."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = int(name.rsplit("/", 1)[1].split("-")[1])
+            for first, name, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                shard = first + int(name.rsplit("/", 1)[1].split("-")[1])
                 if len(raw) % STRIDE:
                     raise ValueError(f"{name} is not a whole number of records")
                 ids = np.frombuffer(raw, "<u2").reshape(-1, LENGTH + 1)
                 if (ids[:, LENGTH] != np.frombuffer(MARK, "<u2")[0]).any():
                     raise ValueError(f"{name} has a record without its mark")
-                n = LENGTH - (ids[:, -2::-1] != END).argmax(1) + 1
-                n = np.minimum(n, LENGTH)
-                at = np.arange(len(ids))
-                crc = [zlib.crc32(r.tobytes()) for r in ids[:, :LENGTH]]
-                yield pa.RecordBatch.from_arrays([pa.array(shard * PER_SHARD + at), pa.array([shard] * len(at), pa.int32()), pa.array(at * STRIDE), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64()), pa.array([r.tobytes() for r in ids[:, :LENGTH]], pa.binary())], ["slot", "shard", "byte_offset", "n_tokens", "crc", "record"])
+                for a in range(0, len(ids), 256):
+                    own = [r.tobytes() for r in ids[a : a + 256, :LENGTH]]
+                    at = np.arange(a, a + len(own))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard * per_shard + at), pa.array([shard] * len(at), pa.int32()), pa.array(at * STRIDE), pa.array([zlib.crc32(r) for r in own], pa.int64()), pa.array(own, pa.binary())], ["slot", "shard", "byte_offset", "crc", "record"])
+        tidy()
 
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("path", "content")
-    return files.mapInArrow(run, "slot long, shard int, byte_offset long, n_tokens long, crc long, record binary")
+    files = spark.read.format("binaryFile").load(f"{path}/shards").filter(F.col("length") > 0).select(F.col("first").cast("int"), "path", "content")
+    return files.mapInArrow(run, "slot long, shard int, byte_offset long, crc long, record binary")
 
 
-def training_order(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, stable: bool = False) -> DataFrame:
-    """slot, shard, byte_offset, n_tokens, crc (all read back from the shards), and doc_ids: a row for each sequence."""
+def training_order(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, per_shard: int = PER_SHARD, waves: int = WAVES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """slot, shard, byte_offset and crc, read back from the shards, with n_tokens and doc_ids: a row for each sequence."""
     spark = docs.sparkSession
-    path, listing, total = materialise(docs, key=key, vocabulary=vocabulary, stable=stable)
-    shape = "slot long, shard int, byte_offset long, n_tokens long, crc long, doc_ids array<long>"
+    path, listing, total = materialise(docs, None, key, vocabulary, per_shard, waves, bucket_bytes)
     if not total:
-        return spark.createDataFrame([], shape)
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(feistel(b.column(0).to_numpy(), total, key)), b.column(1), b.column(2)], ["slot", "at", "doc_id"])
-
-    spans = listing.select(F.explode(F.sequence("first_index", "last_index")).alias("index"), F.struct("pid", "start").alias("at"), "doc_id")
-    spans = spans.select("index", F.col("at.start").alias("at"), "doc_id").mapInArrow(slots, "slot long, at long, doc_id long")
-    # a sequence holds at most LENGTH documents
-    held = spans.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id"))).alias("d")).select("slot", F.col("d.doc_id").alias("doc_ids"))
-    return read_shards(spark, path).drop("record").join(held, "slot").select("slot", "shard", "byte_offset", "n_tokens", "crc", "doc_ids")
+        return spark.createDataFrame([], "slot long, shard int, byte_offset long, n_tokens long, crc long, doc_ids array<long>")
+    listed = listing.select("slot", "n_tokens", F.col("crc").alias("listed"), "doc_ids")
+    back = read_shards(spark, path, per_shard).drop("record").join(listed, "slot", "full")
+    same = F.coalesce(F.col("crc") == F.col("listed"), F.lit(False))
+    return back.select("slot", "shard", "byte_offset", "n_tokens", F.when(same, F.col("crc")).otherwise(F.raise_error(F.lit("a shard differs from its listing")).cast("long")).alias("crc"), "doc_ids")
