@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus as shards of token ids; a row for each sequence."""
-    return token_order.training_order(docs, stable=True)
+    return token_order.training_order(docs)
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", keep_distinct), ("decontaminate", keep_uncontaminated), ("mix", mix_sources), ("tokens", write_tokens)]
