@@ -18,7 +18,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -39,7 +39,10 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 TAGS = "nav header footer aside article main section form p h1 h2 h3 ul ol li table td blockquote figure pre div body a span #text".split()
 TOKENS = "ad ads advert advertisement promo sponsor sponsored banner cookie consent notice alert nav menu navbar header footer sidebar side related widget comment comments reply disqus share social form search subscribe newsletter login breadcrumb breadcrumbs popup modal hidden article content main post entry body story text page meta byline tag tags copyright legal".split()
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag with its quoted values; a tag of a page whose quotes do not close, which ends at the first ">".
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_NAME = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(r"(class|id|role|style|aria-label|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
 _MARKS = re.compile(r"[.,;:!?]")
@@ -76,6 +79,37 @@ def attribute_tokens(attrs: str) -> tuple[int, ...]:
     return tuple(sorted(found))
 
 
+class Markup:
+    """Finds the markup of a page in time that grows with its length: once a tag's quotes do not close, tags end at the
+    first ">"."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.tag = page, page.rfind(">"), _TAG
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None]:
+        """Begin and end of the next markup, and its tag (none for comments and declarations); else the page's end."""
+        page = self.page
+        while 0 <= (at := page.find("<", at)):
+            if at > self.last:
+                # only a comment needs no ">"
+                at = page.find("<!--", at)
+                return (at, len(page), None) if at >= 0 else (len(page), len(page), None)
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), None
+            if page.startswith(("<!", "<?"), at):
+                return at, page.index(">", at) + 1, None
+            if _NAME.match(page, at):
+                m = self.tag.match(page, at)
+                if not m:
+                    self.tag = _LOOSE
+                    m = self.tag.match(page, at)
+                if m:
+                    return at, m.end(), m
+            at += 1
+        return len(page), len(page), None
+
+
 def parse(page: str) -> Tree:
     """The tree of a page. Skipped elements and comments leave no text."""
     tree = Tree()
@@ -102,52 +136,49 @@ def parse(page: str) -> Tree:
             own[2] += len(_MARKS.findall(value))
             own[4] += 1
 
+    open_at: dict[str, list[int]] = {}  # places of open elements in the stack, by name; "": of all that aren't inline
+    blocks = open_at.setdefault("", [])
+
+    def latest(names: Iterable[str]) -> int:
+        return max((open_at[x][-1] for x in names if open_at.get(x)), default=-1)
+
     def close(k: int) -> None:
         """Pops the open elements from place k on."""
         nonlocal node, skip, links, run
         while len(stack) > k:
             name, before, link = stack.pop()
+            open_at[name].pop()
             links -= link
             if name in SKIPPED:
                 skip -= 1
             if name not in INLINE:
+                blocks.pop()
                 tree.runs.append((-1, ""))
                 run = run if name in SKIPPED else -1
             node = before
 
+    scan = Markup(page)
     while True:
-        m = _TAG.search(page, at)
-        text(page[at : m.start()] if m else page[at:])
-        if not m:
+        begin, end, m = scan.next(at)
+        text(page[at:begin])
+        if begin == len(page):
             break
-        at = m.end()
-        if not m[2]:
+        at = end
+        if not m:
             continue
         name = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+            # an inline element is not closed across a block
+            k = latest((name,))
+            if k >= 0 and (name not in INLINE or k > latest(("",))):
+                close(k)
             continue
         if name in ("html", "body"):
             continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if name in SIBLINGS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SIBLINGS[name]:
-                    close(k)
-                    break
-                if stack[k][0] in SCOPES[name]:
-                    break
+        if name in CLOSES_P and blocks and stack[blocks[-1]][0] == "p":
+            close(blocks[-1])
+        if name in SIBLINGS and (k := latest(SIBLINGS[name])) > latest(SCOPES[name]):
+            close(k)
         if name in VOID or m[3].endswith("/"):
             if name in ("br", "hr"):
                 tree.runs.append((-1, ""))
@@ -164,6 +195,9 @@ def parse(page: str) -> Tree:
         elif not skip and (name not in INLINE or tokens):
             node = tree.add(here(), name, tokens)
         links += name == "a"
+        open_at.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            blocks.append(len(stack))
         stack.append((name, before, name == "a"))
         if name in RAW:
             end = re.compile(rf"</{name}", re.I).search(page, at)
