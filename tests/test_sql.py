@@ -20,10 +20,3 @@ def test_sql(spark, name):
 def test_without_sql(spark):
     for name in sorted(set(QUERIES) - set(SQL)):
         assert QUERIES[name](spark, SF).count() > 0
-
-
-def test_reverse_complement_of_whole_texts(spark):
-    complement = str.maketrans("ACGTacgt", "TGCAtgca")
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r.doc_id: r.rc for r in QUERIES["f4_reverse_complement"](spark, SF).collect()}
-    assert got == {i: t and t.translate(complement)[::-1] for i, t in texts.items()} and max(map(len, got.values())) > 40

@@ -194,6 +194,22 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
         q = follow(spark.readStream.schema(schema).json(f"file://{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/ck")
         q.awaitTermination(60)
-    stream = {(r.locus, r.allele_id, r.seq) for r in spark.read.parquet(f"file://{tmp_path}/out/*").collect()}
+    from typeloom.streaming.novel import written
+
+    stream = {(r.locus, r.allele_id, r.seq) for r in written(spark, f"file://{tmp_path}/out").collect()}
     batch = {(r.locus, r.allele_id, r.seq) for r in novel.novel_alleles(spark.createDataFrame(rows, schema)).collect()}
     assert stream == batch
+
+
+def test_stream_batch_that_runs_again(spark, tmp_path):
+    from typeloom.streaming.novel import write_batch, written
+
+    path, schema = f"file://{tmp_path}/out", "locus string, sample string, seq string, ordinal long"
+    batches = [[("a", "s1", "ACGT", 1), ("a", "s2", "acgt", 2), ("b", "s1", "TT", 3)], [("a", "s3", "ACGT", 4), ("a", "s1", "GG", 5), ("a", "s3", "GG", 6)], [("a", "s2", "ACGT", 7), ("b", "s9", "CC", 8)]]
+    want = {("a", "n1", ("s1", "s2", "s3")), ("b", "n1", ("s1",)), ("a", "n2", ("s1", "s3")), ("b", "n2", ("s9",))}
+    for number, rows in enumerate(batches):
+        for _ in range(2):  # the same batch twice, as after a failure
+            write_batch(spark.createDataFrame(rows, schema), number, path)
+    assert {(r.locus, r.allele_id, tuple(r.samples)) for r in written(spark, path).collect()} == want
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        write_batch(spark.createDataFrame(batches[1], schema), 1, f"file://{tmp_path}/nowhere")

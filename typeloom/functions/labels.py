@@ -94,9 +94,17 @@ def chew_class(call: Column, allele: Column, multiple: Column, gate_fails: Colum
     return F.when(multiple, F.when(call == "exact", "NIPHEM").otherwise("NIPH")).when(call == "missing", "LNF").when(gate_fails, shut).otherwise(open_)
 
 
+#: Class labels that are buckets of their own.
+BUCKETS = ("EXC", "INF", "LNF", "PLOT3", "PLOT5", "LOTSC", "NIPH", "NIPHEM", "ALM", "ASM", "PAMA", "PLNF")
+#: Tokens that the normalisation of discrepancies does not decide on, and reasons that explain a difference.
+UNDECIDED = ("", "-", "LNF", "NIPH", "ALM", "ASM", "PLOT3", "PLOT5", "LOTSC")
+BOUNDARY_REASONS = ("five_prime_boundary_shift", "three_prime_boundary_shift")
+
+
 def label_bucket(label: Column) -> Column:
-    v = F.upper(F.trim(F.coalesce(label, F.lit(""))))
-    return F.when(is_numeric(v), "NUMERIC").when(v.startswith("INF-"), "INF").when(v.isin("LNF", "NIPH", "NIPHEM", "ASM", "ALM", "PLOT3", "PLOT5", "LOTSC", "PAMA"), v).otherwise("OTHER")
+    """Blank and - are LNF; letters count as they are."""
+    v = F.trim(F.coalesce(label, F.lit("")))
+    return F.when(v.isin("", "-"), "LNF").when(is_numeric(v), "NUMERIC").when(v.startswith("INF-"), "INF").when(v.isin(*BUCKETS), v).otherwise("OTHER")
 
 
 def run_normal(value: Column) -> Column:
@@ -139,21 +147,23 @@ def verdict(ours: Column, other: Column, found: Column, exact: Column, hits: Col
     )
 
 
-def normalisation_decision(query: Column, reference: Column, reason: Column, anchor: str = "reference") -> tuple[Column, Column]:
-    """(decision, why) of a discrepancy."""
-    lost = is_missing(query, MISSING_REPORT) | is_missing(reference, MISSING_REPORT)
-    both = is_numeric(query) & is_numeric(reference)
-    shift = F.coalesce(reason, F.lit("")).isin("five_prime_boundary_shift", "three_prime_boundary_shift")
-    near_q = query.rlike("^~[0-9]+$") & is_numeric(reference)
-    near_r = reference.rlike("^~[0-9]+$") & is_numeric(query)
-    to_ref, to_query = ("accept", "escalate") if anchor == "reference" else ("escalate", "accept")
-    decision = F.when(query == reference, "unchanged").when(lost, "escalate").when(both, F.when(shift, "accept").otherwise("escalate")).when(near_q, to_ref).when(near_r, to_query).otherwise("escalate")
-    why = (
-        F.when(query == reference, "raw_equal").when(lost, "missing_or_special_class")
-        .when(both, F.when(shift, F.concat(F.lit("boundary_shift::"), reason)).otherwise("strict_numeric_diff_without_boundary_evidence"))
-        .when(near_q, "query_closest_reference_numeric").when(near_r, "reference_closest_query_numeric").otherwise("non_numeric_or_complex_difference")
+def normalisation_decision(query: Column, reference: Column, reason: Column, subreason: Column, anchor: str = "reference") -> tuple[Column, Column, Column]:
+    """(decision, why, normalised call) of a discrepancy; the anchor's side is taken where one is accepted."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    q, r, because, detail = blank(query), blank(reference), blank(reason), blank(subreason)
+    near = lambda v: v.rlike("^~[0-9]+$")
+    by_reference = anchor == "reference"
+    decided = (
+        (q == r, "unchanged", F.lit("raw_equal"), q),
+        (is_missing(q, UNDECIDED) | is_missing(r, UNDECIDED), "escalate", F.lit("missing_or_special_class"), None),
+        (is_numeric(q) & is_numeric(r) & because.isin(*BOUNDARY_REASONS), "accept", F.concat(F.lit("boundary_shift::"), because, F.lit("::"), detail), r if by_reference else q),
+        (is_numeric(q) & is_numeric(r), "escalate", F.lit("strict_numeric_diff_without_boundary_evidence"), None),
+        (near(q) & is_numeric(r), "accept", F.lit("prodigal_anchor_reference_numeric_over_non_exact"), r) if by_reference else (near(q) & is_numeric(r), "escalate", F.lit("non_exact_query_requires_manual_review"), None),
+        (is_numeric(q) & near(r), "escalate", F.lit("non_exact_reference_requires_manual_review"), None) if by_reference else (is_numeric(q) & near(r), "accept", F.lit("prodigal_anchor_query_numeric_over_non_exact"), q),
+        (F.lit(True), "escalate", F.lit("non_numeric_or_complex_difference"), None),
     )
-    return decision, why
+    pick = lambda part: F.coalesce(*[F.when(rule[0], part(rule)) for rule in decided])
+    return pick(lambda x: F.lit(x[1])), pick(lambda x: x[2]), pick(lambda x: F.lit("") if x[3] is None else x[3])
 
 
 def locus_diff(left: Column, right: Column) -> Column:
@@ -167,5 +177,14 @@ def novel_cell(value: Column) -> Column:
     return F.when((v == "") | (v == "-") | v.rlike("[~?,]"), "-").otherwise(v)
 
 
-def warning(locus: Column, call: Column, identity: Column, coverage: Column) -> Column:
-    return F.when(call == "missing", F.format_string("%s: no match", locus)).when(call == "partial", F.format_string("%s: partial, coverage %.2f", locus, coverage)).when(call == "closest", F.format_string("%s: closest, identity %.2f", locus, identity))
+def warnings(locus: Column, call: Column, allele: Column, identity: Column, coverage: Column, multiple: Column) -> Column:
+    """The warnings of a call, as an array; identity and coverage are null where no hit is at hand. Texts are fixed values."""
+    percent = F.coalesce(F.concat(F.bround(coverage * 100, 0).cast("bigint").cast("string"), F.lit("%")), F.lit("unknown"))
+    about = F.concat(F.lit("Locus '"), locus, F.lit("'"))
+    one = (
+        F.when(call == "missing", F.concat(about, F.lit(" not found in assembly")))
+        .when(call == "partial", F.concat(about, F.lit(" has partial coverage ("), percent, F.lit(")")))
+        .when(call.isin("closest", "novel") & identity.isNotNull(), F.concat(about, F.lit(" allele "), F.coalesce(allele, F.lit("None")), F.lit(": "), F.format_string("%.1f", F.bround(identity, 1)), F.lit("% identity (possible novel allele)")))
+    )
+    many = F.when(F.coalesce(multiple, F.lit(False)), F.concat(about, F.lit(": multiple high-quality hits (possible paralog)")))
+    return F.array_compact(F.array(one, many))

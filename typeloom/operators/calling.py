@@ -39,20 +39,27 @@ def call_loci(hits: DataFrame, min_identity: float = MIN_IDENTITY, min_coverage:
 
     Among hits over the thresholds the best is called; distinct alleles of exact ones are listed in rank order, two or
     more are multiple_hits. Without any, the best of all hits is partial if some coverage reaches half the threshold,
-    else the locus is missing. One grouping with map-side partial results; no window over raw hits.
+    else the locus is missing. Hits are grouped by allele first, both groupings have map-side partial results, and the list
+    that is kept for a locus is of distinct alleles only; no window over raw hits.
     """
     valid = passes(min_identity, min_coverage, min_depth)
     exact = valid & (F.col("identity") == 100) & (F.col("coverage") >= 1)
     fields = [c for c in ("allele_id", "identity", "coverage", "depth", "score", "copy_count", "sequence") if c in hits.columns]
     row = F.struct(*fields)
-    # exact alleles: the best rank of each, so the list to keep is of distinct alleles only
-    grouped = hits.groupBy("sample_id", "locus").agg(
-        F.min_by(F.when(valid, row), F.when(valid, _rank())).alias("best_valid"),
-        F.min_by(row, _rank()).alias("best_any"),
+    rank = _rank()
+    by_allele = hits.groupBy("sample_id", "locus", F.col("allele_id").alias("a")).agg(
+        F.min(F.when(valid, F.struct(rank.alias("r"), row.alias("h")))).alias("valid"),
+        F.min(F.struct(rank.alias("r"), row.alias("h"))).alias("any"),
+        F.min(F.when(exact, rank)).alias("exact"),
+        F.max("coverage").alias("coverage"),
+    )
+    grouped = by_allele.groupBy("sample_id", "locus").agg(
+        F.min("valid")["h"].alias("best_valid"),
+        F.min("any")["h"].alias("best_any"),
         F.max("coverage").alias("most_coverage"),
-        F.array_sort(F.collect_set(F.when(exact, F.struct(_rank().alias("r"), F.col("allele_id").alias("a"))))).alias("exact"),
+        F.array_sort(F.collect_list(F.when(F.col("exact").isNotNull(), F.struct(F.col("exact").alias("r"), "a")))).alias("exact"),
     )
-    ids = F.array_distinct(F.transform("exact", lambda x: x["a"]))
+    ids = F.transform("exact", lambda x: x["a"])
     b = F.coalesce("best_valid", F.when(F.col("most_coverage") >= 0.5 * min_coverage, F.col("best_any")))
     out = grouped.select("sample_id", "locus", b.alias("b"), F.col("best_valid").isNotNull().alias("ok"), ids.alias("ids"))
     kind = call_type(F.col("b.identity"), F.col("b.coverage"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from typeloom.functions.labels import MISSING_REPORT, is_missing, is_numeric
 
@@ -68,16 +69,29 @@ RELATIONS = ("no_overlap", "overlap_only", "same_start_diff_stop", "same_stop_di
 
 def interval_relations(query: DataFrame, reference: DataFrame, width: int = 4096) -> DataFrame:
     """Best relation of each query interval (id, contig, strand, start, end; closed) to the reference's on its contig
-    and strand. Both sides are cut into bins of `width`, so intervals meet only in bins they share."""
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
-    key = ["contig", "strand", "bin"]
-    q = query.withColumn("bin", bins(F.col("start"), F.col("end")))
-    r = reference.select("contig", "strand", F.col("start").alias("r_start"), F.col("end").alias("r_end")).distinct().withColumn("bin", bins(F.col("r_start"), F.col("r_end")))
-    same_start, same_end = F.col("start") == F.col("r_start"), F.col("end") == F.col("r_end")
-    meets = (F.col("end") >= F.col("r_start")) & (F.col("r_end") >= F.col("start"))
-    level = F.when(same_start & same_end, 4).when(same_end, 3).when(same_start, 2).when(meets, 1).otherwise(0)
-    best = q.join(r, key, "left").groupBy("id", "contig", "strand", "start", "end").agg(F.max(F.coalesce(level, F.lit(0))).alias("level"))
-    return best.select("id", "contig", "strand", "start", "end", F.element_at(F.array(*[F.lit(x) for x in RELATIONS]), F.col("level") + 1).alias("relation"))
+    and strand.
+
+    No pair of intervals is made, however deep they lie on each other: equal ends are three joins on distinct keys, and an
+    interval meets some other if, of those that begin at its end or before, the furthest end reaches its start. That is a
+    running maximum along the contig, within bins of `width` and over the bins' maxima.
+    """
+    key = ["contig", "strand"]
+    r = reference.select(*key, "start", "end").distinct()
+    q = query.select("id", *key, "start", "end")
+    bin_of = lambda at: F.floor(at / width).alias("bin")
+    ends = r.select(*key, bin_of(F.col("start")), F.col("start").alias("at"), F.lit(0).alias("kind"), F.col("end").alias("reach"))
+    asks = q.select(*key, bin_of(F.col("end")), F.col("end").alias("at"), F.lit(1).alias("kind"), "id", "start", "end")
+    before = W.partitionBy(*key).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = ends.groupBy(*key, "bin").agg(F.max("reach").alias("most")).unionByName(asks.select(*key, "bin", F.lit(None).cast("long").alias("most")).distinct()).groupBy(*key, "bin").agg(F.max("most").alias("most"))
+    carried = bins.select(*key, "bin", F.max("most").over(before).alias("carried"))
+    inside = W.partitionBy(*key, "bin").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = ends.unionByName(asks, allowMissingColumns=True).withColumn("here", F.max("reach").over(inside)).filter("kind = 1").join(carried, [*key, "bin"])
+    seen = seen.select("id", *key, "start", "end", F.coalesce(F.greatest("here", "carried") >= F.col("start"), F.lit(False)).alias("meets"))
+    flag = lambda cols, name: r.select(*key, *cols).distinct().withColumn(name, F.lit(True))
+    both = seen.join(flag(["start", "end"], "same"), [*key, "start", "end"], "left").join(flag(["end"], "same_end"), [*key, "end"], "left").join(flag(["start"], "same_start"), [*key, "start"], "left")
+    level = F.when(F.col("same"), 4).when(F.col("same_end"), 3).when(F.col("same_start"), 2).when(F.col("meets"), 1).otherwise(0)
+    best = both.groupBy("id", *key, "start", "end").agg(F.max(level).alias("level"))
+    return best.select("id", *key, "start", "end", F.element_at(F.array(*[F.lit(x) for x in RELATIONS]), F.col("level") + 1).alias("relation"))
 
 
 def normal_strand(value):
@@ -103,12 +117,16 @@ def benchmark_metrics(runs: DataFrame) -> DataFrame:
     return runs.groupBy("backend").agg(F.round(F.avg("seconds"), 6).alias("avg_seconds"), F.round(F.stddev_pop("seconds"), 6).alias("pstdev_seconds"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("success_rate"), F.sum("exact").alias("exact"), F.sum("novel").alias("novel"), F.sum("failed").alias("failed"))
 
 
-def primary_stage(errors: DataFrame, order: tuple[str, ...] = ("assembly", "prediction", "clustering", "typing")) -> DataFrame:
-    """The stage of most errors; ties by the fixed order, then by name."""
-    place = F.lit(len(order))
-    for i, s in reversed(list(enumerate(order))):
-        place = F.when(F.col("stage") == s, i).otherwise(place)
-    return errors.groupBy("stage").agg(F.count("*").alias("n")).orderBy(F.desc("n"), place, "stage").limit(1)
+#: Stages in the order that decides between equally many errors.
+STAGES = ("input", "assembly", "prediction", "unknown")
+
+
+def primary_stage(errors: DataFrame, order: tuple[str, ...] = STAGES) -> DataFrame:
+    """The stage of most errors, one row; ties by the fixed order, other stages after them by name; unknown without errors."""
+    place = F.coalesce(*[F.when(F.col("stage") == s, i) for i, s in enumerate(order)], F.lit(99))
+    counts = errors.groupBy("stage").agg(F.count("*").alias("n"))
+    best = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), place.alias("place"), "stage")).alias("b"))
+    return best.select(F.coalesce("b.stage", F.lit("unknown")).alias("stage"), F.coalesce(-F.col("b.n"), F.lit(0)).alias("n"))
 
 
 def multi_copy(hits: DataFrame) -> DataFrame:

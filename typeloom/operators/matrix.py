@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from typeloom.functions.labels import is_missing, locus_diff, normalise_allele
 from typeloom.functions.profiles import asymmetric, clean, mismatches, symmetric
+from typeloom.operators.ordering import numbered
 
 #: Columns of a profile table that are no loci, and the largest matrix for all-pairs work.
 META_COLUMNS = ("FILE", "SCHEME", "ST")
@@ -87,17 +87,37 @@ def locus_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.filter(F.col("left") != F.col("right")).select("locus_ordinal", "left", "right", locus_diff(F.col("left"), F.col("right")).alias("type"))
 
 
-def colour_fields(metadata: DataFrame, preferred: tuple[str, ...] = ("country", "source", "year", "host", "st"), most: int = 5) -> DataFrame:
-    """Fields of more than one distinct non-blank value, preferred names first, then by distinct count and name."""
-    values = metadata.select(F.explode("fields").alias("field", "value")).filter(F.trim("value") != "").groupBy("field").agg(F.count_distinct("value").alias("n")).filter("n > 1")
-    liked = F.lit(len(preferred))
-    for i, p in reversed(list(enumerate(preferred))):
-        liked = F.when(F.lower("field").startswith(p), i).otherwise(liked)
-    w = W.orderBy(liked, F.desc("n"), "field")
-    return values.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
-
-
-def colour_map(values: DataFrame, palette: int = 12) -> DataFrame:
-    """Palette index of each value: by count, then value."""
-    counted = values.groupBy("value").agg(F.count("*").alias("n"))
-    return counted.withColumn("colour", F.pmod(F.row_number().over(W.orderBy(F.desc("n"), "value")) - 1, F.lit(palette)).cast("long"))
+#: Field names that are liked for colours, best first; the default palette.
+COLOUR_FIELDS = ("country", "location", "region", "source", "host", "year", "date", "serotype", "lineage", "clade", "st", "scheme")
+PALETTE = (
+    "#2563eb", "#dc2626", "#16a34a", "#d97706", "#7c3aed", "#0891b2", "#ea580c", "#0284c7", "#4f46e5", "#db2777",
+    "#059669", "#ca8a04", "#6366f1", "#be123c", "#0d9488", "#c2410c", "#4338ca", "#9333ea", "#15803d", "#b91c1c",
+    "#0369a1", "#a21caf", "#4f46e5", "#b45309", "#0f766e", "#9a3412", "#6d28d9", "#be185d", "#166534", "#991b1b",
+    "#1e40af", "#7e22ce", "#92400e", "#065f46", "#9f1239", "#1d4ed8", "#a855f7", "#65a30d", "#e11d48", "#0e7490",
+    "#d946ef", "#84cc16", "#f43f5e", "#14b8a6", "#f97316", "#8b5cf6", "#22c55e", "#ef4444", "#06b6d4", "#eab308",
+    "#ec4899", "#10b981", "#f59e0b", "#3b82f6", "#e879f9", "#34d399", "#fb923c", "#818cf8", "#f472b6", "#a3e635",
+)
+
+
+def colour_fields(metadata: DataFrame, preferred: tuple[str, ...] = COLOUR_FIELDS, most: int = 5) -> DataFrame:
+    """Up to `most` fields of more than one distinct non-blank value: by the first preferred name that they begin with,
+    then fewer distinct values first, then by lower-case name."""
+    values = metadata.select(F.explode("fields").alias("field", "value")).withColumn("value", F.trim("value")).filter("value <> ''").groupBy("field").agg(F.count_distinct("value").alias("n")).filter("n > 1")
+    name = F.lower(F.trim("field"))
+    liked = F.coalesce(*[F.when(name.startswith(p), i) for i, p in enumerate(preferred)], F.lit(len(preferred)))
+    # fields are few, and only the first ones of each part are compared
+    best = values.orderBy(liked, "n", name, "field").limit(most)
+    return best.agg(F.array_sort(F.collect_list(F.struct(liked.alias("liked"), "n", name.alias("name"), "field"))).alias("f")).select(F.posexplode("f").alias("place", "x")).select("x.field", "x.n", (F.col("place") + 1).alias("place"))
+
+
+def colour_map(values: DataFrame, palette: tuple[str, ...] = PALETTE) -> DataFrame:
+    """Colour of each non-blank value, by count and then value: the palette's, and beyond it one computed from the place
+    (its hue is 137.508 degrees for each place, its chroma and luminance cycle)."""
+    counted = numbered(values.filter("value is not null and value <> ''").groupBy("value").agg(F.count("*").alias("n")), [F.desc("n"), "value"], "place", base=-1)
+    at = F.col("place")
+    hue = (at * 137508 % 360000).cast("decimal(20,0)") / F.lit(1000).cast("decimal(4,0)")
+    plain = F.regexp_replace(hue.cast("decimal(20,3)").cast("string"), r"\.?0+$", "")
+    # a hue of 0 or of whole tens keeps its digits
+    plain = F.when(at * 137508 % 1000 == 0, (at * 137508 % 360000 / 1000).cast("bigint").cast("string")).otherwise(plain)
+    computed = F.concat(F.lit("hcl("), plain, F.lit(", "), (at % 3 * 15 + 60).cast("string"), F.lit("%, "), (at % 4 * 5 + 50).cast("string"), F.lit("%)"))
+    return counted.select("value", "n", F.when(at < len(palette), F.get(F.array(*[F.lit(p) for p in palette]), at.cast("int"))).otherwise(computed).alias("colour"))

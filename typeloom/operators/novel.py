@@ -36,7 +36,7 @@ def complete_profiles(profiles: DataFrame) -> DataFrame:
 def novel_profiles(profiles: DataFrame, base: int = 0) -> DataFrame:
     """Complete profiles with ST NK by first appearance."""
     keyed = complete_profiles(profiles).withColumn("key", F.array_join("profile", "|"))
-    numbers = dense_numbers(keyed.withColumn("all", F.lit(0)), ["all"], "key", "ordinal", "number", base)
+    numbers = dense_numbers(keyed, [], "key", "ordinal", "number", base)
     return keyed.join(numbers.select("key", "number"), "key").select("sample", "profile", F.concat(F.lit("N"), F.col("number").cast("string")).alias("st"))
 
 

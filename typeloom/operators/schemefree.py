@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from typeloom.functions.sequences import fingerprint
+from typeloom.operators.ordering import numbered
 
 
 def dense_numbers(rows: DataFrame, within: list[str], key: str, ordinal: str, name: str, base: int = 0) -> DataFrame:
     """Numbers keys from base + 1 by first appearance, within groups.
 
-    The keys' first ordinals are found by a grouping, and only the distinct keys are ranked.
+    The keys' first ordinals are found by a grouping, and only the distinct keys are ranked: over range partitions if
+    they are not within groups.
     """
     first = rows.groupBy(*within, key).agg(F.min(ordinal).alias("first_seen"))
+    if not within:
+        return numbered(first, ["first_seen", key], name, base)
     return first.withColumn(name, (F.row_number().over(W.partitionBy(*within).orderBy("first_seen", key)) + base).cast("long"))
 
 
@@ -22,8 +26,8 @@ def cluster_loci(genes: DataFrame, cluster: Column) -> DataFrame:
     """Genes with their locus: clusters numbered by first appearance over all genes."""
     keyed = genes.withColumn("cluster", cluster)
     first = keyed.groupBy("cluster").agg(F.min("gene_ordinal").alias("first_seen"))
-    numbered = first.withColumn("locus", F.concat(F.lit("locus_"), F.row_number().over(W.orderBy("first_seen", "cluster")).cast("string")))
-    return keyed.join(numbered.select("cluster", "locus"), "cluster")
+    named = numbered(first, ["first_seen", "cluster"], "number").select("cluster", F.concat(F.lit("locus_"), F.col("number").cast("string")).alias("locus"))
+    return keyed.join(named, "cluster")
 
 
 def longest_genes(genes: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ from typeloom.functions import names as N
 from typeloom.functions import profiles as P
 from typeloom.functions import sequences as S
 from typeloom.operators import calling, catalog, compare, graph, matrix, novel, policy, prefilter, refine, schemefree
+from typeloom.operators.ordering import numbered
 from typeloom.plans import model as M
+from typeloom.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,7 +40,7 @@ def _filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    filled = _filled(spark, d)
+    filled = table(_filled(spark, d), "filled")
     keyed = calling.profile_keys(filled)
     return filled, keyed.groupBy("profile").agg(F.min("sample_id").alias("st"), F.count("*").alias("n")).filter("n > 1").drop("n")  # the scheme knows profiles of two samples or more
 
@@ -123,11 +125,11 @@ def o3_second_pass(spark, d):
     return refine.second_pass(_filled(spark, d), 3).select("sample_id", "locus", F.col("place").cast("long").alias("place"))
 
 
-@query(f"""with {M.FILLED}, r as (select *, {_RANK} as p from filled), o as (select sample_id, case when locus = 'L7' then 'L1' else 'L' || (substr(locus, 2)::int + 1) end as locus, allele_id, call_type, confidence, p from r)
+@query(f"""with {M.FILLED.replace(" as (", " as materialized (")}, r as materialized (select *, {_RANK} as p from filled), o as materialized (select sample_id, case when locus = 'L7' then 'L1' else 'L' || (substr(locus, 2)::int + 1) end as locus, allele_id, call_type, confidence, p from r)
 select b.sample_id, b.locus, case when (o.p, o.confidence) > (b.p, b.confidence) then o.allele_id else b.allele_id end as allele_id, case when (o.p, o.confidence) > (b.p, b.confidence) then o.call_type else b.call_type end as call_type
 from r b join o on b.sample_id = o.sample_id and b.locus = o.locus""")
 def u3_keep_better(spark, d):
-    base = _filled(spark, d)
+    base = table(_filled(spark, d), "filled")
     n = F.substring("locus", 2, 9).cast("int")
     other = base.withColumn("locus", F.when(n == 7, "L1").otherwise(F.concat(F.lit("L"), (n + 1).cast("string"))))
     return refine.keep_better(base, other).select("sample_id", "locus", "allele_id", "call_type")
@@ -193,16 +195,10 @@ def p6_residual_loci(spark, d):
     return prefilter.residual_loci(h, h, calling.call_loci(h).filter("call_type = 'exact'"))
 
 
-@query("select doc_id, sha256(upper(replace(text, 'ß', 's'))) as sha, md5(upper(replace(replace(replace(replace(text, 'ß', 's'), '-', ''), ' ', ''), chr(10), ''))) as safe, reverse(translate(substr(text, 1, 40), 'ACGTacgt', 'TGCAtgca')) as rc from documents")
+@query("select doc_id, sha256(upper(replace(text, 'ß', 's'))) as sha, md5(upper(replace(replace(replace(replace(text, 'ß', 's'), '-', ''), ' ', ''), chr(10), ''))) as safe, reverse(translate(text, 'ACGTacgt', 'TGCAtgca')) as rc from documents")
 def f4_fingerprints(spark, d):
     t = F.replace(F.col("text"), F.lit("ß"), F.lit("s"))  # the engines disagree on its upper case
-    return M.read(spark, d, "documents").select("doc_id", S.digest(t).alias("sha"), S.fingerprint(t, "safe").alias("safe"), S.reverse_complement(F.substring("text", 1, 40)).alias("rc"))
-
-
-@query(None)
-def f4_reverse_complement(spark, d):
-    """Reverse complements of whole texts; rc of f4_fingerprints, bound to its SQL, covers the first 40 characters only."""
-    return M.read(spark, d, "documents").select("doc_id", S.reverse_complement(F.col("text")).alias("rc"))
+    return M.read(spark, d, "documents").select("doc_id", S.digest(t).alias("sha"), S.fingerprint(t, "safe").alias("safe"), S.reverse_complement(F.col("text")).alias("rc"))
 
 
 @query("""with n as (select 'loc' || n_nationkey || case when n_nationkey % 3 = 0 then '_a_' || n_nationkey when n_nationkey % 3 = 1 then '-b-' || n_nationkey else '' end as full_id from nation)
@@ -223,10 +219,9 @@ def f35_gene_windows(spark, d):
 
 
 # --- policy: A5, A7, F16-F18, J14-J16 ---
-@query("with c as (select lang as locus, n_chars // 100 as n, count(*) as k from documents group by all) select locus, min(n) as min_len, first(n order by k desc, n) as mode_len, max(n) as max_len from c group by 1")
+@query("with c as (select lang as locus, len(text) as n, count(*) as k from documents group by all) select locus, min(n) as min_len, first(n order by k desc, n) as mode_len, max(n) as max_len from c group by 1")
 def a5_length_stats(spark, d):
-    docs = M.read(spark, d, "documents").select(F.col("lang").alias("locus"), F.repeat(F.lit("A"), F.floor(F.col("n_chars") / 100).cast("int")).alias("seq"))
-    return policy.length_stats(docs)
+    return policy.length_stats(M.read(spark, d, "documents").select(F.col("lang").alias("locus"), F.col("text").alias("seq")))
 
 
 @query(f"with {M.ALLELES} select locus, count(*) as n, min(len(seq))::bigint as min_len, max(len(seq))::bigint as max_len, round_even(avg(len(seq)), 0)::bigint as mean_len from al group by 1")
@@ -253,12 +248,17 @@ def _classes(spark, d):
     return policy.classify(_coordinates(spark, d), stats)
 
 
+# an empty or - label is LNF, then numbers, then what begins with INF-, then the twelve names as written, then OTHER
+_BUCKET = "case when trim(label) in ('', '-') then 'LNF' when regexp_full_match(trim(label), '[0-9]+') then 'NUMERIC' when starts_with(trim(label), 'INF-') then 'INF' when trim(label) in ('EXC', 'INF', 'LNF', 'PLOT3', 'PLOT5', 'LOTSC', 'NIPH', 'NIPHEM', 'ALM', 'ASM', 'PAMA', 'PLNF') then trim(label) else 'OTHER' end"
+_LABELS = ("", "-", " - ", "12", " 7", "INF-3", "inf-3", "INF", "EXC", "PLNF", "plnf", "LNF", "NIPH", "NIPHEM", "ALM", "ASM", "PAMA", "PLOT3", "PLOT5", "LOTSC", "~4", "x")
+
+
 @query(f"with {_CO} select sample_id, locus, label from labelled")
 def f16_chew_classes(spark, d):
     return _classes(spark, d).select("sample_id", "locus", "label")
 
 
-@query(f"with {_CO} select case when regexp_matches(label, '^[0-9]+$') then 'NUMERIC' when label like 'INF-%' then 'INF' when label in ('LNF', 'NIPH', 'NIPHEM', 'ASM', 'ALM', 'PLOT3', 'PLOT5', 'LOTSC', 'PAMA') then label else 'OTHER' end as bucket, count(*) as n from labelled group by 1")
+@query(f"with {_CO} select {_BUCKET} as bucket, count(*) as n from labelled group by 1")
 def a15_class_counts(spark, d):
     return _classes(spark, d).groupBy(L.label_bucket(F.col("label")).alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -271,6 +271,21 @@ def j14_contained_alleles(spark, d):
     return policy.contained(calls, M.alleles(spark, d), cds)
 
 
+@query(f"with l as (select c_custkey, ({list(_LABELS)!r})[c_custkey % {len(_LABELS)} + 1] as label from customer) select c_custkey, label, {_BUCKET} as bucket from l")
+def f23_label_buckets(spark, d):
+    label = F.element_at(F.array(*[F.lit(x) for x in _LABELS]), (F.col("c_custkey") % len(_LABELS) + 1).cast("int"))
+    rows = M.read(spark, d, "customer").select("c_custkey", label.alias("label"))
+    return rows.withColumn("bucket", L.label_bucket(F.col("label")))
+
+
+@query(f"""with {M.FILLED}, n as (select *, 'Locus ' || chr(39) || locus || chr(39) as about from filled), w as (select sample_id, locus, unnest([case call_type when 'missing' then about || ' not found in assembly' when 'partial' then about || ' has partial coverage (' || coalesce(round_even(coverage * 100, 0)::bigint || '%', 'unknown') || ')'
+ when 'exact' then null else about || ' allele ' || allele_id || ': ' || printf('%.1f', round_even(identity, 1)) || '% identity (possible novel allele)' end, case when multiple_hits then about || ': multiple high-quality hits (possible paralog)' end]) as warning from n)
+select * from w where warning is not null""")
+def f19_warnings(spark, d):
+    w = L.warnings(F.col("locus"), F.col("call_type"), F.col("allele_id"), F.col("identity"), F.col("coverage"), F.col("multiple_hits"))
+    return _filled(spark, d).select("sample_id", "locus", F.explode(w).alias("warning"))
+
+
 # --- profile analytics: F7-F12, A11, A12, A24, J13, G1, G13, J5, A13, F26 ---
 def _nodes(spark, d):
     return matrix.to_profiles(M.matrix(spark, d)).select(F.col("sample_ordinal").alias("id"), "profile")
@@ -322,16 +337,23 @@ def a12_metadata_breakdown(spark, d):
     return matrix.metadata_breakdown(e.select(F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), (F.col("user_id") % 9).cast("string")).alias("fields")))
 
 
-@query("with v as (select field, value from (select 'type' as field, event_type as value from events union all select 'source', (user_id % 9)::varchar from events union all select 'one', 'x' from events)) select field, n, place from (select field, count(distinct value) as n, row_number() over (order by case when field = 'source' then 1 else 5 end, count(distinct value) desc, field) as place from v group by 1 having count(distinct value) > 1) where place <= 5")
+@query("""with v as (select unnest(['type', 'Source ', 'one', 'country_code', 'Year', 'yearly', 'zone', 'host', 'stage']) as field, unnest([event_type, (user_id % 9)::varchar, 'x', (user_id % 4)::varchar, (user_id % 9)::varchar, (user_id % 3)::varchar, (user_id % 2)::varchar, ' ', (user_id % 3) || ' ']) as value from events),
+c as (select field, count(distinct trim(value)) as n, lower(trim(field)) as name from v where trim(value) <> '' group by 1 having count(distinct trim(value)) > 1),
+r as (select *, coalesce((select min(i) from range(0, 12) t(i) where starts_with(name, (['country', 'location', 'region', 'source', 'host', 'year', 'date', 'serotype', 'lineage', 'clade', 'st', 'scheme'])[i + 1])), 12) as liked from c)
+select field, n, place from (select *, row_number() over (order by liked, n, name) as place from r) where place <= 5""")
 def a26_colour_fields(spark, d):
-    e = M.read(spark, d, "events")
-    m = e.select(F.create_map(F.lit("type"), F.col("event_type"), F.lit("source"), (F.col("user_id") % 9).cast("string"), F.lit("one"), F.lit("x")).alias("fields"))
+    u = F.col("user_id")
+    cell = {"type": F.col("event_type"), "Source ": u % 9, "one": F.lit("x"), "country_code": u % 4, "Year": u % 9, "yearly": u % 3, "zone": u % 2, "host": F.lit(" "), "stage": F.concat((u % 3).cast("string"), F.lit(" "))}
+    m = M.read(spark, d, "events").select(F.create_map(*[x for k, v in cell.items() for x in (F.lit(k), v.cast("string"))]).alias("fields"))
     return matrix.colour_fields(m).withColumn("place", F.col("place").cast("long"))
 
 
-@query("select value, n, ((row_number() over (order by n desc, value) - 1) % 12)::bigint as colour from (select c_mktsegment as value, count(*) as n from customer group by 1)")
+@query(f"""with c as (select value, count(*) as n from (select case when p_size = 3 then '' else p_brand || p_size end as value from part) where value <> '' group by 1), o as (select *, row_number() over (order by n desc, value) - 1 as i from c),
+h as (select *, i * 137508 % 360000 as mille from o)
+select value, n, case when i < {len(matrix.PALETTE)} then ({list(matrix.PALETTE)!r})[i + 1] else 'hcl(' || (mille // 1000) || case when mille % 1000 = 0 then '' else '.' || rtrim(lpad((mille % 1000)::varchar, 3, '0'), '0') end || ', ' || (60 + i % 3 * 15) || '%, ' || (50 + i % 4 * 5) || '%)' end as colour from h""")
 def a27_colour_map(spark, d):
-    return matrix.colour_map(M.read(spark, d, "customer").select(F.col("c_mktsegment").alias("value")))
+    value = F.when(F.col("p_size") == 3, "").otherwise(F.concat("p_brand", F.col("p_size").cast("string")))
+    return matrix.colour_map(M.read(spark, d, "part").select(value.alias("value")))
 
 
 def _runs(spark, d):
@@ -405,12 +427,32 @@ def f21_verdict_counts(spark, d):
     return _callers(spark, d).groupBy(L.verdict(F.col("a"), F.col("b"), F.col("found"), F.col("ex"), F.col("hits")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query(f"""with {M.MATRIX}, x as (select value as q, other as r, case when sample_ordinal % 3 = 0 then 'five_prime_boundary_shift' end as reason from mtx)
-select decision, count(*) as n from (select case when q = r then 'unchanged' when upper(q) in ('', '-', 'LNF', 'NIPH', 'ALM', 'ASM', 'PLOT3', 'PLOT5') then 'escalate' when regexp_matches(q, '^[0-9]+$') then case when reason is not null then 'accept' else 'escalate' end when regexp_matches(q, '^~[0-9]+$') then 'accept' else 'escalate' end as decision from x) group by 1""")
-def f22_normalisation_decisions(spark, d):
-    reason = F.when(F.col("sample_ordinal") % 3 == 0, "five_prime_boundary_shift")
-    decision, _ = L.normalisation_decision(F.col("value"), F.col("other"), reason)
-    return M.matrix(spark, d).groupBy(decision.alias("decision")).agg(F.count("*").alias("n"))
+_DISCREPANCIES = """x as (select sample, locus_ordinal, case when sample_ordinal % 7 = 0 then ' LOTSC' when sample_ordinal % 11 = 0 then 'INF-3' else value end as q, case when sample_ordinal % 13 = 0 then '~9' when sample_ordinal % 17 = 0 then 'plot5' else other end as r,
+ case when sample_ordinal % 3 = 0 then 'five_prime_boundary_shift' when sample_ordinal % 3 = 1 then 'three_prime_boundary_shift ' else 'other_reason' end as reason, 'codon' || locus_ordinal % 2 as sub from mtx),
+y as (select *, trim(q) as a, trim(r) as b, upper(trim(q)) in ('', '-', 'LNF', 'NIPH', 'ALM', 'ASM', 'PLOT3', 'PLOT5', 'LOTSC') or upper(trim(r)) in ('', '-', 'LNF', 'NIPH', 'ALM', 'ASM', 'PLOT3', 'PLOT5', 'LOTSC') as lost, regexp_full_match(trim(q), '[0-9]+') as an, regexp_full_match(trim(r), '[0-9]+') as bn, regexp_full_match(trim(q), '~[0-9]+') as ax, regexp_full_match(trim(r), '~[0-9]+') as bx, trim(reason) in ('five_prime_boundary_shift', 'three_prime_boundary_shift') as shifted from x)"""
+
+
+def _decisions(spark, d, anchor):
+    m, k = M.matrix(spark, d), F.col("sample_ordinal")
+    q = F.when(k % 7 == 0, " LOTSC").when(k % 11 == 0, "INF-3").otherwise(F.col("value"))
+    r = F.when(k % 13 == 0, "~9").when(k % 17 == 0, "plot5").otherwise(F.col("other"))
+    reason = F.when(k % 3 == 0, "five_prime_boundary_shift").when(k % 3 == 1, "three_prime_boundary_shift ").otherwise("other_reason")
+    decision, why, call = L.normalisation_decision(q, r, reason, F.concat(F.lit("codon"), (F.col("locus_ordinal") % 2).cast("string")), anchor)
+    return m.select("sample", "locus_ordinal", decision.alias("decision"), why.alias("decision_reason"), call.alias("normalized_call"))
+
+
+@query(f"""with {M.MATRIX}, {_DISCREPANCIES} select sample, locus_ordinal, case when a = b then 'unchanged' when lost then 'escalate' when an and bn and shifted or ax and bn then 'accept' else 'escalate' end as decision,
+ case when a = b then 'raw_equal' when lost then 'missing_or_special_class' when an and bn then case when shifted then 'boundary_shift::' || trim(reason) || '::' || sub else 'strict_numeric_diff_without_boundary_evidence' end when ax and bn then 'prodigal_anchor_reference_numeric_over_non_exact' when an and bx then 'non_exact_reference_requires_manual_review' else 'non_numeric_or_complex_difference' end as decision_reason,
+ case when a = b then a when lost then '' when an and bn and shifted or ax and bn then b else '' end as normalized_call from y""")
+def f22_normalisation_by_reference(spark, d):
+    return _decisions(spark, d, "reference")
+
+
+@query(f"""with {M.MATRIX}, {_DISCREPANCIES} select sample, locus_ordinal, case when a = b then 'unchanged' when lost then 'escalate' when an and bn and shifted or an and bx then 'accept' else 'escalate' end as decision,
+ case when a = b then 'raw_equal' when lost then 'missing_or_special_class' when an and bn then case when shifted then 'boundary_shift::' || trim(reason) || '::' || sub else 'strict_numeric_diff_without_boundary_evidence' end when ax and bn then 'non_exact_query_requires_manual_review' when an and bx then 'prodigal_anchor_query_numeric_over_non_exact' else 'non_numeric_or_complex_difference' end as decision_reason,
+ case when a = b then a when lost then '' when an and bn and shifted or an and bx then a else '' end as normalized_call from y""")
+def f22_normalisation_by_query(spark, d):
+    return _decisions(spark, d, "query")
 
 
 _IV = "iv as (select l_suppkey % 20 as contig, l_linestatus as strand, l_orderkey as id, l_partkey % 3000 + 1 as start, l_partkey % 3000 + 1 + (l_partkey * 7 + l_linenumber) % 90 as \"end\" from lineitem)"
@@ -443,9 +485,22 @@ def a16_benchmark_metrics(spark, d):
     return compare.benchmark_metrics(M.read(spark, d, "events").select(F.col("event_type").alias("backend"), F.col("value").alias("seconds"), (u % 5 > 0).alias("ok"), (u % 7).alias("exact"), (u % 3).alias("novel"), (u % 2).alias("failed")))
 
 
-@query("select event_type as stage, count(*) as n from events group by 1 order by n desc, stage limit 1")
+@query("""with e as (select unnest(['clustering', 'unknown', 'prediction', 'assembly', 'input', 'typing'][1 + user_id % 2 : 2 + user_id % 5]) as stage from events union all select event_type from events),
+even as (select distinct stage from e), c as (select stage, count(*) as n from e group by 1 union all select 'tie ' || stage, 5 from even)
+select 'most' as part, stage, n from (select * from c where not starts_with(stage, 'tie ') order by n desc, case stage when 'input' then 0 when 'assembly' then 1 when 'prediction' then 2 when 'unknown' then 3 else 99 end, stage limit 1)
+union all select 'tie', 'input', 5 from (select 1 where exists (select 1 from even where stage = 'input')) union all select 'tie without input', 'assembly', 5 from (select 1 where exists (select 1 from even where stage = 'assembly')) union all select 'others', 'clustering', 5 union all select 'none', 'unknown', 0""")
 def a17_primary_stage(spark, d):
-    return compare.primary_stage(M.read(spark, d, "events").select(F.col("event_type").alias("stage")))
+    u = F.col("user_id")
+    names = F.slice(F.array(*[F.lit(x) for x in ("clustering", "unknown", "prediction", "assembly", "input", "typing")]), (1 + u % 2).cast("int"), F.greatest(F.lit(0), (2 + u % 5 - u % 2).cast("int")))
+    e = M.read(spark, d, "events")
+    rows = table(e.select(F.explode(names).alias("stage")).unionByName(e.select(F.col("event_type").alias("stage"))), "stages")
+    even = rows.distinct().select("stage", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).drop("k")
+    cases = {"most": rows, "tie": even, "tie without input": even.filter("stage <> 'input'"), "others": even.filter("stage in ('typing', 'clustering')"), "none": even.limit(0)}
+    out = None
+    for name, part in cases.items():
+        one = compare.primary_stage(part).select(F.lit(name).alias("part"), "stage", F.col("n").cast("long").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --- graphs: G6 weight, G8, G9 ---
@@ -628,9 +683,19 @@ def f25_mates(spark, d):
     return _files(spark, d).select("conv_id", "turn", pair.alias("pair"), mate.alias("mate"))
 
 
-@query("select page_id, regexp_matches(lower(url), '^https?://') and regexp_extract(lower(url), '^https?://(?:[^/@?#]*@)?([^/:?#]*)', 1) <> '' and not regexp_matches(regexp_extract(lower(url), '^https?://(?:[^/@?#]*@)?([^/:?#]*)', 1), '^(10\\.|127\\.|0\\.|169\\.254\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') as public from pages")
+_HOSTS = ("10.0.0.1", "10.example.com", "127.0.0.1", "127.1", "2130706433", "0x7f000001", "010.0.0.1", "1.2.3.4.5", "0.0.0.0", "169.254.169.254", "172.15.0.1", "172.16.0.1", "172.31.255.255", "172.32.0.1", "192.168.1.1", "192.169.1.1", "192.0.0.9", "192.0.0.1", "192.0.2.7", "198.18.0.1", "198.20.0.1", "198.51.100.3", "203.0.113.9", "224.0.0.1", "240.0.0.1", "255.255.255.255", "8.8.8.8", "100.64.0.1", "localhost", "[::]", "[::1]", "[::ffff:10.0.0.1]", "[::ffff:8.8.8.8]", "[fe80::1]", "[fd00::1]", "[ff02::1]", "[2001:db8::1]", "[2606:4700::1111]", "[2001:4860:4860::8888]", "[zz]", "")
+_URLS = (*(f"http://{h}/x" for h in _HOSTS), "ftp://example.com/", "https://u:p@10.0.0.1:80/", "https://u@v@example.com:443?q", "HTTPS://Example.com", "http://10.0.0.1@example.com/", "mailto:a@b", "")
+
+
+@query(f"""with u as (select page_id, url from pages union all select -1 - i, ({list(_URLS)!r})[i + 1] from range(0, {len(_URLS)}) t(i)),
+h as (select page_id, url, lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/:?#\\[\\]]*)(?::[0-9]*)?(?:[/?#]|$)', 1)) as host from u),
+q as (select *, regexp_full_match(host, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){{3}}') as quad from h)
+select page_id, host <> '' and not case when quad then regexp_matches(host, '^(0|10|127|22[4-9]|2[345][0-9])[.]|^169[.]254[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]|^192[.]168[.]|^192[.]0[.]0[.]([0-8]|1[1-9]|[2-9][0-9]|[12][0-9][0-9])$|^192[.]0[.]2[.]|^198[.]1[89][.]|^198[.]51[.]100[.]|^203[.]0[.]113[.]')
+ when starts_with(host, '[') then host not in ('[2606:4700::1111]', '[::ffff:8.8.8.8]', '[2001:4860:4860::8888]') else host in ('localhost', '127.1', '2130706433', '0x7f000001', '010.0.0.1', '1.2.3.4.5') end as public from q""")
 def p16_public_urls(spark, d):
-    return M.read(spark, d, "pages").select("page_id", N.is_public_url(F.col("url")).alias("public"))
+    pages = M.read(spark, d, "pages").select("page_id", "url")
+    more = spark.createDataFrame([(-1 - i, u) for i, u in enumerate(_URLS)], "page_id long, url string")
+    return pages.unionByName(more).select("page_id", N.is_public_url(F.col("url")).alias("public"))
 
 
 @query("select page_id, len(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))::bigint as n_links, regexp_extract(html, 'href=\"([^\"]+)\"', 1) as first_link from pages")
@@ -642,22 +707,23 @@ def s22_links(spark, d):
 
 @query("select c_custkey, 'sc_' || (c_custkey % 13) as name, row_number() over (order by c_custkey % 2 = 0, 'sc', c_custkey % 13, c_custkey) as place from customer")
 def w10_natural_order(spark, d):
-    from pyspark.sql.window import Window as W
-
     c = M.read(spark, d, "customer").select("c_custkey", F.concat(F.lit("sc_"), (F.col("c_custkey") % 13).cast("string")).alias("name"))
-    w = W.orderBy(*catalog.natural_order(F.col("name"), F.col("c_custkey") % 2 != 0), "c_custkey")
-    return c.withColumn("place", F.row_number().over(w).cast("long"))
+    return numbered(c, [*catalog.natural_order(F.col("name"), F.col("c_custkey") % 2 != 0), "c_custkey"], "place")
 
 
-@query("with s as (select s_suppkey, 'iso' || s_suppkey as sample_id from supplier), f as (select 'iso' || s_suppkey || case s_suppkey % 3 when 0 then '.fa' when 1 then '.fastq.gz' else '.fna' end as name from supplier where s_suppkey % 5 > 0 union all select 'iso' || s_suppkey || '.fasta' from supplier where s_suppkey % 4 = 0) select sample_id, case when s_suppkey % 4 = 0 then sample_id || '.fasta' when s_suppkey % 5 > 0 then sample_id || case s_suppkey % 3 when 0 then '.fa' when 1 then '.fastq.gz' else '.fna' end end as path from s")
+@query("""with s as (select s_suppkey as k, 'iso' || s_suppkey as sample_id from supplier), f as (select sample_id || case k % 3 when 0 then '.fa' when 1 then '.fastq.gz' else '.fna' end as name from s where k % 5 > 0 union all select sample_id || '.fasta' from s where k % 4 = 0 union all select sample_id from s where k % 6 = 0 union all select sample_id || '.fasta.gz' from s where k % 2 = 0 union all select sample_id || '.fq' from s where k % 7 = 0),
+o as (select unnest(['', '.fasta', '.fa', '.fna', '.ffn', '.frn', '.fastq', '.fq', '.fasta.gz', '.fa.gz', '.fna.gz', '.fastq.gz', '.fq.gz']) as suffix, unnest(range(0, 13)) as place)
+select s.sample_id, min_by(f.name, place) as path from s left join o on true left join f on f.name = s.sample_id || o.suffix group by 1""")
 def j21_resolve_files(spark, d):
-    s = M.read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("iso"), F.col("s_suppkey").cast("string")).alias("sample_id"))
     k = F.col("s_suppkey")
+    s = M.read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("iso"), k.cast("string")).alias("sample_id"))
     ending = F.when(k % 3 == 0, ".fa").when(k % 3 == 1, ".fastq.gz").otherwise(".fna")
-    files = s.filter(k % 5 > 0).select(F.concat("sample_id", ending).alias("name")).unionByName(s.filter(k % 4 == 0).select(F.concat("sample_id", F.lit(".fasta")).alias("name")))
+    files = s.filter(k % 5 > 0).select(F.concat("sample_id", ending).alias("name"))
+    for every, suffix in ((4, ".fasta"), (6, ""), (2, ".fasta.gz"), (7, ".fq")):
+        files = files.unionByName(s.filter(k % every == 0).select(F.concat("sample_id", F.lit(suffix)).alias("name")))
     return catalog.resolve_files(s, files)
 
 
 @query("select event_id, try_cast(json_extract_string(props, '$.n') as bigint) as n from events")
-def s14_json_fields(spark, d):
+def json_fields(spark, d):
     return M.read(spark, d, "events").select("event_id", F.get_json_object("props", "$.n").try_cast("bigint").alias("n"))

@@ -1,4 +1,4 @@
-"""A session with the settings the library is tested with; a cluster's own session works as well."""
+"""A session with the settings that results rely on; memory and parallelism are the caller's, by `conf` or the cluster's own."""
 
 from __future__ import annotations
 
@@ -6,12 +6,5 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str = "local[8]", name: str = "typeloom", **conf: str) -> SparkSession:
-    settings = {
-        "spark.sql.shuffle.partitions": "8",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.ui.enabled": "false",
-        "spark.driver.memory": "12g",
-    }
+    settings = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false"}
     return SparkSession.builder.master(master).appName(name).config(map=settings | conf).getOrCreate()
