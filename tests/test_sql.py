@@ -5,6 +5,7 @@ import os
 import pytest
 from oracle import both
 
+from typeloom.plans import further  # noqa: F401 registers its queries
 from typeloom.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -12,11 +12,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment hits: an order is a sample, a line number a locus, a part an allele."""
+    lines = read(spark, sf_dir, "lineitem").withColumn("locus", F.concat(F.lit("L"), F.col("l_linenumber").cast("string")))
+    return hits_of(lines, "l_orderkey", "locus")
+
+
+def hits_of(lines: DataFrame, sample: str, locus: str) -> DataFrame:
+    """Hits of the lines, with these columns as sample and locus."""
     q, d = F.col("l_quantity"), F.col("l_discount")
     identity = F.when(q >= 26, 100.0).when(q >= 6, 95 + q / 10).otherwise(88 + q)
     coverage = F.when(d < 0.05, 1.0).when(d < 0.08, 0.96).otherwise(0.40 + 5 * F.col("l_tax"))
-    rows = read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("sample_id"), F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("locus"), (F.col("l_partkey") % 50 + 1).cast("string").alias("allele_id"),
+    rows = lines.select(
+        F.col(sample).alias("sample_id"), F.col(locus).alias("locus"), (F.col("l_partkey") % 50 + 1).cast("string").alias("allele_id"),
         identity.alias("identity"), coverage.alias("coverage"), F.when(F.col("l_returnflag") != "A", q * 4).alias("depth"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"),
         (F.col("l_suppkey") % 5).alias("query_contig"), (F.col("l_partkey") % 90).alias("query_start"), (F.col("l_partkey") % 90 + F.col("l_suppkey") % 40 + 1).alias("query_end"),
         F.floor(F.col("l_extendedprice") * 100).alias("hit_ordinal"), (F.col("l_suppkey") % 60 + 60).alias("contig_length"), (F.col("l_partkey") % 40 + 80).alias("allele_length"),

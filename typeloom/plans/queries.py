@@ -1,9 +1,7 @@
-"""Named queries over the model, each with its SQL. A key's comment gives the operators it covers."""
+"""Named queries over the model, each with its SQL. A section's comment gives the operators it covers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +12,10 @@ from typeloom.functions import sequences as S
 from typeloom.operators import calling, catalog, compare, graph, matrix, novel, policy, prefilter, refine, schemefree
 from typeloom.operators.ordering import numbered
 from typeloom.plans import model as M
+from typeloom.plans.registry import QUERIES, SQL, query
 from typeloom.storage import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL"]
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
