@@ -1,77 +1,24 @@
-"""Shared helpers: reading tables, cutting lineage in the shared folder, and small column expressions."""
+"""Shared helpers: reading tables, size-checked joins, and small column expressions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typeloom.storage import fresh_path, scratch, shared_dir, table, writing
+
+__all__ = ["WORD", "checked_broadcast", "fresh_path", "join_facts", "let", "n_words", "read", "scratch", "shared_dir", "table", "text_of", "writing"]
+
 #: A word of every contract: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: While a table is written: the shuffle files of an execution go when it ends, as all that they made is in the table by
-#: then, and batches sent to Python are small. Neither changes a result.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where all tasks run in the driver (tests)
-    may it be unset; it is a temporary folder then."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        if not sc.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='typeloom-')}"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def writing(spark: SparkSession) -> Iterator[None]:
-    held = {k: spark.conf.get(k) for k in _WRITING}
-    for k, v in _WRITING.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in held.items():
-            spark.conf.set(k, v)
-
-
-@contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[str]:
-    """A folder in the shared one for the tables of one call, deleted at its end: what the call returns must not read them."""
-    path = fresh_path(spark, name)
-    try:
-        yield path
-    finally:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Written as Parquet in the shared folder (or a folder of its own there) and read back: it cuts the lineage, its size
-    on disk is known to the planner, and the shuffle files that made it can go."""
-    spark = df.sparkSession
-    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else fresh_path(spark, name)
-    with writing(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

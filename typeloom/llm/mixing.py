@@ -1,21 +1,23 @@
 """Mixing sources to target weights by a time-varying curriculum.
 
 Each source's weight schedule is a line over the training time t in [0, 1]: w(t) = target * (1 + ramp * (2 t - 1)).
-Its integral D(t) is the source's cumulative word demand, with D(1) = target. A document that begins at cumulative word
-c of its source (in a keyed order) is trained at the t that solves D(t) = c, in closed form; documents are range-sorted
-by it. Passes beyond the first begin at whole multiples of the source's size.
+Its integral D(t) is the source's cumulative word demand, with D(1) = target. The k-th pass over a source (from 0) has
+its document with `before` words ahead of it in the keyed order at cumulative word c = k * size of the source + before,
+and trains it at the t that solves D(t) = middle of the document at c, in closed form. What the mix takes is what that
+inverse places inside the training, at t <= 1; documents are range-sorted by it.
 
 Targets: sources by code point, null last, have weights 5, 2, 1, repeating; they share `share` times all words; a
 target stops at `most` times its source's size, and the excess is shared again by weight (water filling in closed form).
 
-Scale: the order inside a source is that of a keyed hash of the row, cut into buckets, so one source that holds a third
-of all rows is spread like any other. Prefix sums run over (source, bucket) sums, and inside each bucket row by row for
-the words at which documents begin. What is taken needs only the one bucket in which a source's partial pass ends. The (source, bucket) plan is broadcast only after its row count was
-checked, and joined by shuffle otherwise.
+Scale: the order inside a source is that of a keyed hash of the row, cut into buckets of about BUCKET rows, so one source
+that holds a third of all rows is spread like any other. Exact prefix sums run over (source, bucket) sums, and inside
+each bucket row by row. Ranks and water filling over sources are running sums over range partitions, so their number may
+be large. What is taken (`shares`) moves narrow rows only; texts are shuffled just for the sorted corpus. The (source,
+bucket) plan is broadcast only after its row count was checked, and joined by shuffle otherwise.
 
 Edge cases: a null text has size 0; a document of size 0 is never taken; a null source is a source of its own, sorted
 last; repeated rows are equal in the keyed order and are taken alike; an empty table gives an empty result; other
-columns pass through untouched.
+columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from typeloom.llm.common import checked_broadcast, n_words, table, text_of
+from typeloom.llm.common import checked_broadcast, n_words, scratch, table, text_of
+from typeloom.operators.ordering import numbered, running_sums
 
 WEIGHTS = (5.0, 2.0, 1.0)
 RAMPS = (-0.5, 0.0, 0.5)
-BUCKETS = 256
+BUCKET = 8192
 MOST_PLAN_ROWS = 100_000
+_SOURCE = ["is_null", "src"]
 
 
 def keyed_order(doc_id: Column, text: Column, seed: str) -> Column:
@@ -41,75 +45,81 @@ def _cycle(values: tuple[float, ...], rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.pmod(rank - 1, F.lit(len(values))) + 1).cast("int"))
 
 
-def targets(sizes: DataFrame, share: float, most: int) -> DataFrame:
+def targets(sizes: DataFrame, share: float, most: int, folder: str) -> DataFrame:
     """Water filling over (is_null, src, source_size): target = min(cap, level * weight). One row for each source."""
-    by_name = W.orderBy("is_null", "src")
-    by_ratio = W.orderBy("ratio", "is_null", "src")
-    everything = W.partitionBy()
-    caps = sizes.withColumn("rank", F.row_number().over(by_name)).withColumns({"weight": _cycle(WEIGHTS, F.col("rank")), "ramp": _cycle(RAMPS, F.col("rank")), "cap": (F.col("source_size") * most).cast("double")}).withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    rest = by_ratio.rowsBetween(W.currentRow, W.unboundedFollowing)
-    levels = caps.withColumns({"total": F.sum("source_size").over(everything).cast("double") * share, "capped": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "open": F.sum("weight").over(rest)}).withColumn("level_here", (F.col("total") - F.col("capped")) / F.col("open"))
-    level = F.min(F.when(F.col("level_here") <= F.col("ratio"), F.struct("ratio", "is_null", "src", "level_here"))).over(everything)["level_here"]
-    return levels.withColumn("level", level).select("is_null", "src", "source_size", "ramp", F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
-
-
-def with_keys(docs: DataFrame, seed: str) -> DataFrame:
-    """`docs` as one struct column `doc`, with its size, source key, place in the keyed order, and bucket."""
-    text = text_of("text")
-    order = keyed_order(F.col("doc_id"), text, seed)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), n_words(text).alias("size"), F.col("source").isNull().alias("is_null"), F.coalesce("source", F.lit("")).alias("src"), order.alias("place"))
-    return rows.withColumn("bucket", F.shiftright("place", 60 - BUCKETS.bit_length() + 1).cast("int"))
-
-
-def mixing_plan(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2) -> DataFrame:
-    """A row for each (source, bucket): prefix of words, the source's size, target and ramp, the number of full passes,
-    and the place below which documents are taken once more."""
-    rows = table(with_keys(docs.select("doc_id", "source", "text"), seed).select("is_null", "src", "bucket", "place", "size"), "mix-sizes")
-    sums = table(rows.groupBy("is_null", "src", "bucket").agg(F.sum("size").alias("words")), "mix-sums")
-    goals = targets(sums.groupBy("is_null", "src").agg(F.sum("words").alias("source_size")), share, most)
-    ahead = W.partitionBy("is_null", "src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = sums.withColumn("prefix", F.coalesce(F.sum("words").over(ahead), F.lit(0))).join(goals, ["is_null", "src"]).withColumn("passes", F.floor(ratio).cast("long"))
-    plan = table(plan.withColumn("partial", F.col("target") - F.col("passes") * F.col("source_size")), "mix-plan")
-    # the bucket in which the partial pass ends: its documents one by one, taken while their middle lies before the end
-    last = plan.filter((F.col("prefix") < F.col("partial")) & (F.col("prefix") + F.col("words") >= F.col("partial"))).select("is_null", "src", "bucket", "prefix", "partial")
-    inside = rows.join(last, ["is_null", "src", "bucket"]).groupBy("is_null", "src", "bucket", "prefix", "partial", "place").agg(F.sum("size").alias("size"))
-    reach = F.col("prefix") + F.sum("size").over(W.partitionBy("is_null", "src", "bucket").orderBy("place")) - F.col("size") / 2.0
-    ends = inside.withColumn("reach", reach).groupBy("is_null", "src", "bucket").agg(F.coalesce(F.max(F.when(F.col("reach") <= F.col("partial"), F.col("place"))), F.lit(-1)).alias("end"), F.first("partial").alias("p"))
-    joined = plan.join(ends.select("is_null", "src", "bucket", "end"), ["is_null", "src", "bucket"], "left")
-    # buckets wholly before the end are taken whole, those behind it not at all
-    end = F.when(F.col("end").isNotNull(), F.col("end")).when((F.col("partial") > 0) & (F.col("prefix") + F.col("words") < F.col("partial")), F.lit((1 << 60))).otherwise(F.lit(-1))
-    return table(joined.select("is_null", "src", "bucket", "words", "prefix", "source_size", "target", "ramp", "passes", end.alias("end")), "mix-plan-ends")
-
-
-def mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2) -> DataFrame:
-    """`doc` (a struct of all columns), size, source_size, target, takes, taken and positions (one for each take)."""
-    plan = mixing_plan(docs, seed, share, most)
-    rows = with_keys(docs, seed).join(checked_broadcast(plan, MOST_PLAN_ROWS), ["is_null", "src", "bucket"])
-    takes = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("passes") + (F.col("place") <= F.col("end")).cast("long"))
-    # rows that repeat begin at the same word
-    inside = W.partitionBy("is_null", "src", "bucket").orderBy("place").rangeBetween(W.unboundedPreceding, -1)
-    begin = F.col("prefix") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    rows = rows.withColumn("takes", takes).withColumn("begin", begin)
-
-    def position(k: Column) -> Column:
-        x = F.least(F.lit(1.0), (k * F.col("source_size") + F.col("begin")) / F.col("target"))
-        a = F.col("ramp")
-        root = (-(1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * x)) / (2 * a)
-        return F.when(a == 0, x).otherwise(root)
-
-    where = F.when(F.col("takes") > 0, F.transform(F.sequence(F.lit(0), (F.col("takes") - 1).cast("int")), position)).otherwise(F.array().cast("array<double>"))
-    return rows.select("doc", "size", "source_size", "target", "takes", (F.col("takes") * F.col("size")).alias("taken"), where.alias("positions"))
+    caps = numbered(sizes, _SOURCE, "rank", folder=folder).withColumns({"weight": _cycle(WEIGHTS, F.col("rank")), "ramp": _cycle(RAMPS, F.col("rank")), "cap": (F.col("source_size") * most).cast("double")}).withColumn("ratio", F.col("cap") / F.col("weight"))
+    levels = table(running_sums(caps, ["ratio", *_SOURCE], {"capped": F.col("cap"), "passed": F.col("weight")}, folder), "levels", folder)
+    every = levels.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    total, weight = float((every["words"] or 0) * share), float(every["weight"] or 0)
+    here = (F.lit(total) - F.col("capped")) / (F.lit(weight) - F.col("passed"))
+    # the first source, by ratio, that the level does not fill up
+    found = levels.select("ratio", *_SOURCE, here.alias("level")).filter(F.col("level") <= F.col("ratio")).agg(F.min(F.struct("ratio", *_SOURCE, "level"))["level"]).first()[0]
+    full = F.lit(True) if found is None else F.col("ratio") <= found
+    return levels.select(*_SOURCE, "source_size", "ramp", F.when(full, F.col("cap")).otherwise(F.lit(found) * F.col("weight")).alias("target"))
+
+
+def _keys(docs: DataFrame, seed: str) -> list[Column]:
+    """size, source key and place in the keyed order of each row."""
+    text = text_of(F.col("text").cast("string"))
+    return [n_words(text).alias("size"), F.col("source").isNull().alias("is_null"), F.coalesce("source", F.lit("")).alias("src"), keyed_order(F.col("doc_id"), text, seed).alias("place")]
+
+
+def _bucket(bits: int) -> Column:
+    return F.shiftright("place", 60 - bits).alias("bucket")
+
+
+def _plan(rows: DataFrame, bits: int, share: float, most: int, folder: str) -> DataFrame:
+    """A row for each (source, bucket): words of the source before the bucket, the source's size, target and ramp."""
+    sums = table(rows.groupBy(*_SOURCE, _bucket(bits)).agg(F.sum("size").alias("words")), "mix-sums", folder)
+    goals = targets(sums.groupBy(*_SOURCE).agg(F.sum("words").alias("source_size")), share, most, folder)
+    ahead = W.partitionBy(*_SOURCE).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    return sums.withColumn("prefix", F.coalesce(F.sum("words").over(ahead), F.lit(0))).join(goals, _SOURCE).drop("words")
+
+
+def position(c: Column, target: Column, ramp: Column) -> Column:
+    """The time t at which a source's cumulative demand is c: target * ((1 - ramp) * t + ramp * t * t) = c."""
+    x = c / target
+    root = (ramp - 1 + F.sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * x)) / (2 * ramp)
+    return F.when(ramp == 0, x).otherwise(root)
+
+
+def _placed(rows: DataFrame, plan: DataFrame, bits: int, most: int) -> DataFrame:
+    """`rows` (with size, source key and place) with source_size, target, and positions: one for each time it is taken."""
+    joined = rows.withColumn("bucket", _bucket(bits)).join(checked_broadcast(plan, MOST_PLAN_ROWS), [*_SOURCE, "bucket"])
+    inside = W.partitionBy(*_SOURCE, "bucket").orderBy("place")
+    # rows that repeat are at the same place: they share their middle
+    upto = F.col("prefix") + F.sum("size").over(inside.rangeBetween(W.unboundedPreceding, W.currentRow))
+    here = F.sum("size").over(W.partitionBy(*_SOURCE, "bucket", "place"))
+    middle = joined.withColumn("middle", upto - here / 2.0)
+    times = F.transform(F.array(*[F.lit(k) for k in range(most)]), lambda k: k * F.col("source_size") + F.col("middle"))
+    inside_demand = F.when(F.col("size") > 0, F.filter(times, lambda c: c <= F.col("target"))).otherwise(F.array().cast("array<double>"))
+    # c <= target is t <= 1, without the rounding of the root
+    return middle.withColumn("positions", F.transform(inside_demand, lambda c: F.least(F.lit(1.0), position(c, F.col("target"), F.col("ramp")))))
+
+
+def shares(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2) -> DataFrame:
+    """doc_id, size, source_size, target, taken and positions (one for each time it is taken): a row for each row of `docs`."""
+    with scratch(docs.sparkSession, "mix") as folder:
+        rows = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(docs, seed)), "mix-rows", folder)
+        bits = max(0, (rows.count() // BUCKET).bit_length())
+        plan = table(_plan(rows, bits, share, most, folder), "mix-plan", folder)
+        taken = (F.size("positions") * F.col("size")).alias("taken")
+        return table(_placed(rows, plan, bits, most).select("doc_id", "size", "source_size", "target", taken, "positions"), "mix")
 
 
 def training_positions(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2) -> DataFrame:
-    """doc_id, pass, position: a row for each take, range-sorted by training position."""
-    taken = mix(docs.select("doc_id", "source", "text"), seed, share, most).filter("takes > 0")
-    return taken.select("doc.doc_id", F.posexplode("positions").alias("pass", "position")).orderBy("position", "doc_id", "pass")
+    """doc_id, pass, position: a row for each time a document is taken, range-sorted by training position."""
+    return shares(docs, seed, share, most).select("doc_id", F.posexplode("positions").alias("pass", "position")).orderBy("position", "doc_id", "pass")
 
 
 def curriculum(docs: DataFrame, seed: str = "mix", share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mixed corpus: the columns of `docs`, a row for each take, range-sorted by training position."""
-    mixed = mix(docs, seed, share, most).filter("takes > 0").select("doc", F.explode("positions").alias("position"))
-    return mixed.orderBy("position", F.col("doc.doc_id")).select("doc.*")
+    """The mixed corpus: the columns of `docs`, a row for each time a document is taken, range-sorted by training position."""
+    spark = docs.sparkSession
+    with scratch(spark, "mix") as folder:
+        rows = table(docs.select(*_keys(docs, seed)), "mix-rows", folder)
+        bits = max(0, (rows.count() // BUCKET).bit_length())
+        plan = table(_plan(rows, bits, share, most, folder), "mix-plan", folder)
+        whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_keys(docs, seed))
+        # a document goes to its two or more places as one row each
+        mixed = _placed(whole, plan, bits, most).select("doc", F.explode("positions").alias("position"))
+        return table(mixed.orderBy("position", F.col("doc.doc_id")).select("doc.*"), "mixed")
