@@ -100,3 +100,47 @@ def test_novel_files(spark, tmp_path):
     assert {r.member: r.locus for r in T.read_clusters(spark, path).collect()} == {"m1": "locus_1", "m2": "locus_2", "m3": "locus_1"}
     records = spark.createDataFrame([("a", "1", 1), ("a", "2", 3), ("b", "4", 2)], "contig_id string, seq string, ordinal int")
     assert {r.contig_id: r.seq for r in T.last_records(records).collect()} == {"a": "2", "b": "4"}
+
+
+def test_writers(spark, tmp_path):
+    from typeloom.sinks import tables as S
+
+    alleles = spark.createDataFrame([("a", "n10", "A" * 61, ["s2", "s1"]), ("a", "n2", "CC", ["s3"]), ("b", "n1", "GG", [])], "locus string, allele_id string, seq string, samples array<string>")
+    S.write_novel_fasta(alleles, f"file://{tmp_path}/n")
+    text = {f.parent.name: f.read_text() for f in (tmp_path / "n").glob("locus=*/part-*")}
+    assert text == {"locus=a": ">a_n2 sample=s3\nCC\n>a_n10 sample=s2 s1\n" + "A" * 60 + "\nA\n", "locus=b": ">b_n1 sample=\nGG\n"}
+    for st in ("N1", "N2"):
+        S.append_novel_profiles(spark.createDataFrame([(st, "s", {"a": "1"})], "st string, sample string, profile map<string,string>"), ["a", "b"], f"file://{tmp_path}/p")
+    assert {(r.st, tuple(sorted(r.profile.items()))) for r in T.read_novel_profiles(spark, f"file://{tmp_path}/p").collect()} == {("N1", (("a", "1"), ("b", "-"))), ("N2", (("a", "1"), ("b", "-")))}
+    genes = spark.createDataFrame([("s", "gene_1", None, 0, 9, "+", True, None, "ACGT")], "sample_id string, gene_id string, contig_id string, start int, end int, strand string, partial_begin boolean, partial_end boolean, seq string")
+    assert [tuple(r) for r in S.cds_coordinates(genes, "meta", None, True).collect()] == [("s", "gene_1", "", "", "9", "+", 4, 1, 0, "meta", "", 1)]
+    records = spark.createDataFrame([("b", 1, "h2", "CC"), ("a", 2, "h1", "GG"), ("a", 1, "h0", "T")], "file string, ordinal int, header string, seq string")
+    assert [r.value for r in S.merged_fasta(records).collect()] == [">h0\nT", ">h1\nGG", ">h2\nCC"]
+    rows = spark.createDataFrame([(2, "s2", 5), (1, "s1", None)], "o int, sample string, n int")
+    assert S.text_table(rows, "o").first().text == "sample | n\n-------+--\ns1     |  \ns2     | 5"
+    assert S.text_table(rows.limit(0), "o").first().text == "(no rows)"
+    assert json.loads(S.json_payload(rows, "o", ["two"]).first()[0]) == {"rows": [{"sample": "s1"}, {"sample": "s2", "n": 5}], "summary": ["two"]}
+    meta = spark.createDataFrame([("s1", {"year": "1999"})], "sample string, fields map<string,string>")
+    assert {tuple(r) for r in S.projected(rows, ["sample"], meta, ("year",)).collect()} == {("s1", "1999"), ("s2", "")}
+    with pytest.raises(ValueError, match="unknown columns q"):
+        S.projected(rows, ["sample", "q"])
+    long = spark.createDataFrame([("x", "x", 0), ("x", "y", 3), ("y", "x", 3), ("y", "y", 0)], "row string, column string, value int")
+    labels = spark.createDataFrame([("y", 1), ("x", 0)], "column string, ordinal int")
+    assert sorted(r.line for r in S.matrix_rows(long, labels).collect()) == ["sample_id\tx\ty", "x\t0\t3", "y\t3\t0"]
+    errors = spark.createDataFrame([("input",), ("input",), ("typing",)], "stage string")
+    assert json.loads(S.error_report(errors).first()[0]) == {"total": 3, "by_stage": {"input": 2, "typing": 1}}
+
+
+def test_custom_scheme(spark, tmp_path):
+    from typeloom.operators.inputs import with_novel
+    from typeloom.sinks import tables as S
+
+    source = spark.createDataFrame([("a", "1", "AC", 0), ("b", "1", "GG", 0)], "locus string, allele_id string, seq string, ordinal int")
+    novel = spark.createDataFrame([("a", "n1", "TT", ["s1", "s2"], 0), ("zz", "n1", "A", ["s"], 0)], "locus string, allele_id string, seq string, samples array<string>, ordinal int")
+    profiles = with_novel(spark.createDataFrame([("1", {"a": "1", "b": "1"}, 0)], "st string, profile map<string,string>, ordinal int"), spark.createDataFrame([("N1", {"a": "n1"}, 0)], "st string, profile map<string,string>, ordinal int"))
+    S.write_scheme(spark, f"file://{tmp_path}/s", "custom_1", with_novel(source, novel), profiles, ["a", "b"], {"source": "x"})
+    text = {f.parent.name: f.read_text() for f in (tmp_path / "s").glob("alleles/locus=*/part-*")}
+    assert text == {"locus=a": ">a_1\nAC\n>a_n1 sample=s1 s2\nTT\n", "locus=b": ">b_1\nGG\n"}
+    rows = spark.read.option("header", True).option("sep", "\t").csv(f"file://{tmp_path}/s/custom_1").collect()
+    assert {(r.ST, r.a, r.b) for r in rows} == {("1", "1", "1"), ("N1", "n1", "-")}
+    assert json.loads(spark.read.text(f"file://{tmp_path}/s/meta").first()[0]) == {"scheme": "custom_1", "loci": ["a", "b"], "source": "x"}

@@ -213,3 +213,111 @@ def test_stream_batch_that_runs_again(spark, tmp_path):
     assert {(r.locus, r.allele_id, tuple(r.samples)) for r in written(spark, path).collect()} == want
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         write_batch(spark.createDataFrame(batches[1], schema), 1, f"file://{tmp_path}/nowhere")
+
+
+def _tree_nodes(spark, n=30, loci=12, seed=1):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(1, 4, loci)
+    rows = []
+    for i in range(n):
+        base = np.where(rng.random(loci) < 0.2, rng.integers(1, 6, loci), base) if i % 5 else rng.integers(1, 4, loci)
+        rows.append((i, f"S{(i * 7) % n}", ["-" if rng.random() < 0.15 else str(x) for x in base], int(rng.integers(1, 4))))
+    return spark.createDataFrame(rows, "id long, label string, profile array<string>, member_count long")
+
+
+def test_recrafted_trees_are_trees_and_settle(spark):
+    from typeloom.operators import graph, recraft
+    from typeloom.operators.matrix import pairs
+
+    nodes = _tree_nodes(spark)
+    moved = 0
+    for tree in (recraft.recrafted_tree(nodes), recraft.weighted_tree(nodes)):
+        rows = tree.collect()
+        parent = {r.target: r.source for r in rows}
+        assert len(rows) == len(parent) == 29
+        for x in parent:
+            seen = {x}
+            while x in parent:
+                x = parent[x]
+                assert x not in seen
+                seen.add(x)
+    edges = pairs(nodes, directed=True).toPandas()
+    m = {c: np.zeros((30, 30), int) for c in ("combined_weight", "asymmetric_weight", "weight")}
+    for c, x in m.items():
+        x[edges["source"], edges["target"]] = edges[c]
+    info = nodes.toPandas().sort_values("id")
+    rank = np.unique(info["label"].str.lower(), return_inverse=True)[1]
+    resolved = np.array([sum(v != "-" for v in p) for p in info["profile"]])
+    plain = np.full(30, -1)
+    for r in graph.spanning_tree(nodes).collect():
+        plain[r.target] = r.source
+    after = recraft.recraft(plain, *m.values(), resolved, rank)
+    again = recraft.recraft(after, *m.values(), resolved, rank)
+    assert (after == again).all()
+    got = np.full(30, -1)
+    for r in recraft.recrafted_tree(nodes).collect():
+        got[r.target] = r.source
+    assert (got == after).all()
+    # no branch has a candidate left that the rule prefers
+    comb, asym, sym = m.values()
+    tree = recraft.Tree(after)
+    for x in range(30):
+        old = after[x]
+        under = tree.below(x)
+        moved += old != plain[x]
+        for y in range(30):
+            if old < 0 or y in under or y == old:
+                continue
+            allowed = comb[y, x] <= comb[old, x] + (sym[old, x] != 0) and asym[y, x] <= asym[old, x] and (comb[y, under].sum(), asym[y, under].sum()) <= (comb[old, under].sum(), asym[old, under].sum())
+            score = lambda p, x=x, under=under: (sum(max(0, resolved[d] - resolved[p]) for d in under), max(0, resolved[x] - resolved[p]), comb[p, x], asym[p, x], -resolved[p], sym[p, x], rank[p], p)
+            assert not allowed or score(y) > score(old)
+
+
+def test_shortcuts_and_ancestry():
+    from typeloom.operators import recraft
+
+    rng = np.random.default_rng(3)
+    dist = rng.integers(0, 9, (12, 12)).astype(float)
+    np.fill_diagonal(dist, 0)
+    rank = recraft.harmonic_ranks(dist, rng.integers(1, 4, 12))
+    assert sorted(rank) == list(range(12))
+    got = recraft.shortcuts(dist, rank)
+    for t in range(12):
+        near = sorted((rank[s], dist[s, t], s) for s in range(12) if s != t and dist[s, t] < 3 and rank[s] < rank[t])
+        assert got[t] == (near[0][2] if near else -1)
+    assert recraft.contemporary(1, 1, 0, 3, 10) and recraft.contemporary(0, 1, 2, 3, 10) and recraft.contemporary(1, 1, 2, 0, 10)
+    p, q = 0.2, 0.3
+    s1, s2 = 1 - (1 - p) * (1 - q), 1 - q
+    for cand in range(1, 10):
+        null, alt = cand * np.log(s1) + (10 - cand) * np.log(1 - s1), 4 * np.log(s2) + 6 * np.log(1 - s2)
+        assert recraft.contemporary(2, 3, cand, 4, 10) == (null >= alt)
+
+
+def test_least_arborescence_against_all_trees(spark):
+    """Total cost against every choice of one parent for each node that makes a tree, over all roots."""
+    from itertools import product
+
+    from typeloom.operators import graph
+    from typeloom.operators.matrix import pairs
+
+    for seed in range(3):
+        nodes = _tree_nodes(spark, n=5, loci=6, seed=seed)
+        cost = {(r.source, r.target): r.combined_weight for r in pairs(nodes, directed=True).collect()}
+        best = None
+        for root in range(5):
+            rest = [x for x in range(5) if x != root]
+            for ps in product(range(5), repeat=4):
+                parent = dict(zip(rest, ps, strict=True))
+                if any(x == p for x, p in parent.items()):
+                    continue
+                ok = True
+                for x in rest:
+                    seen = set()
+                    while x in parent and x not in seen:
+                        seen.add(x)
+                        x = parent[x]
+                    ok = ok and x == root
+                if ok:
+                    total = sum(cost[p, x] for x, p in parent.items())
+                    best = total if best is None else min(best, total)
+        assert sum(r.combined_weight for r in graph.spanning_tree(nodes).collect()) == best

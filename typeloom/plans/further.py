@@ -244,3 +244,47 @@ def p14_light_edges(spark, d):
     e = M.read(spark, d, "lineitem").select(F.col("l_quantity").alias("weight"))
     count = lambda most, name: inputs.light_edges(e, most).agg(F.count("*").alias(name))
     return count(" 7.9 ", "rounded").join(count("x", "every")).join(count("-1", "negative"))
+
+
+# --- trees: G3, G5, W9, F31, G8; edge lengths F32 ---
+def _nodes(spark, d):
+    from typeloom.operators import matrix
+
+    return matrix.collapse(matrix.to_profiles(M.matrix(spark, d))).select(F.col("sample_ordinal").alias("id"), "label", "profile", F.col("duplicates").alias("member_count"))
+
+
+@query(None)
+def g3_recrafted_tree(spark, d):
+    """The minimum arborescence with its branches hung anew."""
+    from typeloom.operators.recraft import recrafted_tree
+
+    return recrafted_tree(_nodes(spark, d).drop("member_count"))
+
+
+@query(None)
+def g5_weighted_tree(spark, d):
+    """The weighted tree with shortcuts, hung anew."""
+    from typeloom.operators.recraft import weighted_tree
+
+    return weighted_tree(_nodes(spark, d))
+
+
+@query("select unnest(['kruskal', 'spanning', 'recrafted', 'weighted']) as tree, 0 as edge_count_off, 0 as self_loops, 0 as extra_components")
+def g8_tree_faults(spark, d):
+    from typeloom.operators import graph, recraft
+
+    nodes, out = table(_nodes(spark, d), "nodes"), None
+    for name, tree in (("kruskal", graph.kruskal_tree(nodes)), ("spanning", graph.spanning_tree(nodes.drop("member_count"))), ("recrafted", recraft.recrafted_tree(nodes.drop("member_count"))), ("weighted", recraft.weighted_tree(nodes))):
+        one = graph.tree_faults(nodes, table(tree, "tree")).select(F.lit(name).alias("tree"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("with e as (select l_orderkey, l_linenumber, greatest(1, case when l_quantity::int % 9 = 0 then 1 else l_quantity end) as w, l_linenumber as members from lineitem) select l_orderkey, l_linenumber, 50 * w as linear, round(50 * log2(w + 1), 6) as log, round(50 * sqrt(w), 6) as sqrt, round(least(22, 7 + sqrt(greatest(1, members)) * 3), 6) as scaled, case when members > 1 then 11.0::double else 8.0::double end as plain from e")
+def f32_edge_lengths(spark, d):
+    from typeloom.functions import layout as Y
+
+    q = F.col("l_quantity")
+    w = F.when(q.cast("int") % 9 == 0, 0.0).otherwise(q)
+    six = lambda c: F.round(c, 6)
+    return M.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", Y.edge_length(w, "linear").alias("linear"), six(Y.edge_length(w, "log")).alias("log"), six(Y.edge_length(w, "sqrt")).alias("sqrt"), six(Y.node_radius(F.col("l_linenumber"), True)).alias("scaled"), Y.node_radius(F.col("l_linenumber"), False).alias("plain"))

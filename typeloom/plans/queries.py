@@ -507,12 +507,6 @@ def g2_spanning_tree(spark, d):
     return graph.spanning_tree(nodes)
 
 
-@query(f"with {M.MATRIX} select count(distinct p) - 1 as n_edges from (select sample_ordinal, string_agg(v, '|' order by locus_ordinal) as p from cells group by 1)")
-def g8_tree_size(spark, d):
-    nodes = matrix.collapse(matrix.to_profiles(M.matrix(spark, d))).select(F.col("sample_ordinal").alias("id"), "label", "profile")
-    return graph.kruskal_tree(nodes).agg(F.count("*").alias("n_edges"))
-
-
 @query(f"with {_PAIRS}, e as (select *, asymmetric_weight * (greatest(1, n) + 1) + weight as combined_weight, row_number() over (partition by target order by asymmetric_weight * (greatest(1, n) + 1) + weight, asymmetric_weight, 's' || source, 's' || target, source) as r from prs) select target, source, weight, combined_weight from e where r = 1")
 def w8_least_incoming(spark, d):
     nodes = _nodes(spark, d)
