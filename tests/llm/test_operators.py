@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from typeloom.llm import chat, decontam, html_extract, licenses, mixing, ngram_join, quality, secret_scan, token_order, warc
+from typeloom.llm import chat, common, decontam, html_extract, licenses, mixing, ngram_join, quality, secret_scan, token_order, warc
 from typeloom.llm.kernels import Words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, text_hash long, place long, size long"
@@ -68,6 +68,19 @@ def test_chat_budget(spark):
     assert chat.windows(turns(spark, []), budget=200).count() == 0
 
 
+def test_chat_of_one_turn_number(spark):
+    """Rows that share a turn number or have none are cut into blocks like any others; names that clash do not matter."""
+    rows = [(9, None, "assistant" if k % 2 else "user", f"text {k:04d} " + "tok " * 5) for k in range(60)] + [(None, 3, "assistant", f"same {k % 2}") for k in range(20)] + [(9, None, "system", "be kind")]
+    df = spark.createDataFrame([(*r, 1, 2, True, "x", 5) for r in rows], "conv_id long, turn long, role string, text string, place int, block int, no_conv boolean, sys string, n int")
+    w = chat.windows(df, budget=200, history_tokens=40, longest=60, block=8)
+    assert w.select("block").distinct().count() == 8
+    got = {}
+    for r in chat.read_back(w).orderBy("conv_id", "block", "first_no").collect():
+        got.setdefault(r.conv_id, []).extend((x.role, x.text) for x in r.turns)
+    want = {9: sorted((r, t) for c, _, r, t in rows if c == 9), None: sorted((r, t) for c, _, r, t in rows if c is None)}
+    assert got == want and all("system<|text|>be kind" in r.text for r in w.filter("conv_id = 9").collect())
+
+
 # --- 2 licences ---
 def test_licences(spark):
     texts = [f"{PROSE[0]} Licensed under the Apache License, version 2.0. {PROSE[1]}", licenses.TEMPLATES[4][1].replace("granted", "given"), "Released under the MIT", LONG + " " + licenses.TEMPLATES[2][1], *EDGE]
@@ -86,6 +99,28 @@ def test_licences(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_recall_of_edited_notices(spark):
+    """Whole and edited notices, down to the least containment, between texts of any length, against brute force."""
+    rng = np.random.default_rng(4)
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    texts = []
+    for _, t in licenses.TEMPLATES * 3:
+        w = t.split()
+        for _ in range(int(rng.integers(0, 1 + max(1, len(w) // 30)))):
+            k = int(rng.integers(len(w)))
+            w[k : k + 1] = [["changed"], [], [w[k], "put", "in"]][int(rng.integers(3))]
+        filler = " ".join(f"f{int(rng.integers(500))}" for _ in range(int(rng.integers(0, 400))))
+        texts.append(f"{filler} {' '.join(w)} {filler}")
+    want = set()
+    known = [(name, grams(words(t))) for name, t in licenses.TEMPLATES]
+    for i, t in enumerate(texts):
+        have = grams(words(t))
+        want |= {(i, name) for name, s in known if 100 * len(s & have) >= 80 * len(s)}
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.998 * len(want) and len(want) > len(texts)
+
+
 # --- 3 n-gram join ---
 def brute_components(rows):
     low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -115,13 +150,69 @@ def near_copies():
     return texts + ["Only Four Words here", "only four WORDS HERE", "", None, *PROSE[3:], PROSE[3].upper()]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("sizes", [{}, {"segment": 40, "salt": 2}, {"tries": 0}, {"tries": 0, "direct": 0, "block": 3}, {"direct": 0}])
+def test_components(spark, sizes):
     rows = list(enumerate(near_copies()))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(df, **sizes).collect()}
     assert got == brute_components(rows)
-    kept = {r.doc_id for r in ngram_join.keep_first(df).collect()}
-    assert kept == {d for d, (n, c) in got.items() if c == d or n == 0}
+    if not sizes:
+        kept = {r.doc_id for r in ngram_join.keep_first(df).collect()}
+        assert kept == {d for d, (n, c) in got.items() if c == d or n == 0}
+
+
+def test_chain_of_links_in_one_group(spark):
+    """Near copies that drift: each links with its neighbours only, so a leader reaches few of them."""
+    base, texts = [f"word{k}" for k in range(100)], []
+    for k in range(40):
+        for j in range(2):
+            base[(7 * k + j * 50) % 100] = f"new{k}x{j}"
+        texts.append(" ".join(base))
+    rows = list(enumerate(texts))
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) < 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sizes in ({"tries": 0, "direct": 0, "block": 4}, {"tries": 1}):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(df, **sizes).collect()} == want
+
+
+def test_matrix_bounds_every_query(spark, tmp_path):
+    """A passage that documents share puts them into groups, which the matrix does not open; copies are opened."""
+    passages = [" ".join(f"p{i}x{k}" for k in range(30)) for i in range(6)]
+    texts = [f"{a} {b}" for i, a in enumerate(passages) for b in passages[i + 1 :]]
+    texts += [" ".join(["changed", *t.split()[1:]]) for t in texts[:2]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder, seen = f"file://{tmp_path}", {}
+    keep = ngram_join.table
+    try:
+        ngram_join.table = lambda df, name, *a: seen.setdefault(name, keep(df, name, *a))
+        _, _, _, comps = ngram_join._linked(docs, 80, folder)
+    finally:
+        ngram_join.table = keep
+    asked, opened = seen["asked"].count(), {(bytes(r.id), r.grp) for r in seen["opened"].collect()}
+    sets = {bytes(r.id): set(r.shingles) for r in seen["sets"].collect()}
+    homes = {bytes(r.id): r.grp for r in seen["homes"].collect()}
+    for r in seen["asked"].collect():
+        others = [sets[i] for i, g in homes.items() if g == r.grp and i != bytes(r.id)]
+        bound = len({x >> 32 for x in sets[bytes(r.id)]} & {x >> 32 for o in others for x in o})
+        assert ((bytes(r.id), r.grp) in opened) == (100 * bound >= 80 * r.n)
+    assert 0 < len(opened) < asked and comps.count() == 4 and len({r.comp for r in comps.collect()}) == 2
+
+
+def test_keep_first_edges(spark):
+    schema = "doc_id long, text string, kept_id long, id long, n long, i long, none string, h int, doc string, component_id int, text_hash int"
+    rows = [(5, PROSE[0]), (5, PROSE[0]), (5, PROSE[1]), (3, PROSE[1] + " x"), (None, PROSE[2]), (None, PROSE[2]), (None, PROSE[2] + " y"), (7, PROSE[0].upper()), (8, ""), (8, ""), (9, None), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, 1, 1, 1, 1, "x", 1, "d", 1, 1) for r in rows], schema)
+    out = ngram_join.keep_first(df)
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    nameless = [k for k in got if k[0] is None and k[1]]
+    assert len(nameless) == 1 and set(got.values()) == {1}
+    assert {k for k in got if k not in nameless} == {(5, PROSE[0]), (3, PROSE[1] + " x"), (8, ""), (9, None), (None, None), (None, "")}
+    none = spark.createDataFrame([(None, t) for t in [PROSE[0], PROSE[0], PROSE[1], "", None]], "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.join_components(none).collect()} == {None}
+    assert sorted((r.text or "") for r in ngram_join.keep_first(none).collect()) == sorted([PROSE[0], PROSE[1], "", ""])
+    assert ngram_join.keep_first(empty(spark)).count() == 0
 
 
 def test_components_edges(spark):
@@ -217,12 +308,55 @@ def test_warc(spark):
         raw = (h or "").encode()
         assert out[i].payload_bytes == len(raw) and out[i].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
     assert {i: (r.record_type, r.refers_to) for i, r in out.items()} == {5: ("revisit", 2), 2: ("response", None), 9: ("revisit", 7), 7: ("response", None), None: ("revisit", 2), 3: ("response", None)}
-    full = {r.page_id: bytes(r.record) for r in warc.read_records(spark, path).collect()}
-    assert full[2].endswith(b"\r\n\r\nsame\r\n\r\n") and b"%0D%0AX: y" in full[5] and spark.read.parquet(f"{path}/payloads").count() == 3
+    full = {r.page_id: r for r in warc.read_records(spark, path).collect()}
+    assert bytes(full[2].block).endswith(b"Content-Length: 4\r\n\r\nsame") and bytes(full[5].block).endswith(b"\r\n\r\n") and "%0D%0AX: y" in full[5].header
+    assert spark.read.parquet(f"{path}/payloads").count() == 3
     assert all(r.record_type == "response" for r in warc.archive_report(spark, warc.write_archive(df, min_bytes=5)).filter("page_id = 5").collect())
     assert warc.archive_report(spark, warc.write_archive(df.limit(0))).count() == 0
 
 
+def warc_records(raw):
+    """(header fields, block) of each record of a WARC file, by its own lengths."""
+    at = 0
+    while at < len(raw):
+        end = raw.index(b"\r\n\r\n", at)
+        lines = raw[at:end].decode().split("\r\n")
+        assert lines[0] == "WARC/1.1"
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        at = end + 4 + int(fields["Content-Length"])
+        yield fields, raw[end + 4 : at]
+        assert raw[at : at + 4] == b"\r\n\r\n"
+        at += 4
+
+
+def test_warc_files(spark, tmp_path):
+    rows = [(i % 40 or None, f"u{i % 30}", ["", "shared\r\n\r\n", "x" * 300_000, f"<p>é {i}"][min(i % 5, 3)]) for i in range(80)]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "page_id long, url string, html string, sha256 int, payload string, n long")
+    path = warc.write_archive(df.repartition(5))
+    warc.write_warc(spark, path, f"file://{tmp_path}/out")
+    seen = [x for f in (tmp_path / "out").glob("part-*") for x in warc_records(f.read_bytes())]
+    body = {f["WARC-Record-ID"]: b.split(b"\r\n\r\n", 1)[1] for f, b in seen if f["WARC-Type"] == "response"}
+    got = []
+    for f, b in seen:
+        html = body[f["WARC-Refers-To"]] if f["WARC-Type"] == "revisit" else b.split(b"\r\n\r\n", 1)[1]
+        assert f["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(html).digest()).decode() and f"Content-Length: {len(html)}\r\n".encode() in b
+        got.append((f["WARC-Record-ID"].split(":")[2], f["WARC-Target-URI"], html.decode()))
+    assert Counter(got) == Counter((str(i or ""), u, h) for i, u, h in rows)
+    # a few hot payloads come by broadcast, with the same result
+    hot = [warc.join_facts, lambda *a: common.join_facts(*a, hot=2)]
+    assert len({tuple(sorted(map(str, (setattr(warc, "join_facts", f), warc.archive_report(spark, warc.write_archive(df)).collect())[1]))) for f in reversed(hot)}) == 1
+
+
+def test_warc_damage(spark):
+    df = spark.createDataFrame([(1, "u", "aa"), (2, "u", "bb")], "page_id long, url string, html string")
+    for part, change in (("payloads", {"payload": F.lit(b"zz")}), ("headers", {"header": F.lit("WARC/1.1\r\n\r\n")}), ("headers", {"header": F.replace("header", F.lit("Content-Length: "), F.lit("Content-Length: 1"))}), ("headers", {"header": F.replace("header", F.lit("sha1:"), F.lit("sha1:A"))}), ("payloads", {"sha256": F.lit("0")})):
+        path = warc.write_archive(df)
+        rows = spark.createDataFrame(spark.read.parquet(f"{path}/{part}").withColumns(change).collect(), spark.read.parquet(f"{path}/{part}").schema)
+        rows.write.mode("overwrite").parquet(f"{path}/{part}")
+        with pytest.raises(Exception, match="damaged|differ"):
+            warc.archive_report(spark, path).collect()
+
+
 # --- 7 decontamination ---
 def test_decontamination(spark):
     rng = np.random.default_rng(3)
@@ -272,6 +406,68 @@ def test_decontamination_of_short_items_loses_no_place(words):
         assert [r[0] for r in decontam.find(pa.array([f"before it {changed} behind it", "w0 a w1 b w2 c"]), index)] == [0], k
 
 
+def loose_words(t):
+    return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def brute_leaks(docs, items, share=20):
+    """All (doc, item) by edit distance of the item's words to any stretch of the document's."""
+    found = set()
+    for d, t in docs:
+        text = np.array([hash(w) for w in loose_words(t)], np.int64)
+        for i, x in items:
+            item = [hash(w) for w in loose_words(x)]
+            if not item or not len(text):
+                continue
+            row = np.zeros(len(text) + 1, np.int64)
+            for k, w in enumerate(item, 1):
+                new = np.empty_like(row)
+                new[0] = k
+                for j in range(1, len(row)):
+                    new[j] = min(row[j - 1] + (text[j - 1] != w), row[j] + 1, new[j - 1] + 1)
+                row = new
+            if row.min() <= (0 if len(item) < 5 else len(item) * share // 100):
+                found.add((d, i))
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{k}" for k in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary, int(n)))) for i, n in enumerate([4, 5, 5, 6, 8, 10, 12, 15, 20, 24])] + [(77, None), (78, "")]
+    docs = []
+    for k in range(60):
+        w = items[k % 10][1].split()
+        for _ in range(int(rng.integers(0, len(w) // 5 + 2))):
+            j = int(rng.integers(len(w)))
+            w[j : j + 1] = [["new"], [], [w[j], "more"]][int(rng.integers(3))] if len(w) > 1 else w
+        docs.append((k if k != 7 else None, " ".join([*rng.choice(vocabulary, int(rng.integers(0, 25))), *w, *rng.choice(vocabulary, int(rng.integers(0, 25)))])))
+    docs += [docs[3], docs[3], (100, ""), (101, None)]
+    df = spark.createDataFrame([(*r, "a", 1, "b", 2) for r in docs], "doc_id long, text string, found string, item_id int, row string, edits int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(docs, [r for r in items if r[1]])
+    rows = decontam.leaks(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and sum(r.doc_id == 3 for r in rows) == 3 * sum(d == 3 for d, _ in want)
+    clean = decontam.keep_clean(df, bench)
+    held = {d for d, _ in want}
+    assert clean.columns == df.columns and Counter(r.doc_id for r in clean.collect()) == Counter(d for d, _ in docs if d not in held)
+
+
+def test_decontamination_recall_of_deletions():
+    """Items with as many words deleted as allowed, spread over them: at least the stated recall."""
+    rng = np.random.default_rng(11)
+    items = [(i, " ".join(f"d{i}x{k}" for k in range(15 + i % 45))) for i in range(150)]
+    texts = []
+    for i, t in items * 8:
+        w = t.split()
+        for _ in range(len(w) // 5):
+            del w[int(rng.integers(len(w)))]
+        texts.append(" ".join([*(f"a{k}" for k in range(20)), *w, *(f"z{k}" for k in range(20))]))
+    index = decontam.build(items)
+    got = {r for r, x, *_ in decontam.find(pa.array(texts), index) if index.ids[x] == items[r % 150][0]}
+    assert len(got) >= 0.998 * len(texts)
+
+
 # --- 8 quality ---
 def test_quality(spark):
     texts = [*EDGE, "\n".join(["SHOUT!! NOW!! BUY!! IT!!"] * 20), "\n".join(f"A{i} | b{i} | c{i} | d{i}" for i in range(40)), PROSE[4] + "\n" + PROSE[4] + "\nééé # x\n# x\n"]
@@ -310,6 +506,38 @@ def test_viterbi_against_all_paths():
         assert b == a or value(got[a:b].tolist()) == pytest.approx(max(map(value, paths)))
 
 
+def test_quality_against_a_plain_decoder(spark):
+    """Verdicts against a pure Python Viterbi of each document, with repeated rows, clashing names and conflicting labels."""
+    texts = [*EDGE, PROSE[0] + "\nHOME!! | ABOUT!! | ### $$$\n" + PROSE[1], "\n".join(["BUY NOW!! ### $$$ | HOME | ABOUT"] * 12), PROSE[2], PROSE[2]]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(2, 1, 0), (2, 0, 0), (10, 1, 0), (11, 0, 1), (11, 0, 0), (12, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for marks in (labels, labels.limit(0), None):
+        w, trans = quality.labelled_model(docs, marks, quality.EXAMPLES)
+        want = []
+        for t in texts:
+            x, row, length = quality.line_features(pa.array([t], pa.string()))
+            scores, best = x @ w, []
+            for k, v in enumerate(scores):
+                best.append([(v[y], None) if k == 0 else max((best[-1][z][0] + trans[z, y] + v[y], -z) for z in (0, 1)) for y in (0, 1)])
+            content = 0
+            if len(scores):
+                y = max((0, 1), key=lambda y: (best[-1][y][0], -y))
+                for k in range(len(scores) - 1, -1, -1):
+                    content += length[k] if y else 0
+                    y = -best[k][y][1] if k else y
+            n = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+            grams = Counter(tuple(n[i : i + 3]) for i in range(len(n) - 2))
+            repeated = {j for i in range(len(n) - 2) if grams[tuple(n[i : i + 3])] > 1 for j in range(i, i + 3)}
+            failed = len(n) < 50 or 100 * len(repeated) > 50 * len(n)
+            want.append((failed, not failed and content / max(1, sum(length)) >= quality.LEAST_SHARE))
+        got = [(r.base_failed, r.kept) for r in quality.score(docs.coalesce(1), marks).collect()]
+        assert sorted(got) == sorted(want)
+        kept = quality.keep(docs, marks)
+        assert kept.columns == docs.columns and kept.count() == sum(k for _, k in want)
+    with pytest.raises(ValueError, match="no examples"):
+        quality.score(docs, None, examples=())
+
+
 # --- 9 token order ---
 def test_feistel():
     for n in (1, 2, 3, 1000, 4096):
@@ -318,80 +546,124 @@ def test_feistel():
         assert sorted(f.tolist()) == x.tolist() and (token_order.feistel(f, n, 7, backward=True) == x).all()
 
 
-def test_pieces():
-    cache = token_order.Cache(token_order.VOCABULARY)
-    for t in ["a b", " a  b\n\nc ", "", "don't  stop   now.\t x", "é è 12 3!", "  ", "a\n b", "x   y z"]:
-        ids = np.frombuffer(token_order.token_bytes(t, cache), np.uint16).tolist()
-        assert " ".join(token_order.pieces(t)) == t and ids == token_order.encoder(token_order.VOCABULARY)(t)
-
-
-def test_token_order(spark):
-    docs = documents(spark, EDGE).repartition(3)
-    path, listing, total = token_order.materialise(docs)
-    shards = token_order.read_shards(spark, path).orderBy("slot").collect()
-    assert [r.slot for r in shards] == list(range(total))
-    index = token_order.feistel(np.arange(total), total, 1, backward=True)
-    stream = np.concatenate([np.frombuffer(bytes(shards[s].record), "<u2") for s in np.argsort(index)])
-    place = {}
-    for r in listing.collect():
-        place.setdefault(r.pid, []).append(r)
-    encode, seen = token_order.encoder(token_order.VOCABULARY), []
-    for rows in place.values():
-        for r in rows:
-            base = min(x.first_index for x in rows) * token_order.LENGTH
-            seen.append((r.doc_id, tuple(stream[base + r.start : base + r.start + r.n_tokens].tolist())))
-    want = [(i if i != 3 else None, (*encode(t or ""), token_order.END)) for i, t in enumerate(EDGE)]
-    assert sorted(seen, key=str) == sorted(want, key=str)
-    out = token_order.training_order(docs).collect()
-    assert len(out) == total and {d for r in out for d in r.doc_ids} == {i if i != 3 else None for i in range(len(EDGE))}
-    assert all(r.crc == zlib.crc32(bytes(s.record)) for r, s in zip(sorted(out, key=lambda r: r.slot), shards, strict=True))
+def in_order(spark, docs, bucket_bytes, key=1):
+    """The streams of all buckets by brute force: (doc_id, ids) of the documents, in the order of the keyed hash."""
+    encode = token_order.encoder(token_order.VOCABULARY)
+    rows = docs.select("doc_id", "text", F.xxhash64(F.lit(key), "doc_id", "text").alias("at")).collect()
+    n = max(1, -(-sum(len((r.text or "").encode()) for r in rows) // bucket_bytes))
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["at"], r.doc_id is not None, r.doc_id or 0)):
+        out.setdefault(r["at"] % n, []).append((r.doc_id, [*encode(r.text or ""), token_order.END]))
+    return out
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 25, 50_000])
+def test_token_order(spark, bucket_bytes):
+    docs = documents(spark, [*EDGE, "", None, "", LONG + " x", *PROSE]).repartition(3)
+    docs = docs.unionByName(docs.limit(4))
+    path, listing, total = token_order.materialise(docs, per_shard=7, waves=3, bucket_bytes=bucket_bytes)
+    shards = token_order.read_shards(spark, path, per_shard=7).orderBy("slot").collect()
+    assert [r.slot for r in shards] == list(range(total)) and all(r.byte_offset == r.slot % 7 * token_order.STRIDE and r.shard == r.slot // 7 for r in shards)
+    index = np.argsort(token_order.feistel(np.arange(total), total, 1))
+    assert sorted(index.tolist()) == list(range(total))
+    listed, at, size = {r.slot: r for r in listing.collect()}, 0, token_order.LENGTH
+    slots = token_order.feistel(np.arange(total), total, 1).tolist()
+    for _, rows in sorted(in_order(spark, docs, bucket_bytes).items()):
+        stream = [(d, t) for d, ids in rows for t in ids]
+        for k in range(0, len(stream), size):
+            own, r = stream[k : k + size], listed[slots[at]]
+            assert r.n_tokens == len(own) and np.frombuffer(shards[slots[at]].record, "<u2").tolist() == [t for _, t in own] + [token_order.END] * (size - len(own))
+            assert set(r.doc_ids) == {d for d, _ in own} and r.crc == zlib.crc32(bytes(shards[slots[at]].record))
+            at += 1
+    assert at == total
+    out = token_order.training_order(docs, per_shard=7, bucket_bytes=bucket_bytes)
+    again = token_order.training_order(docs.repartition(11), per_shard=5, bucket_bytes=bucket_bytes)
+    ours = sorted((r.slot, r.crc, r.n_tokens, tuple(r.doc_ids)) for r in out.collect())
+    assert ours == sorted((r.slot, r.crc, r.n_tokens, tuple(r.doc_ids)) for r in again.collect()) and len(ours) == total
+
+
+def test_token_order_of_empty_texts(spark):
     assert token_order.training_order(empty(spark)).count() == 0
+    out = token_order.training_order(spark.createDataFrame([(1, "hello world"), (2, ""), (3, ""), (4, None)], "doc_id long, text string")).collect()
+    assert [(r.slot, r.n_tokens, sorted(r.doc_ids)) for r in out] == [(0, 6, [1, 2, 3, 4])]
+    none = token_order.training_order(spark.createDataFrame([(k, None) for k in range(3000)], "doc_id long, text string")).orderBy("slot").collect()
+    assert sorted(r.n_tokens for r in none) == [3000 - token_order.LENGTH, token_order.LENGTH]
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    from typeloom.llm import common
+
+    held = spark.conf.get("spark.checkpoint.dir")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(spark)
+    assert held
 
 
 # --- 10 mixing ---
-def test_mixing(spark):
-    texts = [" ".join(["w"] * (1 + i * 37 % 90)) for i in range(300)] + [None, ""]
-    sources = ["c", "a", None]
-    df = spark.createDataFrame([(i, t, ("big" if i % 2 else sources[i % 3])) for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    out = mixing.mix(df).select("doc.source", "doc.doc_id", "size", "source_size", "target", "taken", "takes", "positions").collect()
-    assert len(out) == len(texts) and all(r.taken in (0, r.size, 2 * r.size) and len(r.positions) == r.takes for r in out)
-    total = sum(r.size for r in out)
-    by = {}
-    for r in out:
-        by.setdefault(r.source, []).append(r)
-    assert sum(v[0].target for v in by.values()) == pytest.approx(1.5 * total)
-    for v in by.values():
-        assert v[0].source_size == sum(r.size for r in v) and v[0].target <= 2 * v[0].source_size + 1e-6
-        assert abs(sum(r.taken for r in v) - v[0].target) <= max(r.size for r in v)
-    assert {(r.doc_id, r.taken) for r in out} == {(r.doc_id, r.taken) for r in mixing.mix(df.repartition(5)).select("doc.doc_id", "taken").collect()}
-    mixed = mixing.curriculum(df)
-    assert mixed.columns == df.columns and Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.takes for r in out if r.takes})
-    assert all(0 <= p <= 1 for r in out for p in r.positions)
+def brute_mix(rows, seed="mix", share=1.5, most=2):
+    """doc positions by hand: rows are (doc_id, source, text)."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    place = lambda i, t: int(hashlib.md5(f"{seed}:{'' if i is None else i}:{t or ''}".encode()).hexdigest()[:15], 16)
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size(t) for _, x, t in rows if x == s) for s in names}
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    ramp = {s: mixing.RAMPS[k % 3] for k, s in enumerate(names)}
+    target, rest = {}, share * sum(total.values())
+    while True:
+        level = rest / sum(weight[s] for s in names if s not in target) if len(target) < len(names) else 0
+        full = [s for s in names if s not in target and level * weight[s] >= most * total[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = float(most * total[s])
+            rest -= target[s]
+    target |= {s: level * weight[s] for s in names if s not in target}
+    out = []
+    for i, s, t in rows:
+        own = [(place(j, u), size(u)) for j, x, u in rows if x == s]
+        at, here = place(i, t), sum(n for p, n in own if p == place(i, t))
+        middle = sum(n for p, n in own if p < at) + here / 2
+        cs = [k * total[s] + middle for k in range(most) if size(t) and k * total[s] + middle <= target[s]]
+        solve = lambda c, a=ramp[s], g=target[s]: c / g if a == 0 else (a - 1 + ((1 - a) ** 2 + 4 * a * c / g) ** 0.5) / (2 * a)
+        out.append((i, s, size(t), total[s], target[s], [solve(c) for c in cs]))
+    return out
 
 
-def test_training_positions_from_exact_prefix_sums(spark):
-    rows = [(i, "abc"[i % 3], "word " * (1 + (i * 37) % 50)) for i in range(300)]
+@pytest.mark.parametrize("bucket", [8192, 8])
+def test_mixing(spark, bucket, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    rows = [(i, ("big" if i % 2 else ["c", "a", None, "", "é", "Z"][i % 6]), " ".join(["w"] * (1 + i * 37 % 90))) for i in range(300)] + [(300, "a", None), (301, None, ""), (302, "empty", " "), *[(7, "big", "same words here")] * 3, (None, "a", "no id")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    place = {i: int(hashlib.md5(f"mix:{i}:{t}".encode()).hexdigest()[:15], 16) for i, _, t in rows}
-    mixed = {r.doc_id: r for r in mixing.mix(df).select("doc.doc_id", "size", "source_size", "target", "takes").collect()}
-    got = [(r.doc_id, r["pass"], r.position) for r in mixing.training_positions(df).collect()]
-    want = {}
-    for source, ramp in zip("abc", mixing.RAMPS, strict=True):
-        begin = 0
-        for i in sorted((i for i, s, _ in rows if s == source), key=place.get):
-            m = mixed[i]
-            for k in range(m.takes):
-                x = min(1.0, (k * m.source_size + begin) / m.target)
-                want[i, k] = x if ramp == 0 else (-(1 - ramp) + ((1 - ramp) ** 2 + 4 * ramp * x) ** 0.5) / (2 * ramp)
-            begin += m.size
-    assert [t for *_, t in got] == sorted(t for *_, t in got) and len(got) == len(want)
-    assert {(i, k): t for i, k, t in got} == pytest.approx(want, abs=1e-9)
+    want = brute_mix(rows)
+    got = mixing.shares(df).collect()
+    key = lambda r: (str(r[0]), r[1], *map(float, r[-1]))
+    ours = sorted(((r.doc_id, r.size, r.source_size, r.target, r.positions) for r in got), key=key)
+    theirs = sorted(((i, n, m, g, p) for i, _, n, m, g, p in want), key=key)
+    assert len(ours) == len(theirs) and all(a[:3] == b[:3] and a[3] == pytest.approx(b[3]) and a[4] == pytest.approx(b[4], abs=1e-9) for a, b in zip(ours, theirs, strict=True))
+    assert all(r.taken == r.size * len(r.positions) <= 2 * r.size and all(0 <= p <= 1 for p in r.positions) for r in got)
+    taken, target = Counter(), {}
+    for (i, s, n, _, g, _), in zip(want, strict=True):
+        target[s] = g
+    for r, s in ((r, s) for r in got for i, s, _, _, g, _ in want if (i, g) == (r.doc_id, r.target) and r.doc_id not in (7, None)):
+        taken[s] += r.taken
+    assert all(abs(taken[s] - g) <= 200 for s, g in target.items())
+    again = mixing.shares(df.repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    at = [(r.position, r.doc_id, r["pass"]) for r in mixing.training_positions(df).collect()]
+    assert [t for t, *_ in at] == sorted(t for t, *_ in at) and Counter(i for _, i, _ in at) == sum((Counter({r.doc_id: len(r.positions)}) for r in got), Counter())
+    mixed = mixing.curriculum(df)
+    assert mixed.columns == df.columns and Counter(r.doc_id for r in mixed.collect()) == Counter(i for _, i, _ in at)
 
 
 def test_mixing_edges(spark):
-    assert mixing.mix(empty(spark)).count() == 0 and mixing.curriculum(empty(spark)).count() == 0
-    out = mixing.mix(documents(spark, EDGE)).select("doc.*", F.col("taken").alias("words_taken")).collect()
-    assert len(out) == len(EDGE) and all(r.words_taken == 0 for r in out if not (r.text or "").strip())
+    assert mixing.shares(empty(spark)).count() == 0 and mixing.curriculum(empty(spark)).count() == 0 and mixing.training_positions(empty(spark)).count() == 0
+    docs = documents(spark, EDGE)
+    out = mixing.shares(docs).collect()
+    assert len(out) == len(EDGE) and sum(r.taken > 0 for r in out) and mixing.curriculum(docs).columns == docs.columns
+    assert mixing.curriculum(documents(spark, [None, "", " "])).count() == 0
 
 
 def test_words():

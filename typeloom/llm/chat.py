@@ -10,8 +10,10 @@ C = B - S - H - M tokens: a turn belongs to span floor(tokens before it / C), an
 no window exceeds B tokens unless a single turn (with the system turn) does; such windows have over_budget set, as
 turns are never cut. Tokens are runs of letters and digits, or single other marks.
 
-Scale: turns are handled in blocks of `block` turn numbers, with the last turns of the block before as a halo, so a
-conversation of any length is spread over tasks; a window's text is bounded by its budget.
+Scale: turns are numbered along the order of all turns by running sums over range partitions, and handled in blocks of
+`block` successive turns of a conversation, with the last turns of the block before as a halo. So a conversation of any
+length, with any turn numbers, is spread over tasks, and a window's text is bounded by its budget. What belongs to a
+conversation (its first place and system turn) comes by `join_facts`, which splits conversations of many turns.
 
 Edge cases: null texts and roles are empty; a null conv_id is a conversation of its own; turns are ordered by turn
 (null first), then role, then text, so repeated rows are turns of their own; an empty table gives no windows; other
@@ -24,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from typeloom.llm.common import text_of
+from typeloom.llm.common import join_facts, table, text_of
+from typeloom.operators.ordering import running_sums
 
 #: The marks of the template, and further control strings that are escaped in texts.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
@@ -52,16 +55,19 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 2, history_toke
 
     n_context turns at the window's start are repeats of turns that another window has as its own.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text_of("text").alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)).cast("long")).withColumn("n", tokens(F.col("text")))
-    system = rows.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("turn", "text", "n")).alias("system"))
-    first = system.select(F.col("conv_id").alias("sys_conv"), F.col("system.turn").alias("sys_turn"), F.col("system.text").alias("sys_text"), F.col("system.n").alias("sys_n"))
-    same = F.col("conv_id").eqNullSafe(F.col("sys_conv"))
-    rows = rows.join(first.select("sys_conv", "sys_turn", "sys_text", "sys_n"), same, "left").withColumn("is_sys", F.coalesce((F.col("role") == "system") & F.col("turn").eqNullSafe(F.col("sys_turn")) & (F.col("text") == F.col("sys_text")), F.lit(False))).drop("sys_conv", "sys_text", "sys_turn")
+    key = ["no_conv", "conv"]
+    keys = [F.col("conv_id").isNull().alias("no_conv"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0).cast("long")).alias("conv")]
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), text_of("text").alias("text"), *keys)
+    rows = running_sums(rows, [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"], {"place": F.lit(1).cast("long")})
+    rows = table(rows.withColumn("n", tokens(F.col("text"))), "chat-turns")
+    system = F.min(F.when(F.col("role") == "system", F.struct("place", "text", "n")))
+    facts = table(rows.groupBy(*key).agg(F.min("place").alias("begin"), F.count("*").alias("n_turns"), system.alias("sys")), "chat-facts")
+    rows = join_facts(rows, facts.select(*key, "begin", "n_turns", F.col("sys.place").alias("sys_place"), F.col("sys.n").alias("sys_n")), key, "n_turns")
+    rows = rows.withColumns({"at": F.col("place") - F.col("begin"), "is_sys": F.coalesce(F.col("place") == F.col("sys_place"), F.lit(False))}).withColumn("block", F.floor(F.col("at") / block))
     # the halo: a block also sees the last turns of the block before it, as history only
-    halo = rows.filter((F.pmod("turn", F.lit(block)) >= block - history) & ~F.col("is_sys")).withColumn("block", F.col("block") + 1).withColumn("halo", F.lit(True))
+    halo = rows.filter((F.pmod("at", F.lit(block)) >= block - history) & ~F.col("is_sys")).withColumn("block", F.col("block") + 1).withColumn("halo", F.lit(True))
     rows = rows.withColumn("halo", F.lit(False)).unionByName(halo)
-    order = W.partitionBy("conv_id", "block").orderBy(F.desc("halo"), F.asc_nulls_first("turn"), "role", "text")
+    order = W.partitionBy(*key, "block").orderBy(F.desc("halo"), "place")
     so_far = order.rowsBetween(W.unboundedPreceding, -1)
     own = F.when(F.col("halo"), 0).otherwise(F.col("n"))
     room = F.greatest(F.lit(budget) - F.coalesce("sys_n", F.lit(0)) - history_tokens - longest, F.lit(1))
@@ -78,12 +84,13 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 2, history_toke
         fits = ahead("starts") & (ahead("all_before") - F.col("all_before") <= history_tokens) & ~F.col("is_sys")
         targets.append(F.when(fits, F.struct(ahead("span").alias("span"), F.lit(1).alias("context"))))
     rows = rows.withColumn("into", F.array(*targets))
-    rows = rows.select("conv_id", "block", "no", "role", "text", "n", "is_sys", "halo", F.explode("into").alias("into")).filter("into is not null and not (halo and into.context = 0)")
+    rows = rows.select("conv_id", *key, "block", "no", "role", "text", "n", "is_sys", "halo", F.explode("into").alias("into")).filter("into is not null and not (halo and into.context = 0)")
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
-    shown = rows.select("conv_id", "block", "into.span", "into.context", "no", "n", "is_sys", (F.col("role") == "assistant").alias("assistant"), head.alias("head"), escape(F.col("text")).alias("body"))
-    spans = shown.groupBy("conv_id", "block", "span").agg(F.array_sort(F.collect_list(F.struct("no", "context", "head", "body", "assistant"))).alias("turns"), F.sum("n").alias("n"), F.max("is_sys").alias("has_sys"), F.min(F.when(F.col("context") == 0, F.col("no"))).alias("first_no"))
-    lead_in = first.select("sys_conv", F.struct(F.lit(0).alias("no"), F.lit(1).alias("context"), F.lit(f"{TURN}system{TEXT}").alias("head"), escape(F.col("sys_text")).alias("body"), F.lit(False).alias("assistant")).alias("sys"), "sys_n")
-    spans = spans.join(lead_in, same, "left").withColumn("add", F.col("sys").isNotNull() & ~F.col("has_sys"))
+    shown = rows.select("conv_id", *key, "block", "into.span", "into.context", "no", "n", "is_sys", (F.col("role") == "assistant").alias("assistant"), head.alias("head"), escape(F.col("text")).alias("body"))
+    spans = shown.groupBy("conv_id", *key, "block", "span").agg(F.array_sort(F.collect_list(F.struct("no", "context", "head", "body", "assistant"))).alias("turns"), F.sum("n").alias("n"), F.max("is_sys").alias("has_sys"), F.min(F.when(F.col("context") == 0, F.col("no"))).alias("first_no"))
+    lead_in = F.when(F.col("sys").isNotNull(), F.struct(F.lit(0).alias("no"), F.lit(1).alias("context"), F.lit(f"{TURN}system{TEXT}").alias("head"), escape(F.col("sys.text")).alias("body"), F.lit(False).alias("assistant")))
+    first = facts.select(*key, "n_turns", lead_in.alias("sys"), F.col("sys.n").alias("sys_n"))
+    spans = join_facts(spans, first, key, "n_turns").withColumn("add", F.col("sys").isNotNull() & ~F.col("has_sys"))
     spans = spans.withColumn("turns", F.when(F.col("add"), F.concat(F.array("sys"), F.col("turns"))).otherwise(F.col("turns"))).withColumn("n_tokens", F.col("n") + F.when(F.col("add"), F.col("sys_n")).otherwise(0))
     step = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("loss"))
 

@@ -27,3 +27,15 @@ def components(edges: DataFrame, folder: str | None = None, most_rounds: int = 6
         if not moved:
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def joined(comps: DataFrame, links: DataFrame, folder: str | None = None) -> DataFrame:
+    """The components (id, comp) after more links (a, b): only the components that the links join are worked on."""
+    of = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("a_comp", "a").alias("x"), F.coalesce("b_comp", "b").alias("y"))
+    ends = table(ends, "ends", folder)
+    moved = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), folder)
+    # ids that were in no component are their own
+    every = comps.unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("x").alias("comp")), F.struct(F.col("b").alias("id"), F.col("y").alias("comp")))).alias("e")).select("e.*")).distinct()
+    to = moved.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    return table(every.join(to, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "components", folder)

@@ -5,16 +5,17 @@ distance to some stretch of a document is at most `share` percent of m.
 
 1. Places that could hold an item: with e edits an item still shares at least m - 2 - 3 e of its three-word grams with
    the stretch, on diagonals within e of each other. Items for which that is below 1 (five words) have shorter grams,
-   k = m / (1 + e) words, so that one is always left. This counting bound loses nothing.
-2. Windows of the item sizes at these places are embedded by CGK random walks (a shared random bit for each step and
-   word decides whether the walk stays or moves on), which turn edit distance into Hamming distance. Bit sampling of
-   the embeddings, repeated with independent walks, retrieves items; the number of repetitions is set for each size class
-   so that windows with the most edits allowed meet their item with probability `recall` (agreement measured on edited
-   copies of all its items). A class that would need more than MOST_TABLES repetitions has none: all places of step 1
-   are verified exactly, which costs less and misses nothing.
+   k = m / (1 + e) words, so that one is always left. This counting bound loses nothing; it only spares the embedding of
+   windows in which no item can be.
+2. The item-sized windows that begin on such a place's diagonals are embedded by CGK random walks (a shared random bit
+   for each step and word decides whether the walk stays or moves on), which turn edit distance into Hamming distance.
+   Bit sampling of the embeddings, repeated with independent walks, retrieves items. The number of repetitions is set for
+   each size class so that windows with the most edits allowed meet their item with probability `recall`, by the
+   agreement measured on edited copies of all its items, whatever number that takes.
 3. Retrieved pairs are verified by the exact edit distance of the item to the best stretch around the window.
 
-The benchmark is a stated query set: it is read in blocks of `block` items, each held by every task, against all rows.
+The benchmark is a stated query set: it is read in blocks of `block` items and about BLOCK_WORDS words at most, each a
+broadcast of bounded size, against all rows.
 
 Edge cases: null or empty items match nothing, items of fewer than five words only exactly; null and empty documents
 hold nothing; long texts are read whole; repeated rows are each reported; a null doc_id is kept; an empty documents
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +41,11 @@ from typeloom.llm.kernels import LOOSE, Words, chunks, grams, mix
 SHARE = 20
 RECALL = 0.999
 BLOCK = 20_000
+BLOCK_WORDS = 2_000_000
 GRAM = 3
 SAMPLES = 2
-#: Beyond so many repetitions the exact check of every place is the cheaper one; it finds all, so this steers cost only.
-MOST_TABLES = 256
+#: Walks by which agreement is measured.
+WALKS = 64
 #: Edited copies measured in each size class, at least; each item has one or more.
 COPIES = 1000
 _TABLE_BITS = 22
@@ -70,17 +73,18 @@ def walks(h: np.ndarray, start: np.ndarray, stop: np.ndarray, seeds: np.ndarray,
     return out
 
 
-def repetitions(q: np.ndarray, recall: float) -> int | None:
-    """How many tables reach the recall over windows whose sampled places all agree with probabilities q; none if it takes more than MOST_TABLES."""
-    for n in range(16, MOST_TABLES + 1):
-        if np.mean((1 - q) ** n) <= 1 - recall:
-            return n
-    return None
+def repetitions(q: np.ndarray, recall: float) -> int:
+    """How many tables reach the recall over windows whose sampled places all agree with probabilities q > 0."""
+    reached = lambda n: np.mean((1 - q) ** n) <= 1 - recall
+    most = 16
+    while not reached(most):
+        most *= 2
+    return next(n for n in range(max(16, most // 2), most + 1) if reached(n))
 
 
 @dataclass
 class Index:
-    """Of a block of items: words, gram table, LSH tables by size class, and the size classes that have none."""
+    """Of a block of items: words, gram table, and LSH tables by size class."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -97,7 +101,6 @@ class Index:
     picks: dict[int, np.ndarray]
     tables: dict[tuple[int, int], dict[int, list[int]]]
     known: dict[tuple[int, int], np.ndarray]
-    exact: set[int]
 
 
 def _class(m: int) -> int:
@@ -126,8 +129,9 @@ def _agreement(words: list[np.ndarray], edits: list[int], size: int, rng: random
             flat += row
             n += len(row)
         begin = np.array(start)
-        e = walks(np.array(flat, np.uint64), begin, begin + size, np.arange(8, dtype=np.uint64), steps)
-        out.append(((e[:, ::2] == e[:, 1::2]).mean(2) ** SAMPLES).mean(0))
+        e = walks(np.array(flat, np.uint64), begin, begin + size, mix(np.arange(WALKS, dtype=np.uint64) + np.uint64(1 << 40)), steps)
+        agree = (e[:, ::2] == e[:, 1::2]).sum(2) + 0.5  # never quite none
+        out.append(((agree / (steps + 1)) ** SAMPLES).mean(0))
     return np.concatenate(out)
 
 
@@ -150,14 +154,11 @@ def build(items: list[tuple[int, str]], share: int = SHARE, recall: float = RECA
     bitmap[(distinct >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
     rng = np.random.default_rng(7)
     sizes = sorted({_class(len(x)) for x in words})
-    seeds, picks, tables, exact = {}, {}, {}, set()
+    seeds, picks, tables = {}, {}, {}
     for c in sizes:
         members = [i for i, x in enumerate(words) if _class(len(x)) == c]
         size = min(len(words[i]) for i in members)
         reps = repetitions(_agreement([words[i] for i in members], [int(edits[i]) for i in members], size, random.Random(c)), recall)
-        if reps is None:
-            exact.add(c)
-            continue
         seeds[c] = mix(np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         picks[c] = np.stack([rng.choice(max(SAMPLES, int(1.5 * size)), SAMPLES, replace=False) for _ in range(reps)])
         flat = np.concatenate([words[i][:size] for i in members])
@@ -169,7 +170,7 @@ def build(items: list[tuple[int, str]], share: int = SHARE, recall: float = RECA
             for i, k in zip(members, sampled[r].tolist(), strict=True):
                 t.setdefault(k, []).append(i)
         picks[c] = np.concatenate([picks[c], np.full((reps, 1), size)], 1)
-    return Index([items[i][0] for i in some], words, edits, size_of, np.maximum(1, m - size_of + 1 - size_of * edits), distinct, np.append(first, len(keys)), item, place, bitmap, sizes, seeds, picks, tables, {k: np.sort(np.fromiter(t, np.uint64, len(t))) for k, t in tables.items()}, exact)
+    return Index([items[i][0] for i in some], words, edits, size_of, np.maximum(1, m - size_of + 1 - size_of * edits), distinct, np.append(first, len(keys)), item, place, bitmap, sizes, seeds, picks, tables, {k: np.sort(np.fromiter(t, np.uint64, len(t))) for k, t in tables.items()})
 
 
 def _most_windows(reps: int, size: int) -> int:
@@ -224,26 +225,6 @@ def best_stretches(items: list[np.ndarray], h: np.ndarray, lo: np.ndarray, hi: n
     return edits, ends
 
 
-def _check_places(lines: np.ndarray, hits_of: np.ndarray, w: Words, h: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
-    """(row, item number, edits, first word) of the finds around sorted diagonals (row, item, diagonal) and their counts of grams."""
-    e = index.edits[lines[:, 1]]
-    # the grams of a find lie on diagonals within 2 e of each other
-    apart = np.concatenate([[True], (lines[1:, :2] != lines[:-1, :2]).any(1) | (lines[1:, 2] - lines[:-1, 2] > 2 * e[1:])])
-    first = np.flatnonzero(apart)
-    last = np.append(first[1:], len(lines)) - 1
-    enough = np.add.reduceat(hits_of, first) >= index.least[lines[first, 1]]
-    first, last = first[enough], last[enough]
-    r, x = lines[first, 0], lines[first, 1]
-    e, m = index.edits[x], np.array([len(i) for i in index.words])[x]
-    lo = np.maximum(w.first[r], lines[first, 2] - 4096 + w.first[r] - e)
-    hi = np.minimum(w.first[r + 1], lines[last, 2] - 4096 + w.first[r] + m + 2 * e)
-    edits, ends = best_stretches([index.words[i] for i in x.tolist()], h, lo, hi)
-    for k in np.flatnonzero(edits <= e).tolist():
-        end = int(lo[k] + ends[k])
-        back = best_stretch(index.words[x[k]][::-1], h[lo[k] : end][::-1])[1]
-        yield int(r[k]), int(x[k]), int(edits[k]), end - back - int(w.first[r[k]])
-
-
 def find(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item number, edits, first word, words) of each item found in the texts of a piece, best place only."""
     w = Words(column, lower=True, sep=LOOSE)
@@ -282,20 +263,8 @@ def find(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, i
     lines, _, hits_of = _unique_rows(np.stack([w.row[at[use]], item[use], diagonal[use]], 1)) if use.any() else (np.zeros((0, 3), np.int64), None, np.zeros(0, np.int64))
     if not len(lines):
         return
-    of_class = np.array([_class(len(x)) for x in index.words])
-    whole = np.isin(of_class[lines[:, 1]], list(index.exact))
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for r, x, edits, b in _check_places(lines[whole], hits_of[whole], w, h, index) if whole.any() else ():
-        if edits < best.get((r, x), (edits + 1, 0, 0))[0]:
-            best[r, x] = (edits, b, len(index.words[x]))
-    lines, hits_of = lines[~whole], hits_of[~whole]
-    span = np.array([len(x) for x in index.words])[lines[:, 1]] + 2 * index.edits[lines[:, 1]] + 1
-    order = np.lexsort((-hits_of, lines[:, 2] // span, lines[:, 1], lines[:, 0]))
-    lines, cell = lines[order], (lines[:, 2] // span)[order]
-    lead = np.concatenate([np.ones(min(1, len(lines)), bool), (lines[1:, :2] != lines[:-1, :2]).any(1) | (cell[1:] != cell[:-1])])
-    lines = lines[lead]
-    of_class = of_class[lines[:, 1]]
-    pairs: set[tuple[int, int, int]] = set()
+    of_class = np.array([_class(len(x)) for x in index.words])[lines[:, 1]]
+    pairs: list[np.ndarray] = []
     for c in np.unique(of_class).tolist():
         size = int(index.picks[c][0, -1])
         starts = np.unique(lines[of_class == c][:, [0, 2]], axis=0)
@@ -306,18 +275,25 @@ def find(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, i
             keys = _samples(h, b, np.minimum(b + size, w.first[r + 1]), index.seeds[c], index.picks[c][:, :-1])
             for rep in range(len(index.seeds[c])):
                 t = index.tables[c, rep]
-                for i in np.flatnonzero(np.isin(keys[rep], index.known[c, rep])).tolist():
-                    pairs.update((int(r[i]), int(b[i]), x) for x in t[int(keys[rep, i])])
-    for r, b, x in sorted(pairs):
-        item_words, e = index.words[x], int(index.edits[x])
-        if best.get((r, x), (e + 1, 0, 0))[0] == 0:
-            continue
-        lo, hi = max(int(w.first[r]), b - e), min(int(w.first[r + 1]), b + len(item_words) + 2 * e)
-        edits, end = best_stretch(item_words, h[lo:hi])
-        if edits <= e and edits < best.get((r, x), (e + 1, 0, 0))[0]:
-            best[r, x] = (edits, b - int(w.first[r]), len(item_words))
-    for (r, x), (edits, b, n) in best.items():
-        yield r, x, edits, b, n
+                known = index.known[c, rep]
+                at = np.searchsorted(known, keys[rep])
+                at[at == len(known)] = 0
+                for i in np.flatnonzero(known[at] == keys[rep]).tolist():
+                    pairs.append(np.array([(r[i], b[i], x) for x in t[int(keys[rep, i])]]))
+    if not pairs:
+        return
+    r, b, x = np.unique(np.concatenate(pairs), axis=0).T
+    e, m = index.edits[x], np.array([len(i) for i in index.words])[x]
+    lo, hi = np.maximum(w.first[r], b - e), np.minimum(w.first[r + 1], b + m + 2 * e)
+    edits, ends = best_stretches([index.words[i] for i in x.tolist()], h, lo, hi)
+    good = np.flatnonzero(edits <= e)
+    # the best window of each row and item
+    good = good[np.lexsort((b[good], edits[good], x[good], r[good]))]
+    lead = np.concatenate([np.ones(min(1, len(good)), bool), (r[good][1:] != r[good][:-1]) | (x[good][1:] != x[good][:-1])])
+    for k in good[lead].tolist():
+        end = int(lo[k] + ends[k])
+        back = best_stretch(index.words[x[k]][::-1], h[lo[k] : end][::-1])[1]
+        yield int(r[k]), int(x[k]), int(edits[k]), end - back - int(w.first[r[k]]), int(m[k])
 
 
 def _unique_rows(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,14 +306,15 @@ def _unique_rows(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s[new], inverse, np.bincount(group)
 
 
-def blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, block: int, most_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
     """The query set, a bounded block of items at a time, in the order of item_id."""
-    rows, part = benchmark.filter("text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id").toLocalIterator(), []
+    rows, part, words = benchmark.filter("text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id").toLocalIterator(), [], 0
     for r in rows:
         part.append((r[0], r[1]))
-        if len(part) == block:
+        words += r[1].count(" ") + 1
+        if len(part) == block or words >= most_words:
             yield part
-            part = []
+            part, words = [], 0
     if part:
         yield part
 
@@ -348,9 +325,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, recall: flo
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = docs.sparkSession.createDataFrame([], schema)
     for part in blocks(benchmark, block):
-        index = build(part, share, recall)
+        held = docs.sparkSession.sparkContext.broadcast(build(part, share, recall))
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held: Broadcast[Index] = held) -> Iterator[pa.RecordBatch]:
+            index = held.value
             for batch in chunks(batches, "text"):
                 if found := list(find(batch.column(1), index)):
                     r, x, e, b, n = map(list, zip(*found, strict=True))
@@ -363,9 +341,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, recall: flo
 def keep_clean(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """The documents that hold no item, with all columns."""
     for part in blocks(benchmark, block):
-        index = build(part, share, recall)
+        held = docs.sparkSession.sparkContext.broadcast(build(part, share, recall))
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held: Broadcast[Index] = held) -> Iterator[pa.RecordBatch]:
+            index = held.value
             for batch in chunks(batches, "text"):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[r for r, *_ in find(batch.column(batch.schema.get_field_index("text")), index)]] = False

@@ -2,8 +2,9 @@
 boilerplate (Viterbi decoding), and the share of characters in content lines decides whether a document is kept.
 
 The field is trained here, by gradient ascent on the conditional log-likelihood, on lines of a bounded sample of
-labelled documents: at most `MOST_LABELLED` rows of labels by the hash of their id, whose lines take the document's
-quality as their label. Without labels of both kinds (an empty table), a fixed set of example lines is used instead.
+labelled documents: at most `MOST_LABELLED` rows of labels by the hash of their id, with texts of `MOST_LABELLED_BYTES`
+bytes at most, whose lines take the document's quality as their label. Without labels of both kinds (an empty table) the
+lines of `examples` are used instead; without any of these the training fails.
 
 Base rules: n_words < 50, or 100 * n_repeat_words > 50 * n_words, fail a document whatever the field says.
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from typeloom.llm.kernels import Words, chunks, grams, mix, row_sums
 
 MOST_LABELLED = 2000
+MOST_LABELLED_BYTES = 1 << 16
+Examples = tuple[tuple[str, bool], ...]
 SEGMENT = 24
 LEAST_SHARE = 0.5
 _WHITE = " \t\n\v\f\r"
@@ -149,20 +152,23 @@ def viterbi(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndar
     return state
 
 
-def labelled_model(docs: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
-    """The field trained on the bounded labelled sample, or on the examples if that lacks one of the two labels."""
+def labelled_model(docs: DataFrame, labels: DataFrame | None, examples: Examples) -> tuple[np.ndarray, np.ndarray]:
+    """The field trained on the bounded labelled sample, or on the examples if that lacks one of the two labels; an error
+    if there are no examples either."""
     texts, marks = [], []
     if labels is not None:
         known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
         # both kinds are taken up to half the bound, in the order of a hash of the id
         parts = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED // 2) for q in (0, 1)]
         sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most MOST_LABELLED rows
-        rows = docs.select("doc_id", "text").filter("text is not null").join(sample, "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "text", "quality").groupBy("doc_id").agg(F.min(F.struct("h", "text", "quality")).alias("r")).select("doc_id", "r.text", "r.quality").collect()
+        rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= MOST_LABELLED_BYTES).join(sample, "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "text", "quality").groupBy("doc_id").agg(F.min(F.struct("h", "text", "quality")).alias("r")).select("doc_id", "r.text", "r.quality").collect()
         rows.sort(key=lambda r: r["doc_id"])
         texts, marks = [r["text"] for r in rows], [int(r["quality"]) for r in rows]
     usable = {m for t, m in zip(texts, marks, strict=True) if t.strip(_WHITE)}
     if usable != {0, 1}:
-        texts, marks = [t for t, _ in EXAMPLES], [int(m) for _, m in EXAMPLES]
+        if {m for _, m in examples} != {True, False}:
+            raise ValueError("no labelled documents of both kinds, and no examples of both")
+        texts, marks = [t for t, _ in examples], [int(m) for _, m in examples]
     return train(texts, marks)
 
 
@@ -206,9 +212,9 @@ def measure(column: pa.Array, w: np.ndarray, trans: np.ndarray, least_share: flo
     return {"n_words": words.count.astype(np.int64), "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": failed, "content_share": share, "kept": ~failed & (share >= least_share)}
 
 
-def score(docs: DataFrame, labels: DataFrame | None = None, least_share: float = LEAST_SHARE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame | None = None, least_share: float = LEAST_SHARE, examples: Examples = EXAMPLES) -> DataFrame:
     """A row of measures and verdicts for each document."""
-    w, trans = labelled_model(docs, labels)
+    w, trans = labelled_model(docs, labels, examples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -218,9 +224,9 @@ def score(docs: DataFrame, labels: DataFrame | None = None, least_share: float =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def keep(docs: DataFrame, labels: DataFrame | None = None, least_share: float = LEAST_SHARE) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame | None = None, least_share: float = LEAST_SHARE, examples: Examples = EXAMPLES) -> DataFrame:
     """The documents that pass, with all their columns."""
-    w, trans = labelled_model(docs, labels)
+    w, trans = labelled_model(docs, labels, examples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):

@@ -30,12 +30,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
-
-
-def op3_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3_ngram_jaccard with each document's number of links, which the SQL of that query leaves out."""
-    return ngram_join.join_links(read(spark, sf_dir, "documents"))
+    return ngram_join.join_links(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,15 +62,17 @@ def op9_token_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc.doc_id", "size", "source_size", "target", "taken")
+    """position: that of the first time it is taken, in billionths of the training (null: never taken)."""
+    first = F.floor(F.element_at("positions", 1) * 1e9)
+    return mixing.shares(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.when(F.size("positions") > 0, first).alias("position"))
 
 
 def op10_training_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dealt curriculum of op10_mix_sources, whose SQL covers what is taken only."""
+    """All times at which op10_mix_sources takes a document, range-sorted."""
     return mixing.training_positions(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_ngram_jaccard, op3_ngram_links, op4_secret_scan, op5_html_extract, op6_warc_archive, op7_decontaminate, op8_quality_rules, op9_token_order, op10_mix_sources, op10_training_positions)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_ngram_jaccard, op4_secret_scan, op5_html_extract, op6_warc_archive, op7_decontaminate, op8_quality_rules, op9_token_order, op10_mix_sources, op10_training_positions)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -84,20 +81,21 @@ for _mark in chat.CONTROL:
     _ESCAPE = f"replace({_ESCAPE}, '{_mark}', '{_mark[0]}\\{_mark[1:]}')"
 
 OP1_SQL = f"""
-with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+with a as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-sys as (select conv_id, turn as sys_turn, text as sys_text from (select *, row_number() over (partition by conv_id order by turn, text) as k from t where role = 'system') where k = 1),
-r as (select t.*, coalesce(floor(turn / 512)::bigint, -1) as block, len(regexp_extract_all(t.text, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]')) as n,
+t as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos from a),
+sys as (select conv_id, min(pos) as sys_at, min_by(text, pos) as sys_text from t where role = 'system' group by 1),
+r as (select t.*, floor(pos / 512)::bigint as block, len(regexp_extract_all(t.text, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]')) as n,
              len(regexp_extract_all(sys_text, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]')) as sys_n,
              {len(chat.TURN + chat.TEXT + chat.END)} + len({_ESCAPE.format("t.role")}) + len({_ESCAPE.format("t.text")}) as shown,
              {len(chat.TURN + chat.TEXT + chat.END) + len("system")} + len({_ESCAPE.format("sys_text")}) as sys_shown,
-             coalesce(role = 'system' and turn is not distinct from sys_turn and t.text = sys_text, false) as is_sys
+             coalesce(pos = sys_at, false) as is_sys
       from t left join sys on t.conv_id is not distinct from sys.conv_id),
 h as (select *, false as halo from r union all
-      select * replace (block + 1 as block), true as halo from r where turn % 512 >= 510 and not is_sys),
+      select * replace (block + 1 as block), true as halo from r where pos % 512 >= 510 and not is_sys),
 o as (select *, row_number() over w as no, coalesce(sum(case when halo then 0 else n end) over (w rows between unbounded preceding and 1 preceding), 0) as before,
              coalesce(sum(n) over (w rows between unbounded preceding and 1 preceding), 0) as all_before
-      from h window w as (partition by conv_id, block order by halo desc, turn nulls first, role, text)),
+      from h window w as (partition by conv_id, block order by halo desc, pos)),
 c as (select *, case when halo then -1 else floor(before / greatest(1024 - coalesce(sys_n, 0) - 128 - 384, 1)) end as cell, n > 384 as long from o),
 s as (select *, not halo and (lag(cell) over w is null or lag(cell) over w <> cell or long or coalesce(lag(long) over w, true)) as starts
       from c window w as (partition by conv_id, block order by no)),
@@ -117,14 +115,16 @@ OP3_SQL = f"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
 s as (select doc_id, list_sort(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from w),
 n as (select doc_id, len(s) as n_shingles, md5(array_to_string(s, chr(10))) as k, s from s),
-reps as (select k, min(doc_id) as id, any_value(s) as s, any_value(n_shingles) as n from n where n_shingles > 0 group by k),
+reps as (select k, min(doc_id) as id, any_value(s) as s, any_value(n_shingles) as n, count(*) as weight from n where n_shingles > 0 group by k),
 x as (select id, n, unnest(s) as g from reps),
 e as (select a.id as a, b.id as b from x a join x b on a.g = b.g and a.id < b.id group by a.id, b.id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 edges as (select a, b from e union all select b, a from e),
 reach as (select id as a, id as b from reps union select reach.a, edges.b from reach join edges on reach.b = edges.a),
-comp as (select a as id, min(b) as component_id from reach group by a)
-select n.doc_id, n.n_shingles::bigint as n_shingles, case when n.n_shingles = 0 then n.doc_id else comp.component_id end as component_id
-from n left join reps using (k) left join comp on comp.id = reps.id
+comp as (select a as id, min(b) as component_id from reach group by a),
+deg as (select a as id, sum(weight) as links from edges join reps on reps.id = edges.b group by a)
+select n.doc_id, n.n_shingles::bigint as n_shingles, case when n.n_shingles = 0 then n.doc_id else comp.component_id end as component_id,
+       case when n.n_shingles = 0 then 0 else reps.weight - 1 + coalesce(deg.links, 0) end::bigint as n_links
+from n left join reps using (k) left join comp on comp.id = reps.id left join deg on deg.id = reps.id
 """
 
 
@@ -171,12 +171,14 @@ c as (select *, [5.0::double, 2.0::double, 1.0::double][((k - 1) % 3) + 1] as we
 q as (select *, cap / weight as ratio, (select sum(source_size)::double from s) * 1.5::double as total from c),
 v as (select *, (total - coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) as here from q),
 l as (select *, (select here from v where here <= ratio order by ratio, source nulls last limit 1) as level from v),
-g as (select source, source_size, case when level is null or ratio <= level then cap else level * weight end as target from l),
-p as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as passes from g),
-m as (select d.*, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size as part,
-             sum(size) over (partition by d.source order by place range between unbounded preceding and current row) as upto, sum(size) over (partition by d.source, place) as here
-      from d join p on d.source is not distinct from p.source)
-select doc_id, size, source_size, target, (size * (passes + case when part > 0 and upto - here / 2.0::double <= part then 1 else 0 end))::bigint as taken from m
+g as (select source, source_size, k, case when level is null or ratio <= level then cap else level * weight end as target from l),
+m as (select d.*, g.source_size, g.target, [-0.5::double, 0.0::double, 0.5::double][((k - 1) % 3) + 1] as ramp,
+             sum(size) over (partition by d.source order by place range between unbounded preceding and current row) - sum(size) over (partition by d.source, place) / 2.0::double as mid
+      from d join g on d.source is not distinct from g.source),
+t as (select *, case when size > 0 then list_filter([mid, source_size + mid], lambda c: c <= target) else []::double[] end as c from m),
+x as (select *, c[1] / target as x from t)
+select doc_id, size, source_size, target, (size * len(c))::bigint as taken,
+       case when len(c) > 0 then floor(least(1.0::double, case when ramp = 0 then x else (ramp - 1 + sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * x)) / (2 * ramp) end) * 1e9::double)::bigint end as position from x
 """
 
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_secret_scan": OP4_SQL, "op6_warc_archive": OP6_SQL, "op10_mix_sources": OP10_SQL}
