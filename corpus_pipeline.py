@@ -1,11 +1,17 @@
-"""The corpus pipeline: five stages, each written as Parquet in the shared folder and read again by the next."""
+"""The corpus pipeline: five stages, each written as Parquet in the shared folder and read again by the next.
+
+Every stage takes any table of documents. Null and empty texts fail the quality rules, so nothing after them sees any;
+rows that repeat each other are one group of near copies, of which one stays; a null doc_id or source is kept like any
+other; an empty table goes through all stages and gives no sequences; extra columns, whatever their names, pass through
+all stages but the last. A document that the mix takes more than once comes as often to the last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from typeloom.llm import decontam, mixing, ngram_join, quality, token_order
-from typeloom.llm.common import read, table
+from typeloom.llm.common import read, scratch, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    with scratch(spark, "stages") as folder:
+        for name, stage in STAGES[:-1]:
+            docs = table(stage(spark, docs, sf_dir), name, folder)
+        return table(STAGES[-1][1](spark, docs, sf_dir), "sequences")
