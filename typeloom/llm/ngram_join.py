@@ -19,10 +19,9 @@ Documents are sets of five-word shingles (64-bit hashes); two link when 100 * in
 5. Every query is bounded by the matrix: no member can share more shingles with it than the union does (in its own group:
    than those that two members have). Only groups that hold 80 % of the query are opened for it.
 6. Opened groups are checked member by member, exactly. What is asked for are components, so members already in the
-   query's component need no check: the group's first member comes first, then in TRIES rounds one member of another
-   component that shares a list with the query, and at last all members that are in other components still: pair by
-   pair (if they pass the filters of length and place), or in large groups by products of the shingle matrices of two
-   blocks. Members of a group's largest component are not compared with each other.
+   query's component need no check: the group's first member comes first, then all members that are in other components:
+   pair by pair (if they pass the filters of length and place), or in large groups by products of the shingle matrices of
+   two blocks. Members of a large group's largest component are not compared with each other.
 7. For each document's number of links (`join_links`), every pair of classes of a component is decided: a component is
    cut into blocks of about LINK_BLOCK classes, and a pair of blocks is one product of their shingle matrices. Only
    counts leave it, so no row is made for a link.
@@ -56,8 +55,6 @@ from typeloom.llm.kernels import Words, chunks, grams, mix, tidy
 SHINGLE = 5
 PERCENT = 80
 SKETCH_BITS = 22
-#: Rounds in which a query tries one member of another component of an opened group; all others follow.
-TRIES = 1
 #: Bands of sizes for a factor of e: sizes in a band differ by 5 % at most.
 BANDS = 20
 #: Shingles of a segment of a group's union, and queries of a salt, on average.
@@ -425,7 +422,7 @@ def _block_links(opened: DataFrame, homes: DataFrame, large: DataFrame, comps: D
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(find, "a binary, b binary").filter("a <> b").distinct()
 
 
-def _linked(docs: DataFrame, percent: int, folder: str, segment: int = SEGMENT, salt: int = SALT, tries: int = TRIES, direct: int = DIRECT, block: int = LINK_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _linked(docs: DataFrame, percent: int, folder: str, segment: int = SEGMENT, salt: int = SALT, direct: int = DIRECT, block: int = LINK_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The rows' sets, their classes, the sets of classes that may link, and the components of linked classes."""
     spark = docs.sparkSession
     with scratch(spark, "join-profiles") as early:
@@ -447,27 +444,16 @@ def _linked(docs: DataFrame, percent: int, folder: str, segment: int = SEGMENT,
     # 6. exact checks: a group's first member, one member of each component, all members of other components
     leads = homes.groupBy("grp").agg(F.min("id").alias("lead"))
     comps = components(table(_check(_pairs(opened.join(leads, "grp"), "id", "lead"), sets, percent), "links", folder), folder)
-    # lists of opened groups: where a query and its group's members meet
-    here = table(cells.join(opened.select("grp").distinct(), "grp", "left_semi").select("post", "grp", F.col("id").alias("m"), F.col("n").alias("o_n"), F.col("at").alias("o_at")), "here", folder)
-    asking = table(cells.drop("grp").join(opened, "id"), "asking", folder)
-    plausible = (F.col("comp") != F.col("c")) & _may_link(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"), percent)
-    for k in range(tries + 1):
-        labels = comps.select(F.col("id").alias("m"), F.col("comp").alias("c"))
-        held = here.join(labels, "m", "left").withColumn("c", F.coalesce("c", "m"))
-        asked = asking.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        if k < tries:
-            # of each group's part of a list: a member of the component with most members there, and one of any component
-            each = held.groupBy("post", "grp", "c").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("m", F.lit(k)).alias("h"), "m", "o_n", "o_at")).alias("x"))
-            two = each.groupBy("post", "grp").agg(F.max(F.struct("k", "c", "x")).alias("most"), F.max(F.struct(F.xxhash64("c", F.lit(k)).alias("k"), "c", "x")).alias("any"))
-            two = two.select("post", "grp", F.explode(F.array("most", "any")).alias("e")).select("post", "grp", "e.c", "e.x.m", "e.x.o_n", "e.x.o_at")
-            pairs = asked.join(two, ["post", "grp"]).filter(plausible).groupBy("id").agg(F.min(F.struct("size", F.xxhash64("post", "m", F.lit(k)).alias("h"), "m"))["m"].alias("m"))
-        else:
-            size = opened.groupBy("grp").agg(F.count("*").alias("q")).join(homes.groupBy("grp").agg(F.count("*").alias("k")), "grp")
-            size = table(size.select("grp", (F.col("q") * F.col("k") > direct).alias("large")), "group-sizes", folder)
-            pairs = asked.join(size.filter("not large").select("grp"), "grp", "left_semi").join(held, ["post", "grp"]).filter(plausible)
-        pairs = table(_pairs(pairs, "id", "m"), "pairs", folder)
-        if pairs.limit(1).count():
-            comps = joined(comps, table(_check(pairs, sets, percent), "links", folder), folder)
+    # small groups pair by pair, where a query and a member meet in a list
+    size = opened.groupBy("grp").agg(F.count("*").alias("q")).join(homes.groupBy("grp").agg(F.count("*").alias("k")), "grp")
+    size = table(size.select("grp", (F.col("q") * F.col("k") > direct).alias("large")), "group-sizes", folder)
+    small = opened.join(size.filter("not large").select("grp"), "grp")
+    held = cells.join(small.select("grp").distinct(), "grp", "left_semi").join(comps, "id", "left")
+    held = held.select("post", "grp", F.col("id").alias("m"), F.col("n").alias("o_n"), F.col("at").alias("o_at"), F.coalesce("comp", "id").alias("c"))
+    asked = cells.drop("grp").join(small.join(comps, "id", "left"), "id").withColumn("comp", F.coalesce("comp", "id"))
+    pairs = asked.join(held, ["post", "grp"]).filter((F.col("comp") != F.col("c")) & _may_link(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"), percent))
+    pairs = table(_pairs(pairs, "id", "m"), "pairs", folder)
+    comps = joined(comps, table(_check(pairs, sets, percent), "links", folder), folder)
     # large groups member by member, without a row for a pair
     large = size.filter("large").select("grp")
     if large.limit(1).count():

@@ -200,14 +200,15 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 1, vocabula
     return path, listing, total
 
 
-def read_shards(spark: SparkSession, path: str, per_shard: int = PER_SHARD) -> DataFrame:
-    """slot, shard, byte_offset, crc and record, read back from the shards by their stride."""
+def read_shards(spark: SparkSession, path: str, per_shard: int = PER_SHARD, records: bool = True) -> DataFrame:
+    """slot, shard, byte_offset, crc and, if asked for, record, read back from the shards by their stride."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, name, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for i, (first, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 shard = first + int(name.rsplit("/", 1)[1].split("-")[1])
-                if len(raw) % STRIDE:
+                raw = batch.column(2)[i].as_buffer()  # not copied
+                if raw.size % STRIDE:
                     raise ValueError(f"{name} is not a whole number of records")
                 ids = np.frombuffer(raw, "<u2").reshape(-1, LENGTH + 1)
                 if (ids[:, LENGTH] != np.frombuffer(MARK, "<u2")[0]).any():
@@ -215,11 +216,12 @@ def read_shards(spark: SparkSession, path: str, per_shard: int = PER_SHARD) -> D
                 for a in range(0, len(ids), 256):
                     own = [r.tobytes() for r in ids[a : a + 256, :LENGTH]]
                     at = np.arange(a, a + len(own))
-                    yield pa.RecordBatch.from_arrays([pa.array(shard * per_shard + at), pa.array([shard] * len(at), pa.int32()), pa.array(at * STRIDE), pa.array([zlib.crc32(r) for r in own], pa.int64()), pa.array(own, pa.binary())], ["slot", "shard", "byte_offset", "crc", "record"])
+                    columns = [pa.array(shard * per_shard + at), pa.array([shard] * len(at), pa.int32()), pa.array(at * STRIDE), pa.array([zlib.crc32(r) for r in own], pa.int64()), *([pa.array(own, pa.binary())] if records else [])]
+                    yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "byte_offset", "crc", "record"][: len(columns)])
         tidy()
 
     files = spark.read.format("binaryFile").load(f"{path}/shards").filter(F.col("length") > 0).select(F.col("first").cast("int"), "path", "content")
-    return files.mapInArrow(run, "slot long, shard int, byte_offset long, crc long, record binary")
+    return files.mapInArrow(run, "slot long, shard int, byte_offset long, crc long" + ", record binary" * records)
 
 
 def training_order(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, per_shard: int = PER_SHARD, waves: int = WAVES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -229,6 +231,8 @@ def training_order(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY,
     if not total:
         return spark.createDataFrame([], "slot long, shard int, byte_offset long, n_tokens long, crc long, doc_ids array<long>")
     listed = listing.select("slot", "n_tokens", F.col("crc").alias("listed"), "doc_ids")
-    back = read_shards(spark, path, per_shard).drop("record").join(listed, "slot", "full")
+    back = read_shards(spark, path, per_shard, records=False).join(listed, "slot", "full")
     same = F.coalesce(F.col("crc") == F.col("listed"), F.lit(False))
-    return back.select("slot", "shard", "byte_offset", "n_tokens", F.when(same, F.col("crc")).otherwise(F.raise_error(F.lit("a shard differs from its listing")).cast("long")).alias("crc"), "doc_ids")
+    found = back.select("slot", "shard", "byte_offset", "n_tokens", F.when(same, F.col("crc")).otherwise(F.raise_error(F.lit("a shard differs from its listing")).cast("long")).alias("crc"), "doc_ids")
+    # the check is done here, with the small batches of a written table
+    return table(found, "order", path)
