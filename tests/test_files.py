@@ -144,3 +144,31 @@ def test_custom_scheme(spark, tmp_path):
     rows = spark.read.option("header", True).option("sep", "\t").csv(f"file://{tmp_path}/s/custom_1").collect()
     assert {(r.ST, r.a, r.b) for r in rows} == {("1", "1", "1"), ("N1", "n1", "-")}
     assert json.loads(spark.read.text(f"file://{tmp_path}/s/meta").first()[0]) == {"scheme": "custom_1", "loci": ["a", "b"], "source": "x"}
+
+
+def test_registries(spark, tmp_path):
+    from typeloom.functions import sequences as Q
+    from typeloom.operators import catalog, compare
+    from typeloom.sources import backends as B
+
+    put(tmp_path, "k/s1.res", "#Template\tScore\tExpected\tTemplate_length\tTemplate_Identity\tTemplate_Coverage\tQ\tC\tDepth\nabc_12\t350\t1\t450\t99.8\t100.0\t9\t9\t42.0\n")
+    assert B.hits_of(spark, "KMA", f"file://{tmp_path}/k", reads=True).first().depth == 42.0
+    with pytest.raises(ValueError, match="unknown backend 'x'; one of blastn, kma, minimap2, nucmer"):
+        B.hits_of(spark, "x", "")
+    with pytest.raises(ValueError, match="takes no reads"):
+        B.hits_of(spark, "blastn", "", reads=True)
+    B.register_backend(B.Backend("mine", lambda s, path, loci, sample: s.range(3), True))
+    assert B.hits_of(spark, "mine", "").count() == 3
+    with pytest.raises(ValueError, match="unknown provider"):
+        B.catalog_of(spark, "q", "")
+    Q.register_strategy("Length", F.length)
+    rows = spark.createDataFrame([("ac-gt",)], "s string")
+    assert rows.select(Q.fingerprint(F.col("s"), "length")).first()[0] == 4
+    with pytest.raises(ValueError, match="unknown strategy"):
+        Q.fingerprint(F.col("s"), "none")
+    blocked = spark.createDataFrame([("p", "d1")], "provider string, name string")
+    catalog.reject_blocked("x", "p", "d2", blocked)
+    with pytest.raises(ValueError, match="blocked"):
+        catalog.reject_blocked("x", "p", "d1", blocked)
+    with pytest.raises(ValueError, match="duplicate sample 's'"):
+        compare.one_row_each(spark.createDataFrame([("s",), ("s",)], "sample_id string"))

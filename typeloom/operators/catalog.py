@@ -46,8 +46,16 @@ def search_catalog(catalog: DataFrame, text: str) -> DataFrame:
     return catalog.filter(hit)
 
 
-def organism_like(catalog: DataFrame, pattern: str) -> DataFrame:
-    return catalog.filter(F.col("organism").rlike(f"(?i){pattern}"))
+def organism_like(catalog: DataFrame, pattern: str, downloaded: DataFrame | None = None) -> DataFrame:
+    """Schemes whose organism matches, letters in either case; of those `downloaded` (scheme_name, provider) only, if given."""
+    out = catalog.filter(F.col("organism").rlike(f"(?i){pattern}"))
+    return out if downloaded is None else out.join(downloaded.select("scheme_name", "provider").distinct(), ["scheme_name", "provider"], "left_semi")
+
+
+def reject_blocked(scheme: str, provider: str, directory: str, blocked: DataFrame) -> None:
+    """An error if the scheme or its directory is among the provider's blocked names (provider, name)."""
+    if blocked.filter((F.col("provider") == provider) & F.col("name").isin(scheme, directory)).limit(1).count():
+        raise ValueError(f"scheme {scheme!r} is blocked for provider {provider!r}")
 
 
 def natural_order(name: Column, downloaded: Column) -> list[Column]:

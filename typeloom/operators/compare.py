@@ -19,6 +19,23 @@ def compare_runs(left_st: DataFrame, right_st: DataFrame, left: DataFrame, right
     return st.join(differs, "sample_id", "left").select("sample_id", F.coalesce("left_st", F.lit("")).alias("left_st"), F.coalesce("right_st", F.lit("")).alias("right_st"), status.alias("status"), F.when(both, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("differing_loci_count"))
 
 
+def one_row_each(rows: DataFrame, what: str = "sample") -> DataFrame:
+    """The rows; a sample that comes twice is an error."""
+    twice = rows.groupBy("sample_id").agg(F.count("*").alias("n")).filter("n > 1").agg(F.min("sample_id")).first()[0]
+    if twice is not None:
+        raise ValueError(f"duplicate {what} {twice!r}")
+    return rows
+
+
+def differing_loci(left: DataFrame, right: DataFrame) -> DataFrame:
+    """sample_id and its differing loci (locus, left, right) in order, for samples of both runs; an absent locus is empty."""
+    cells = left.select("sample_id", "locus", F.trim("value").alias("a")).join(right.select("sample_id", "locus", F.trim("value").alias("b")), ["sample_id", "locus"], "full_outer")
+    both = left.select("sample_id").distinct().join(right.select("sample_id").distinct(), "sample_id")
+    a, b = F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))
+    listed = cells.filter(a != b).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("locus", a.alias("left"), b.alias("right")))).alias("loci"))
+    return both.join(listed, "sample_id", "left").select("sample_id", F.coalesce("loci", F.array().cast("array<struct<locus: string, left: string, right: string>>")).alias("loci"))
+
+
 def compare_summary(compared: DataFrame) -> DataFrame:
     is_ = lambda *s: F.count_if(F.col("status").isin(*s))
     return compared.agg(is_("same_st", "different_st").alias("matched_samples"), is_("same_st").alias("same_st"), is_("different_st").alias("different_st"), F.count_if(F.col("differing_loci_count") > 0).alias("samples_with_locus_differences"), is_("left_only").alias("left_only"), is_("right_only").alias("right_only"))

@@ -288,3 +288,62 @@ def f32_edge_lengths(spark, d):
     w = F.when(q.cast("int") % 9 == 0, 0.0).otherwise(q)
     six = lambda c: F.round(c, 6)
     return M.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", Y.edge_length(w, "linear").alias("linear"), six(Y.edge_length(w, "log")).alias("log"), six(Y.edge_length(w, "sqrt")).alias("sqrt"), six(Y.node_radius(F.col("l_linenumber"), True)).alias("scaled"), Y.node_radius(F.col("l_linenumber"), False).alias("plain"))
+
+
+# --- comparison lists J5, catalogue by availability P10, metadata A11 J4, class tables J12, heat map, missing loci ---
+@query(f"""with {M.MATRIX}, l as (select sample, locus_ordinal, value from mtx where sample_ordinal % 10 <> 0 and locus_ordinal <> sample_ordinal % 7 + 1), r as (select sample, locus_ordinal, other from mtx where sample_ordinal % 7 <> 0),
+j as (select coalesce(l.sample, r.sample) as sample, coalesce(l.locus_ordinal, r.locus_ordinal) as locus, coalesce(value, '') as a, coalesce(other, '') as b from l full join r on l.sample = r.sample and l.locus_ordinal = r.locus_ordinal)
+select sample as sample_id, coalesce(string_agg(locus || ':' || a || ':' || b, ',' order by locus::varchar) filter (a <> b), '') as loci from j where sample in (select sample from l) and sample in (select sample from r) group by 1""")
+def j5_differing_loci(spark, d):
+    from typeloom.operators import compare
+
+    m = M.matrix(spark, d).withColumnRenamed("sample", "sample_id").withColumn("locus", F.col("locus_ordinal").cast("string"))
+    left = m.filter("sample_ordinal % 10 <> 0 and locus_ordinal <> sample_ordinal % 7 + 1")
+    right = m.filter("sample_ordinal % 7 <> 0").drop("value").withColumnRenamed("other", "value")
+    found = compare.differing_loci(left, right)
+    return found.select("sample_id", F.array_join(F.transform("loci", lambda x: F.concat_ws(":", x["locus"], x["left"], x["right"])), ",").alias("loci"))
+
+
+@query(f"with {M.CATALOG} select row_ordinal from cat where regexp_matches(organism, '(?i)^(listeria|vibrio)') and row_ordinal % 3 = 0")
+def p10_organisms(spark, d):
+    from typeloom.operators import catalog
+
+    c = M.catalog(spark, d)
+    return catalog.organism_like(c, "^(listeria|vibrio)", c.filter("row_ordinal % 3 = 0")).select("row_ordinal")
+
+
+@query(f"with {M.MATRIX} select locus_ordinal, count(*) as n, count(*) filter (upper(trim(value)) in ('', '-', 'LNF', 'NIPH', 'NIPHEM', 'ASM', 'ALM', 'PLOT3', 'PLOT5', 'LOTSC', 'PAMA', 'PLNF')) as missing from mtx group by 1")
+def a24_missing_by_locus(spark, d):
+    from typeloom.operators import compare
+
+    return compare.missing_summary(M.matrix(spark, d))
+
+
+@query(f"with {M.MATRIX} select sample, locus_ordinal, value, case when upper(trim(value)) in ('', '-', 'LNF', 'NIPH', 'NIPHEM', 'ASM', 'ALM', 'PLOT3', 'PLOT5', 'LOTSC', 'PAMA', 'PLNF') then 'missing_token' else 'present_allele' end as state from mtx")
+def g13_heat_map(spark, d):
+    from typeloom.operators import matrix
+
+    return matrix.heatmap(M.matrix(spark, d))
+
+
+@query("""with a as (select (['LNF', '7', 'INF-3', 'NIPH', '-'])[p_partkey % 5 + 1] as la, (['LNF', '8', 'INF-3', 'PLOT5', ''])[p_size % 5 + 1] as lb from part),
+b as (select *, case when la in ('', '-') then 'LNF' when la = '7' then 'NUMERIC' when la = 'INF-3' then 'INF' else la end as bucket_a, case when lb in ('', '-') then 'LNF' when lb = '8' then 'NUMERIC' when lb = 'INF-3' then 'INF' else lb end as bucket_b from a)
+select bucket_a, bucket_b, count(*) as n, count(*) filter (la = lb) as same_label from b group by all""")
+def j12_class_agreement(spark, d):
+    from typeloom.operators import compare
+
+    part = M.read(spark, d, "part").withColumn("key", F.col("p_partkey"))
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), (at % 5 + 1).cast("int"))
+    a = part.select("key", pick(("LNF", "7", "INF-3", "NIPH", "-"), F.col("p_partkey")).alias("label"))
+    b = part.select("key", pick(("LNF", "8", "INF-3", "PLOT5", ""), F.col("p_size")).alias("label"))
+    return compare.class_agreement(a, b)
+
+
+@query("""with p as (select l_suppkey % 10 as profile_key, l_orderkey * 8 + l_linenumber as o, unnest(['mode', 'flag']) as field, unnest([case when l_linestatus = 'O' then ' ' else l_linestatus || l_linenumber end, l_returnflag]) as value from lineitem),
+s as (select profile_key, field, value, min(o) as o from p where trim(value) <> '' group by all) select profile_key, field, string_agg(value, ' | ' order by o, value) as value from s group by all""")
+def a11_joined_metadata(spark, d):
+    from typeloom.operators import matrix
+
+    line = M.read(spark, d, "lineitem")
+    fields = F.explode(F.array(F.struct(F.lit("mode").alias("field"), F.when(F.col("l_linestatus") == "O", " ").otherwise(F.concat("l_linestatus", F.col("l_linenumber").cast("string"))).alias("value")), F.struct(F.lit("flag").alias("field"), F.col("l_returnflag").alias("value")))).alias("x")
+    return matrix.collapse_metadata(line.select((F.col("l_suppkey") % 10).alias("profile_key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sample_ordinal"), fields).select("profile_key", "sample_ordinal", "x.*"))
