@@ -11,11 +11,16 @@ from typeloom.storage import fresh_path, scratch, shared_dir, table, writing
 
 __all__ = ["WORD", "checked_broadcast", "fresh_path", "join_facts", "let", "n_words", "read", "scratch", "shared_dir", "table", "text_of", "writing"]
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A word of every contract: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. What the queries return is worked out by the caller, so the size of batches sent to Python is set here, if
+    it is the default: large batches of whole texts cost an executor some hundred MB for each task, and change no result."""
+    if spark.conf.get(BATCH).rstrip("b") == str(1 << 26):
+        spark.conf.set(BATCH, "4m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

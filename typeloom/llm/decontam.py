@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.kernels import LOOSE, Words, chunks, grams, mix
+from typeloom.llm.kernels import LOOSE, Words, chunks, grams, mix, tidy
 
 SHARE = 20
 RECALL = 0.999
@@ -349,6 +349,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, share: int = SHARE, recall
                 clean = np.ones(batch.num_rows, bool)
                 clean[[r for r, *_ in find(batch.column(batch.schema.get_field_index("text")), index)]] = False
                 yield batch.filter(pa.array(clean))
+            tidy()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -45,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,9 +121,8 @@ def frequency_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     return out
 
 
-def profiles(docs: DataFrame, sketch: np.ndarray, percent: int, bits: int = SKETCH_BITS) -> DataFrame:
+def profiles(docs: DataFrame, shared: Broadcast[np.ndarray], percent: int, bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, text_hash, n (size of the set), id (128 bits of a digest of the set), posted (its rarest shingles, in order)."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -426,7 +426,9 @@ def _linked(docs: DataFrame, percent: int, folder: str, segment: int = SEGMENT,
     """The rows' sets, their classes, the sets of classes that may link, and the components of linked classes."""
     spark = docs.sparkSession
     with scratch(spark, "join-profiles") as early:
-        found = table(profiles(docs, frequency_sketch(docs), percent), "profiles", early)
+        sketch = spark.sparkContext.broadcast(frequency_sketch(docs))  # of a fixed size
+        found = table(profiles(docs, sketch, percent), "profiles", early)
+        sketch.destroy()  # the table is written; workers give the sketch up
         rows = table(found.drop("posted"), "rows", folder)
         # 1. classes of equal sets, each standing for its first document
         first = F.min(F.struct(F.col("doc_id").isNull().alias("is_null"), F.coalesce("doc_id", F.lit(_TOP)).alias("first_doc"), "text_hash")).alias("f")

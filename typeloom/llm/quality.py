@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.kernels import Words, chunks, grams, mix, row_sums
+from typeloom.llm.kernels import Words, chunks, grams, mix, row_sums, tidy
 
 MOST_LABELLED = 2000
 MOST_LABELLED_BYTES = 1 << 16
@@ -220,6 +220,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, least_share: float =
         for batch in chunks(batches, "text"):
             out = measure(batch.column(1), w, trans, least_share)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out.values())], ["doc_id", *out])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
@@ -232,5 +233,6 @@ def keep(docs: DataFrame, labels: DataFrame | None = None, least_share: float =
         for batch in chunks(batches, "text"):
             kept = measure(batch.column(batch.schema.get_field_index("text")), w, trans, least_share)["kept"]
             yield batch.filter(pa.array(kept))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -200,13 +200,18 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 1, vocabula
     return path, listing, total
 
 
-def read_shards(spark: SparkSession, path: str, per_shard: int = PER_SHARD, records: bool = True) -> DataFrame:
-    """slot, shard, byte_offset, crc and, if asked for, record, read back from the shards by their stride."""
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    """shard, path and content of every shard's file."""
+    files = spark.read.format("binaryFile").load(f"{path}/shards").filter(F.col("length") > 0)
+    return files.select((F.col("first") + F.regexp_extract("path", "/part-([0-9]+)-[^/]*$", 1).cast("int")).cast("int").alias("shard"), "path", "content")
+
+
+def read_shards(spark: SparkSession, path: str, per_shard: int = PER_SHARD) -> DataFrame:
+    """slot, shard, byte_offset and record, read back from the shards by their stride."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (first, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                shard = first + int(name.rsplit("/", 1)[1].split("-")[1])
+            for i, (shard, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 raw = batch.column(2)[i].as_buffer()  # not copied
                 if raw.size % STRIDE:
                     raise ValueError(f"{name} is not a whole number of records")
@@ -216,12 +221,23 @@ def read_shards(spark: SparkSession, path: str, per_shard: int = PER_SHARD, reco
                 for a in range(0, len(ids), 256):
                     own = [r.tobytes() for r in ids[a : a + 256, :LENGTH]]
                     at = np.arange(a, a + len(own))
-                    columns = [pa.array(shard * per_shard + at), pa.array([shard] * len(at), pa.int32()), pa.array(at * STRIDE), pa.array([zlib.crc32(r) for r in own], pa.int64()), *([pa.array(own, pa.binary())] if records else [])]
-                    yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "byte_offset", "crc", "record"][: len(columns)])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard * per_shard + at), pa.array([shard] * len(at), pa.int32()), pa.array(at * STRIDE), pa.array(own, pa.binary())], ["slot", "shard", "byte_offset", "record"])
         tidy()
 
-    files = spark.read.format("binaryFile").load(f"{path}/shards").filter(F.col("length") > 0).select(F.col("first").cast("int"), "path", "content")
-    return files.mapInArrow(run, "slot long, shard int, byte_offset long, crc long" + ", record binary" * records)
+    return _shards(spark, path).mapInArrow(run, "slot long, shard int, byte_offset long, record binary")
+
+
+def checked_shards(spark: SparkSession, path: str, per_shard: int = PER_SHARD) -> DataFrame:
+    """slot, shard, byte_offset and crc of each record, taken from the shards' bytes where they are read; a shard that is no
+    whole number of marked records is an error."""
+    place = lambda k, more: (k * STRIDE + more + 1).cast("int")
+    part = lambda k, more, n: F.substring(F.col("content"), place(k, more), F.lit(n))
+    every = F.sequence(F.lit(0), F.floor(F.octet_length("content") / STRIDE).cast("int") - 1)
+    crcs = F.transform(every, lambda k: F.when(part(k, 2 * LENGTH, 2) == F.lit(MARK), F.crc32(part(k, 0, 2 * LENGTH))))
+    whole = F.octet_length("content") % STRIDE == 0
+    rows = _shards(spark, path).select("shard", F.when(whole, crcs).otherwise(F.raise_error(F.concat("path", F.lit(" is not a whole number of records"))).cast("array<bigint>")).alias("crcs"))
+    rows = rows.select("shard", F.posexplode("crcs").alias("k", "crc"))
+    return rows.select((F.col("shard") * F.lit(per_shard).cast("long") + F.col("k")).alias("slot"), "shard", (F.col("k") * F.lit(STRIDE).cast("long")).alias("byte_offset"), "crc")
 
 
 def training_order(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY, per_shard: int = PER_SHARD, waves: int = WAVES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -231,7 +247,7 @@ def training_order(docs: DataFrame, key: int = 1, vocabulary: str = VOCABULARY,
     if not total:
         return spark.createDataFrame([], "slot long, shard int, byte_offset long, n_tokens long, crc long, doc_ids array<long>")
     listed = listing.select("slot", "n_tokens", F.col("crc").alias("listed"), "doc_ids")
-    back = read_shards(spark, path, per_shard, records=False).join(listed, "slot", "full")
+    back = checked_shards(spark, path, per_shard).join(listed, "slot", "full")
     same = F.coalesce(F.col("crc") == F.col("listed"), F.lit(False))
     found = back.select("slot", "shard", "byte_offset", "n_tokens", F.when(same, F.col("crc")).otherwise(F.raise_error(F.lit("a shard differs from its listing")).cast("long")).alias("crc"), "doc_ids")
     # the check is done here, with the small batches of a written table
