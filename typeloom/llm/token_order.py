@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from typeloom.llm.common import checked_broadcast, fresh_path, scratch, table, writing
+from typeloom.llm.common import checked_broadcast, fresh_path, let, scratch, table, writing
 from typeloom.llm.kernels import chunks, mix, tidy
 
 LENGTH = 2047
@@ -231,9 +231,10 @@ def checked_shards(spark: SparkSession, path: str, per_shard: int = PER_SHARD) -
     """slot, shard, byte_offset and crc of each record, taken from the shards' bytes where they are read; a shard that is no
     whole number of marked records is an error."""
     place = lambda k, more: (k * STRIDE + more + 1).cast("int")
-    part = lambda k, more, n: F.substring(F.col("content"), place(k, more), F.lit(n))
+    part = lambda c, k, more, n: F.substring(c, place(k, more), F.lit(n))
     every = F.sequence(F.lit(0), F.floor(F.octet_length("content") / STRIDE).cast("int") - 1)
-    crcs = F.transform(every, lambda k: F.when(part(k, 2 * LENGTH, 2) == F.lit(MARK), F.crc32(part(k, 0, 2 * LENGTH))))
+    # the content is bound once: a column would be copied out of its row for every record
+    crcs = let(F.col("content"), lambda c: F.transform(every, lambda k: F.when(part(c, k, 2 * LENGTH, 2) == F.lit(MARK), F.crc32(part(c, k, 0, 2 * LENGTH)))))
     whole = F.octet_length("content") % STRIDE == 0
     rows = _shards(spark, path).select("shard", F.when(whole, crcs).otherwise(F.raise_error(F.concat("path", F.lit(" is not a whole number of records"))).cast("array<bigint>")).alias("crcs"))
     rows = rows.select("shard", F.posexplode("crcs").alias("k", "crc"))
