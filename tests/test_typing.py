@@ -62,6 +62,14 @@ def test_classes(spark):
     assert policy.classify(df, stats).orderBy("i").collect()[4].label == "1"
 
 
+def test_contained_letter_by_letter(spark):
+    """A sharp s is no double s, a sample without a name and an allele listed twice give one row."""
+    alleles = spark.createDataFrame([("g", "1", "gro\u00df"), ("g", "2", "gross"), ("g", "2", "gross"), ("g", "3", "\ufb01n"), ("g", "4", "ende")], "locus string, allele_id string, seq string")
+    cds = spark.createDataFrame([("a", "ein GROSS fin"), ("b", "zu gro\u1e9e"), (None, "das Ende"), (None, None)], "sample_id string, seq string")
+    calls = cds.select("sample_id").distinct().join(alleles.select("locus", "allele_id").distinct())
+    assert sorted(((r.sample_id, r.allele_id) for r in policy.contained(calls, alleles, cds).collect()), key=str) == [("a", "2"), ("b", "1"), (None, "4")]
+
+
 def test_kmers(spark):
     a = spark.createDataFrame([("locusA", "1", "ATGCGTACGTTAGCTAGCTAATGCGTACGTTAGCTA"), ("locusA", "2", "ATGCGTACGTTAGCTAGCTAATGCGTACGTTAGCAA"), ("locusB", "1", "CCCCGGGGAAAATTTTCCCCGGGGAAAATTTTCCCC")], "locus string, allele_id string, seq string")
     c = a.filter("locus = 'locusB' or allele_id = '1'").select(F.lit("s").alias("sample_id"), F.col("locus").alias("contig_id"), F.concat(F.lit("GATC"), "seq", F.lit("GATC")).alias("seq"))

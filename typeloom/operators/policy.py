@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.functions.labels import chew_class, edge_class, size_class
-from typeloom.functions.sequences import digest
+from typeloom.functions.sequences import digest, upper_letters
 
 
 def length_stats(alleles: DataFrame) -> DataFrame:
@@ -29,11 +29,13 @@ def gate(calls: DataFrame, alleles: DataFrame, cds: DataFrame) -> DataFrame:
 
 
 def contained(calls: DataFrame, alleles: DataFrame, cds: DataFrame) -> DataFrame:
-    """Calls whose allele holds, or is held by, a coding sequence of the sample (substring test within the sample)."""
-    with_seq = calls.select("sample_id", "locus", "allele_id").join(alleles.select("locus", "allele_id", F.upper("seq").alias("a")), ["locus", "allele_id"])
-    own = cds.select("sample_id", F.upper("seq").alias("c"))
-    near = (F.col("x.sample_id") == F.col("y.sample_id")) & (F.instr(F.col("a"), F.col("c")) > 0) | (F.col("x.sample_id") == F.col("y.sample_id")) & (F.instr(F.col("c"), F.col("a")) > 0)
-    return with_seq.alias("x").join(own.alias("y"), near, "left_semi").select("sample_id", "locus", "allele_id")
+    """Calls whose allele holds, or is held by, a coding sequence of the sample (substring test within the sample, letter by
+    letter without case). A row for each call, also where alleles repeat or the sample has no name."""
+    with_seq = calls.select("sample_id", "locus", "allele_id").join(alleles.select("locus", "allele_id", upper_letters(F.col("seq")).alias("a")).distinct(), ["locus", "allele_id"])
+    own = cds.select("sample_id", upper_letters(F.col("seq")).alias("c"))
+    same = F.col("x.sample_id").eqNullSafe(F.col("y.sample_id"))
+    near = same & ((F.instr(F.col("a"), F.col("c")) > 0) | (F.instr(F.col("c"), F.col("a")) > 0))
+    return with_seq.alias("x").join(own.alias("y"), near, "left_semi").select("sample_id", "locus", "allele_id").distinct()
 
 
 def classify(calls: DataFrame, stats: DataFrame, enforce_gate: bool = False) -> DataFrame:
