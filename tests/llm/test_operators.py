@@ -315,6 +315,14 @@ def test_warc(spark):
     assert warc.archive_report(spark, warc.write_archive(df.limit(0))).count() == 0
 
 
+def test_digest_is_taken_once(spark):
+    """The payload is hashed once for a digest, not once for each of its characters."""
+    df = spark.createDataFrame([(b"",), (b"abc" * 99,)], "x binary")
+    out = df.select("x", warc.base32_sha1(F.col("x")).alias("d"))
+    assert all(r.d == base64.b32encode(hashlib.sha1(bytes(r.x)).digest()).decode() for r in out.collect())
+    assert out._jdf.queryExecution().analyzed().toString().count("sha1(") == 1
+
+
 def warc_records(raw):
     """(header fields, block) of each record of a WARC file, by its own lengths."""
     at = 0

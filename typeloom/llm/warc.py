@@ -29,13 +29,13 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 def base32_sha1(payload: Column) -> Column:
     """Upper-case base32 of SHA-1: eight groups of 20 bits, each of five hex digits and four characters."""
-    digits = F.sha1(payload)
 
-    def group(i: Column) -> Column:
-        bits = F.conv(F.substring(digits, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
+    def group(digits: Column, i: Column) -> Column:
+        bits = F.array(F.conv(F.substring(digits, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
+        return F.transform(bits, lambda b: F.concat(*[F.substring(F.lit(BASE32), F.shiftright(b, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]))[0]
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), group), "")
+    # variables of lambdas are evaluated once, where a column named twice is hashed twice
+    return F.transform(F.array(F.sha1(payload)), lambda digits: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: group(digits, i)), ""))[0]
 
 
 _KEYS = ["sha256", "n_bytes"]
