@@ -329,3 +329,38 @@ def test_least_arborescence_against_all_trees(spark):
                     total = sum(cost[p, x] for x, p in parent.items())
                     best = total if best is None else min(best, total)
         assert sum(r.combined_weight for r in graph.spanning_tree(nodes).collect()) == best
+
+
+def test_clusters_of_long_trees(spark):
+    """Names that go up and down along a path of 400 nodes, and a tree of it; the old rounds did not settle on such."""
+    order = list(range(400))
+    random.Random(2).shuffle(order)
+    for ids in (order, [x for k in range(100) for x in (k, 399 - k, 100 + k, 299 - k)], list(range(400))):
+        edges = spark.createDataFrame([(int(x), int(y)) for x, y in zip(ids, ids[1:], strict=False) if x != ids[250]], "a long, b long")
+        got = {r.id: r.cluster for r in graph.clusters(spark.range(400), edges).collect()}
+        assert got == {x: min(part) for part in (ids[:251], ids[251:]) for x in part}
+
+
+def test_trees_beyond_the_list_of_pairs(spark):
+    """The same tree as from a list of all edges, also where ties abound and a node's nearest sources are used up; and a
+    whole tree of more nodes than the limit, when it is forced."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from typeloom.operators import dense
+
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(2, 30))
+        ids = rng.permutation(3 * n)[:n]
+        p = dense.Profiles(pa.table({"id": pa.array(ids, pa.int64()), "label": [f"S{i % 5}" for i in ids], "sl": [f"s{i % 5}" for i in ids], "p": pa.array([[None if rng.random() < 0.2 else str(x) for x in rng.integers(0, 3, 5)] for _ in ids], pa.list_(pa.string()))}))
+        i, j = np.nonzero(~np.eye(n, dtype=bool))
+        edges = pd.DataFrame({"source": p.ids[i], "target": p.ids[j], "combined_weight": p.combined[i, j], "asymmetric_weight": p.asymmetric[i, j], "sl": [f"s{x % 5}" for x in p.ids[i]]})
+        every = np.arange(n)
+        parent = dense.least_parents(n, lambda t, p=p, e=every: p.combined[np.ix_(e, t)] * 6 * len(e) + p.asymmetric[np.ix_(e, t)], p.place, nearest=2)
+        assert {(p.ids[parent[t]], p.ids[t]) for t in every if parent[t] >= 0} == {(r.source, r.target) for r in graph.least_tree(edges).itertuples()}
+    nodes = spark.range(5001).select("id", F.concat(F.lit("s"), F.col("id").cast("string")).alias("label"), F.expr("transform(sequence(0, 6), k -> string(pmod(shiftright(id, 2 * k), 4)))").alias("profile"))
+    with pytest.raises(ValueError, match="over the limit"):
+        graph.spanning_tree(nodes)
+    tree = graph.spanning_tree(nodes, force=True).toPandas()
+    assert len(tree) == 5000 and tree["target"].is_unique and (tree["weight"] == 1).all()

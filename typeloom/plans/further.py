@@ -258,7 +258,7 @@ def g3_recrafted_tree(spark, d):
     """The minimum arborescence with its branches hung anew."""
     from typeloom.operators.recraft import recrafted_tree
 
-    return recrafted_tree(_nodes(spark, d).drop("member_count"))
+    return recrafted_tree(_nodes(spark, d).drop("member_count"), force=True)
 
 
 @query(None)
@@ -266,7 +266,7 @@ def g5_weighted_tree(spark, d):
     """The weighted tree with shortcuts, hung anew."""
     from typeloom.operators.recraft import weighted_tree
 
-    return weighted_tree(_nodes(spark, d))
+    return weighted_tree(_nodes(spark, d), force=True)
 
 
 @query("select unnest(['kruskal', 'spanning', 'recrafted', 'weighted']) as tree, 0 as edge_count_off, 0 as self_loops, 0 as extra_components")
@@ -274,7 +274,7 @@ def g8_tree_faults(spark, d):
     from typeloom.operators import graph, recraft
 
     nodes, out = table(_nodes(spark, d), "nodes"), None
-    for name, tree in (("kruskal", graph.kruskal_tree(nodes)), ("spanning", graph.spanning_tree(nodes.drop("member_count"))), ("recrafted", recraft.recrafted_tree(nodes.drop("member_count"))), ("weighted", recraft.weighted_tree(nodes))):
+    for name, tree in (("kruskal", graph.kruskal_tree(nodes, True)), ("spanning", graph.spanning_tree(nodes.drop("member_count"), True)), ("recrafted", recraft.recrafted_tree(nodes.drop("member_count"), True)), ("weighted", recraft.weighted_tree(nodes, True))):
         one = graph.tree_faults(nodes, table(tree, "tree")).select(F.lit(name).alias("tree"), "*")
         out = one if out is None else out.unionByName(one)
     return out

@@ -504,7 +504,7 @@ def g9_threshold_clusters(spark, d):
 def g2_spanning_tree(spark, d):
     """Minimum arborescence over collapsed profiles (edge list)."""
     nodes = matrix.collapse(matrix.to_profiles(M.matrix(spark, d))).select(F.col("sample_ordinal").alias("id"), "label", "profile")
-    return graph.spanning_tree(nodes)
+    return graph.spanning_tree(nodes, force=True)
 
 
 @query(f"with {_PAIRS}, e as (select *, asymmetric_weight * (greatest(1, n) + 1) + weight as combined_weight, row_number() over (partition by target order by asymmetric_weight * (greatest(1, n) + 1) + weight, asymmetric_weight, 's' || source, 's' || target, source) as r from prs) select target, source, weight, combined_weight from e where r = 1")
@@ -522,7 +522,7 @@ def w6_harmonic_weights(spark, d):
 
 def _tree(spark, d):
     nodes = matrix.collapse(matrix.to_profiles(M.matrix(spark, d))).select(F.col("sample_ordinal").alias("id"), "label", "profile", F.col("duplicates").alias("member_count"))
-    return nodes, graph.spanning_tree(nodes)
+    return nodes, graph.spanning_tree(nodes, force=True)
 
 
 @query(None)
