@@ -302,9 +302,7 @@ def j13_directed_edges(spark, d):
 
 @query(f"with {_PAIRS} select source, target, round(case when present = 0 then n else differs * n / present end, 9) as asymmetric, round(case when comparable = 0 then n * 0.01::double else (weight + 0.01::double) * n / (comparable + 0.01::double) end, 9) as symmetric from prs")
 def f11_normalised_distances(spark, d):
-    n = _nodes(spark, d).select("id", P.clean(F.col("profile")).alias("p"))
-    both = n.select(F.col("id").alias("source"), F.col("p").alias("a")).join(n.select(F.col("id").alias("target"), F.col("p").alias("b")), F.col("source") != F.col("target"))
-    return both.select("source", "target", F.round(P.normalised_asymmetric(F.col("a"), F.col("b")), 9).alias("asymmetric"), F.round(P.normalised_symmetric(F.col("a"), F.col("b")), 9).alias("symmetric"))
+    return matrix.normalised_pairs(_nodes(spark, d))
 
 
 @query(f"with {M.MATRIX} select a.sample_ordinal as source, b.sample_ordinal as target, coalesce(string_agg('L' || a.locus_ordinal, ',' order by a.locus_ordinal) filter (a.c <> b.c), '') as mismatch_loci from cells a join cells b on a.locus_ordinal = b.locus_ordinal and a.sample_ordinal < b.sample_ordinal group by all")
