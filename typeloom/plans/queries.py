@@ -508,7 +508,7 @@ def g2_spanning_tree(spark, d):
 @query(f"with {_PAIRS}, e as (select *, asymmetric_weight * (greatest(1, n) + 1) + weight as combined_weight, row_number() over (partition by target order by asymmetric_weight * (greatest(1, n) + 1) + weight, asymmetric_weight, 's' || source, 's' || target, source) as r from prs) select target, source, weight, combined_weight from e where r = 1")
 def w8_least_incoming(spark, d):
     nodes = _nodes(spark, d)
-    return graph.least_incoming(matrix.pairs(nodes, directed=True), nodes.select("id", F.concat(F.lit("s"), F.col("id").cast("string")).alias("label")))
+    return matrix.least_sources(nodes.withColumn("label", F.concat(F.lit("s"), F.col("id").cast("string"))))
 
 
 @query(f"""with {_PAIRS}, h as (select source as id, (select count(distinct sample_ordinal) from cells)::double / sum(1 / (weight + 0.1::double)) as h from prs group by 1)
