@@ -250,7 +250,7 @@ def p14_light_edges(spark, d):
 def _nodes(spark, d):
     from typeloom.operators import matrix
 
-    return matrix.collapse(matrix.to_profiles(M.matrix(spark, d))).select(F.col("sample_ordinal").alias("id"), "label", "profile", F.col("duplicates").alias("member_count"))
+    return matrix.collapse(table(matrix.to_profiles(M.matrix(spark, d)), "profiles")).select(F.col("sample_ordinal").alias("id"), "label", "profile", F.col("duplicates").alias("member_count"))
 
 
 @query(None)

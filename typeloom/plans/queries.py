@@ -501,7 +501,7 @@ def g9_threshold_clusters(spark, d):
 @query(None)
 def g2_spanning_tree(spark, d):
     """Minimum arborescence over collapsed profiles (edge list)."""
-    nodes = matrix.collapse(matrix.to_profiles(M.matrix(spark, d))).select(F.col("sample_ordinal").alias("id"), "label", "profile")
+    nodes = matrix.collapse(table(matrix.to_profiles(M.matrix(spark, d)), "profiles")).select(F.col("sample_ordinal").alias("id"), "label", "profile")
     return graph.spanning_tree(nodes, force=True)
 
 
@@ -519,7 +519,7 @@ def w6_harmonic_weights(spark, d):
 
 
 def _tree(spark, d):
-    nodes = matrix.collapse(matrix.to_profiles(M.matrix(spark, d))).select(F.col("sample_ordinal").alias("id"), "label", "profile", F.col("duplicates").alias("member_count"))
+    nodes = matrix.collapse(table(matrix.to_profiles(M.matrix(spark, d)), "profiles")).select(F.col("sample_ordinal").alias("id"), "label", "profile", F.col("duplicates").alias("member_count"))
     return nodes, graph.spanning_tree(nodes, force=True)
 
 
