@@ -281,6 +281,55 @@ def test_recrafted_trees_are_trees_and_settle(spark):
             assert not allowed or score(y) > score(old)
 
 
+def test_recrafting_looks_again_only_at_what_changed():
+    """The tree that a plain queue makes, with one look for each node and for each change of a parent or a branch."""
+    from collections import deque
+
+    from typeloom.operators import recraft
+
+    class Counted(np.ndarray):
+        looks = 0
+
+        def __getitem__(self, where):
+            Counted.looks += isinstance(where, tuple) and isinstance(where[0], slice)
+            return np.asarray(self)[where]
+
+    queued = allowed = looked = 0
+    for seed in range(6):
+        n, loci = 60, 8
+        rng = np.random.default_rng(seed)
+        codes = rng.integers(1, 4, (n, loci)) * (rng.random((n, loci)) > 0.2)
+        has = codes > 0
+        apart = (codes[:, None, :] != codes[None, :, :]) & has[None, :, :]
+        sym, asym = (apart & has[:, None, :]).sum(2), apart.sum(2)
+        comb, resolved, rank = asym * (loci + 1) + sym, has.sum(1), rng.permutation(n)
+        parent = np.array([-1, *[int(rng.integers(0, x)) for x in range(1, n)]])
+        tree, todo = recraft.Tree(parent.copy()), deque(range(n))
+        allowed += n
+        while todo:
+            x = todo.popleft()
+            queued += 1
+            old = int(tree.parent[x])
+            if old < 0:
+                continue
+            under = tree.below(x)
+            cost = lambda y, under=under: (comb[y, under].sum(), asym[y, under].sum())
+            some = [y for y in range(n) if y != old and y not in under and comb[y, x] <= comb[old, x] + (sym[old, x] != 0) and asym[y, x] <= asym[old, x] and cost(y) <= cost(old)]
+            score = lambda y, x=x, under=under: (sum(max(0, resolved[d] - resolved[y]) for d in under), max(0, resolved[x] - resolved[y]), comb[y, x], asym[y, x], -resolved[y], sym[y, x], rank[y], y)
+            best = min([old, *some], key=score)
+            if best != old:
+                over = {x, old, best, *tree.above(old), *tree.above(best)}
+                allowed += len(over)
+                around = over | {*under, *tree.children[old], *tree.children[best]}
+                tree.move(x, best)
+                todo.extend(sorted(around))
+        Counted.looks = 0
+        got = recraft.recraft(parent, comb.view(Counted), asym, sym, resolved, rank)
+        assert (got == tree.parent).all() and (got != parent).any()
+        looked += Counted.looks
+    assert looked <= allowed < queued
+
+
 def test_shortcuts_and_ancestry():
     from typeloom.operators import recraft
 
