@@ -330,6 +330,61 @@ def test_recrafting_looks_again_only_at_what_changed():
     assert looked <= allowed < queued
 
 
+def test_faults_of_trees_take_few_jobs(spark):
+    """Faults as a walk through the edges finds them, also of edges that make no tree; and a long path takes no more jobs
+    than a short one."""
+    rng = np.random.default_rng(7)
+    edges = {"path": [(x, x + 1) for x in range(199)], "none": [], "loops": [(5, 5), (5, 5), (1, 2)], "stranger": [(0, 1), (1, 900), (900, 2)], "both ways": [(3, 4), (4, 3), (3, 4)]}
+    edges["any"] = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))]
+    nodes, want = spark.range(200), {}
+    for name, pairs in edges.items():
+        near = {x: {x} for x in range(200)}
+        for a, b in pairs:
+            if a in near and b in near:
+                near[a].add(b)
+                near[b].add(a)
+        left, parts = set(near), 0
+        while left:
+            todo, parts = [left.pop()], parts + 1
+            while todo:
+                new = near[todo.pop()] & left
+                left -= new
+                todo += new
+        want[name] = (abs(199 - len(pairs)), sum(a == b for a, b in pairs), parts - 1)
+    schema = "tree string, source long, target long"
+    rows = spark.createDataFrame([(name, *e) for name, pairs in edges.items() for e in pairs], schema).repartition(3)
+    group = lambda name: spark.sparkContext.setJobGroup(name, name)
+    jobs = lambda name: len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    try:
+        group("one")
+        for name in edges:
+            got = graph.tree_faults(nodes, rows.filter(F.col("tree") == name).drop("tree")).first()
+            assert tuple(got) == want[name]
+        group("path")
+        graph.tree_faults(nodes, rows.filter("tree = 'path'").drop("tree")).collect()
+        assert jobs("path") <= 12
+        group("all")
+        assert {r[0]: tuple(r)[1:] for r in graph.forest_faults(nodes, rows, list(edges)).collect()} == want
+        assert jobs("all") <= 12
+    finally:
+        group("rest")
+    assert tuple(graph.tree_faults(spark.range(1), rows.filter("tree = 'none'")).first()) == (0, 0, 0)
+
+
+def test_every_tree_is_that_of_its_operator(spark):
+    from typeloom.operators import recraft
+    from typeloom.storage import table
+
+    nodes = table(_tree_nodes(spark, n=40, loci=7, seed=5), "nodes")
+    got = recraft.every_tree(nodes).collect()
+    for name, tree in zip(recraft.TREES, (graph.kruskal_tree(nodes), graph.spanning_tree(nodes), recraft.recrafted_tree(nodes), recraft.weighted_tree(nodes)), strict=True):
+        assert sorted((r.source, r.target) for r in got if r.tree == name) == sorted((r.source, r.target) for r in tree.collect())
+    assert len(got) == 4 * 39
+    assert recraft.every_tree(nodes.filter("id = 3")).count() == 0
+    with pytest.raises(ValueError, match="over the limit"):
+        recraft.every_tree(spark.range(5001).select("id", F.lit("s").alias("label"), F.array(F.lit("1")).alias("profile"), F.lit(1).cast("long").alias("member_count")))
+
+
 def test_shortcuts_and_ancestry():
     from typeloom.operators import recraft
 

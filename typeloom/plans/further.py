@@ -273,11 +273,8 @@ def g5_weighted_tree(spark, d):
 def g8_tree_faults(spark, d):
     from typeloom.operators import graph, recraft
 
-    nodes, out = table(_nodes(spark, d), "nodes"), None
-    for name, tree in (("kruskal", graph.kruskal_tree(nodes, True)), ("spanning", graph.spanning_tree(nodes.drop("member_count"), True)), ("recrafted", recraft.recrafted_tree(nodes.drop("member_count"), True)), ("weighted", recraft.weighted_tree(nodes, True))):
-        one = graph.tree_faults(nodes, table(tree, "tree")).select(F.lit(name).alias("tree"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    nodes = table(_nodes(spark, d), "nodes")
+    return graph.forest_faults(nodes, table(recraft.every_tree(nodes, True), "trees"), list(recraft.TREES))
 
 
 @query("with e as (select l_orderkey, l_linenumber, greatest(1, case when l_quantity::int % 9 = 0 then 1 else l_quantity end) as w, l_linenumber as members from lineitem) select l_orderkey, l_linenumber, 50 * w as linear, round(50 * log2(w + 1), 6) as log, round(50 * sqrt(w), 6) as sqrt, round(least(22, 7 + sqrt(greatest(1, members)) * 3), 6) as scaled, case when members > 1 then 11.0::double else 8.0::double end as plain from e")
